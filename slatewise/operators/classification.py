@@ -24,11 +24,14 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
 
     ``d`` must hold one row per (group, score).
     """
+    if not group_cols:   # one global group: key it so every join stays an equi-join
+        out = score_prefix(d.withColumn("_grp", F.lit(0)), ["_grp"], score_col, sum_cols, buckets)
+        return out.drop("_grp")
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*group_cols).agg(
         F.percentile_approx(score_col, probs, 10000).alias("_bounds"))
     # one row per group with ``buckets`` doubles: bounded by the number of groups
-    d2 = (d.join(F.broadcast(bounds), group_cols) if group_cols else d.join(F.broadcast(bounds)))
+    d2 = d.join(F.broadcast(bounds), group_cols)
     d2 = d2.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(score_col)))) \
            .drop("_bounds")
     btot = d2.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
