@@ -105,7 +105,8 @@ def pr_curve(df: DataFrame, group_cols: list[str] = ("model",), label_col: str =
 
 
 def best_f1_threshold(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-                      score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64) -> DataFrame:
+                      score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64,
+                      rounded: bool = True) -> DataFrame:
     """Threshold with the highest F1 on the PR curve; ties -> smallest threshold.
 
     Picked with a distributed ``max(struct(f1, -threshold))`` aggregate, not a
@@ -118,7 +119,8 @@ def best_f1_threshold(df: DataFrame, group_cols: list[str] = ("model",), label_c
     f1 = F.lit(2.0) * prec * rec / (prec + rec + F.lit(eps))
     best = c.select(*g, F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_thr")).alias("b")) \
             .groupBy(*g).agg(F.max("b").alias("b"))
-    return best.select(*g, r6(-F.col("b.neg_thr")).alias("threshold"), r6(F.col("b.f1")).alias("f1"))
+    rnd = r6 if rounded else (lambda c: c)
+    return best.select(*g, rnd(-F.col("b.neg_thr")).alias("threshold"), rnd(F.col("b.f1")).alias("f1"))
 
 
 def prf_at_threshold(df: DataFrame, threshold, group_cols: list[str] = ("model",),
@@ -165,3 +167,31 @@ def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10
     gg = [*g, "report"]
     return (roc_auc(rep, gg, label_col, score_col)
             .join(prf_at_threshold(rep, threshold, gg, label_col, score_col), gg))
+
+
+def regenerate_metrics(preds: DataFrame, k_values: list[int], tune_threshold: bool = True,
+                       decision_threshold: float = 0.5, group_cols: list[str] = ("model",),
+                       slate_col: str = "impression_id", item_col: str = "row_id") -> DataFrame:
+    """All metrics of a stored prediction set, one row per model: samples, AUC,
+    AP, decision threshold (F1-optimal when tuned), P/R/F1 at it, and the
+    slate tracker's P/R/AP/nDCG at each k (wide columns ``<metric>_at_<k>``)."""
+    from slatewise.operators.ranking import ranking_tracker
+    g = list(group_cols)
+    if tune_threshold:
+        thr = best_f1_threshold(preds, g, rounded=False).select(*g, "threshold")
+    else:
+        thr = preds.select(*g).distinct().withColumn("threshold", F.lit(float(decision_threshold)))
+    scored = preds.join(F.broadcast(thr), g)   # one row per model
+    prf = prf_at_threshold(scored, F.col("threshold"), g)
+    out = (roc_auc(preds, g).join(average_precision(preds, g), g)
+           .join(thr.select(*g, r6(F.col("threshold")).alias("threshold")), g).join(prf, g))
+    if not k_values:
+        return out
+    tr = ranking_tracker(preds, k_values, slate_col, g, item_col)
+    wide = tr.groupBy(*g).pivot("k", k_values).agg(
+        F.first("precision").alias("precision"), F.first("recall").alias("recall"),
+        F.first("ap").alias("ap"), F.first("ndcg").alias("ndcg"))
+    for k in k_values:
+        for m in ("precision", "recall", "ap", "ndcg"):
+            wide = wide.withColumnRenamed(f"{k}_{m}", f"{m}_at_{k}")
+    return out.join(wide, g, "left")

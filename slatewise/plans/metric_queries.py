@@ -52,8 +52,7 @@ sm AS (SELECT impression_id, user_id, k, CAST(n AS BIGINT) AS n_items, CAST(n_re
        FROM s)""")
 
 
-def _curve_sql(extra_select: str = "") -> str:
-    return with_("impr", "preds", extra="""d AS (SELECT model, y_pred AS score,
+CURVE_BODY = """d AS (SELECT model, y_pred AS score,
              SUM(CASE WHEN y_true > 0 THEN 1 ELSE 0 END) AS pos,
              SUM(CASE WHEN y_true > 0 THEN 0 ELSE 1 END) AS neg
       FROM preds GROUP BY model, y_pred),
@@ -63,7 +62,23 @@ c AS (SELECT *,
         SUM(pos) OVER (PARTITION BY model) AS P, SUM(neg) OVER (PARTITION BY model) AS N
       FROM d),
 cv AS (SELECT model, score, pos, neg, below_neg, P, N,
-              CAST(P - below_pos AS DOUBLE) AS tp, CAST(N - below_neg AS DOUBLE) AS fp FROM c)""")
+              CAST(P - below_pos AS DOUBLE) AS tp, CAST(N - below_neg AS DOUBLE) AS fp FROM c)"""
+
+BEST_BODY = """f AS (SELECT model, score,
+  (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) AS p,
+  (CASE WHEN P > 0 THEN tp / P ELSE 0.0 END) AS r FROM cv),
+g AS (SELECT model, score, 2.0 * p * r / (p + r + 1e-9) AS f1 FROM f),
+b AS (SELECT model, score, f1, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, score ASC) AS rn FROM g)"""
+
+AUC_BODY = """au AS (SELECT model,
+  CASE WHEN MAX(P) > 0 AND MAX(N) > 0 THEN
+    round(SUM(pos * (below_neg + CAST(neg AS DOUBLE) / 2)) / (CAST(MAX(P) AS DOUBLE) * MAX(N)), 6) END AS auc,
+  CASE WHEN MAX(P) > 0 THEN round(SUM(CAST(pos AS DOUBLE) / P * (tp / (tp + fp))), 6) END AS ap
+  FROM cv GROUP BY model)"""
+
+
+def _curve_sql(extra_select: str = "") -> str:
+    return with_("impr", "preds", extra=CURVE_BODY)
 
 
 AUC_SQL = _curve_sql() + """SELECT model,
@@ -80,12 +95,7 @@ PR_SQL = _curve_sql() + """SELECT model, round(score, 6) AS threshold,
   round(CASE WHEN P > 0 THEN tp / P ELSE 0.0 END, 6) AS recall
 FROM cv"""
 
-BEST_F1_SQL = _curve_sql() + """, f AS (SELECT model, score,
-  (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) AS p,
-  (CASE WHEN P > 0 THEN tp / P ELSE 0.0 END) AS r FROM cv),
-g AS (SELECT model, score, 2.0 * p * r / (p + r + 1e-9) AS f1 FROM f),
-b AS (SELECT model, score, f1, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, score ASC) AS rn FROM g)
-SELECT model, round(score, 6) AS threshold, round(f1, 6) AS f1 FROM b WHERE rn = 1"""
+BEST_F1_SQL = with_("impr", "preds", extra=CURVE_BODY + ",\n" + BEST_BODY) + """SELECT model, round(score, 6) AS threshold, round(f1, 6) AS f1 FROM b WHERE rn = 1"""
 
 PRF_SQL = with_("impr", "preds") + f"""SELECT model, cnt AS samples,
   round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
@@ -164,7 +174,7 @@ def q_user_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRACKER_KS = [1, 3, 5]
-TRACKER_SQL = with_("impr", "preds", extra=f"""r AS (SELECT model, impression_id, y_pred AS s, CAST(y_true > 0 AS INT) AS l,
+TRACKER_BODY = f"""r AS (SELECT model, impression_id, y_pred AS s, CAST(y_true > 0 AS INT) AS l,
    row_number() OVER (PARTITION BY model, impression_id ORDER BY y_pred DESC, row_id) AS rk,
    SUM(CAST(y_true > 0 AS INT)) OVER (PARTITION BY model, impression_id ORDER BY y_pred DESC, row_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
@@ -184,7 +194,8 @@ sl AS (SELECT model, impression_id, k, MAX(n) AS n, MAX(nr) AS nr, SUM(h) AS h,
 m AS (SELECT model, k, COUNT(*) AS slates, SUM(nr) AS rel, SUM(h) AS h,
              SUM(CASE WHEN h > 0 THEN a / h ELSE 0 END) AS ap,
              SUM(d / {_IDEAL.format(n="LEAST(k, n, nr)")}) AS nd
-      FROM sl GROUP BY model, k)""")
+      FROM sl GROUP BY model, k)"""
+TRACKER_SQL = with_("impr", "preds", extra=TRACKER_BODY)
 
 
 @register("ranking_tracker", TRACKER_SQL + """SELECT model, CAST(slates AS BIGINT) AS slates, k,
