@@ -100,7 +100,7 @@ def slate_auc(df: DataFrame, slate_cols: list[str], score_col: str, label_col: s
 
 def ranking_tracker(df: DataFrame, k_values: list[int], slate_col: str = "impression_id",
                     group_cols: list[str] = ("model",), item_col: str = "row_id",
-                    score_col: str = "y_pred", label_col: str = "y_true") -> DataFrame:
+                    score_col: str = "y_pred", label_col: str = "y_true", rounded: bool = True) -> DataFrame:
     """Slate-averaged ranking metrics per group (model) and k.
 
     Skips slates with < 2 rows or no relevant row. Per k:
@@ -143,11 +143,12 @@ def ranking_tracker(df: DataFrame, k_values: list[int], slate_col: str = "impres
                   F.sum(safe_div(F.col(f"a{k}"), F.col(f"h{k}"))).alias(f"ap{k}"),
                   F.sum(safe_div(F.col(f"d{k}"), ideal)).alias(f"nd{k}")]
     m = s.groupBy(*g).agg(*gaggs)
+    rnd = r6 if rounded else (lambda c: c.cast("double"))
     rows = [F.struct(F.lit(k).alias("k"),
-                     r6(F.col(f"h{k}") / (F.col("slates") * F.lit(k))).alias("precision"),
-                     r6(F.col(f"h{k}") / F.col("relevant")).alias("recall"),
-                     r6(F.col(f"ap{k}") / F.col("slates")).alias("ap"),
-                     r6(F.col(f"nd{k}") / F.col("slates")).alias("ndcg")) for k in k_values]
+                     rnd(F.col(f"h{k}") / (F.col("slates") * F.lit(k))).alias("precision"),
+                     rnd(F.col(f"h{k}") / F.col("relevant")).alias("recall"),
+                     rnd(F.col(f"ap{k}") / F.col("slates")).alias("ap"),
+                     rnd(F.col(f"nd{k}") / F.col("slates")).alias("ndcg")) for k in k_values]
     return m.select(*g, F.col("slates").cast("bigint").alias("slates"),
                     F.explode(F.array(*rows)).alias("x")).select(*g, "slates", "x.*")
 
