@@ -223,9 +223,9 @@ def q_viable_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLUSTER_SQL = "CAST(('0x' || substr(md5('cluster|' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS INT)"
 
 
-def inter_clusters(it: DataFrame) -> DataFrame:
-    """Deterministic 3-way user clustering for the interaction fixture."""
-    return it.select("user_id").distinct().select("user_id", (md5_draw("cluster", "user_id") % 3).cast("int").alias("cluster"))
+def inter_clusters(it: DataFrame, n: int = 3) -> DataFrame:
+    """Deterministic n-way user clustering for the interaction fixture."""
+    return it.select("user_id").distinct().select("user_id", (md5_draw("cluster", "user_id") % n).cast("int").alias("cluster"))
 
 
 @register("cluster_ground_truth", with_("inter", "cut") + f"""SELECT DISTINCT {CLUSTER_SQL} AS cluster, item_id
