@@ -3,14 +3,17 @@
 2.6 ``dual_pool_metrics``, 2.9 candidate generation).
 
 The reference scores every user against every eligible article. When the
-ranking score of the pool is item-level (popularity, catalog order, or a
-zero-similarity fill), the exact top k of ``pool minus the user's history``
-lies within the first ``k + |history in pool|`` positions of the global
-item order. So each user needs only that many positions: they are generated
-per user (``sequence``) and equi-joined on the global rank. Work and output
-are O(users x (k + history)), never O(users x pool), and no cross join is
-planned. Full-pool AUC is likewise exact from global prefix counts minus the
-user's own excluded and relevant items.
+ranking score of the pool is item-level (popularity, recency, catalog
+order, or a zero-similarity fill), the exact top k of ``pool minus the
+user's history`` lies within the first ``k + |history in pool|`` positions
+of the global item order. So each user needs only that many positions:
+they are generated per user (``sequence``) and equi-joined on the global
+rank. Work and output are O(users x (k + history)), never O(users x pool),
+and no cross join is planned. Full-pool AUC is likewise exact from global
+prefix counts minus the user's own excluded and relevant items.
+
+Every function takes optional ``group_cols`` (e.g. scorer and history
+variant): all groups are evaluated in the same job, keyed by those columns.
 """
 
 from __future__ import annotations
@@ -20,74 +23,84 @@ from pyspark.sql import functions as F
 
 from slatewise.functions.common import safe_div
 from slatewise.operators.classification import score_prefix
+from slatewise.operators.positions import row_positions
 from slatewise.operators.ranking import _disc_sum
 
-BROADCAST_ROWS = 2_000_000
 
+def _key(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Constant group key when there is none, so joins stay equi-joins."""
+    if group_cols:
+        return df, list(group_cols)
+    return df.withColumn("_grp", F.lit(0)), ["_grp"]
 
-def global_order(pool: DataFrame, m: int, item_col: str = "item_id", score_col: str = "score") -> DataFrame:
-    """First ``m`` pool items by (score desc, item asc) with their global rank.
 
-    ``orderBy().limit(m)`` plans a distributed top-m (per-partition top-m,
-    then a merge), so only m rows reach the single ranking task.
-    """
-    top = pool.select(item_col, score_col).orderBy(F.col(score_col).desc(), F.col(item_col).asc()).limit(m)
-    w = Window.orderBy(F.col(score_col).desc(), F.col(item_col).asc())
-    return top.withColumn("g_rank", F.row_number().over(w))
+def global_order(pool: DataFrame, item_col: str = "item_id", score_col: str = "score",
+                 group_cols: list[str] = ()) -> DataFrame:
+    """Every pool item with its rank ``g_rank`` by (score desc, item asc) per
+    group, computed bucket-parallel (no single-task sort, no driver action)."""
+    g = list(group_cols)
+    p = pool.select(*g, item_col, score_col).withColumn("_neg", -F.col(score_col))
+    return row_positions(p, ["_neg", item_col], g, "g_rank").drop("_neg")
 
 
 def excluded_in_pool(excluded: DataFrame, pool: DataFrame, user_col: str = "user_id",
-                     item_col: str = "item_id") -> DataFrame:
+                     item_col: str = "item_id", group_cols: list[str] = ()) -> DataFrame:
     """The user's excluded items that are in the pool."""
-    return excluded.select(user_col, item_col).join(pool.select(item_col), item_col, "left_semi")
+    g = list(group_cols)
+    return excluded.select(*g, user_col, item_col).join(pool.select(*g, item_col), [*g, item_col], "left_semi")
 
 
 def topk_excluding(users: DataFrame, excluded: DataFrame, pool: DataFrame, k: int,
                    user_col: str = "user_id", item_col: str = "item_id",
-                   score_col: str = "score") -> DataFrame:
+                   score_col: str = "score", group_cols: list[str] = ()) -> DataFrame:
     """Exact top k of (pool minus the user's excluded items) for every user.
 
-    users: (user); excluded: (user, item) e.g. history; pool: (item, score).
-    Returns (user, rank, item, score).
+    users: (group, user); excluded: (group, user, item) e.g. history;
+    pool: (group, item, score). Returns (group, user, rank, item, score).
     """
-    ex = excluded_in_pool(excluded, pool, user_col, item_col)
-    h = ex.groupBy(user_col).agg(F.count(F.lit(1)).alias("_h"))
-    u = users.select(user_col).distinct().join(h, user_col, "left").fillna(0, ["_h"])
-    max_h = u.agg(F.max("_h")).first()[0] or 0   # small scalar parameter
-    m = k + int(max_h)
-    g = global_order(pool, m, item_col, score_col)
-    if m <= BROADCAST_ROWS:   # m rows at most: size bound known before the join
-        g = F.broadcast(g)
-    pos = u.select(user_col, F.explode(F.sequence(F.lit(1), F.col("_h") + F.lit(k))).alias("g_rank"))
-    cand = pos.join(g, "g_rank").join(ex, [user_col, item_col], "left_anti")
-    w = Window.partitionBy(user_col).orderBy("g_rank")
+    g = list(group_cols)
+    ex = excluded_in_pool(excluded, pool, user_col, item_col, g)
+    h = ex.groupBy(*g, user_col).agg(F.count(F.lit(1)).alias("_h"))
+    u = users.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
+    go = global_order(pool, item_col, score_col, g)
+    pos = u.select(*g, user_col, F.explode(F.sequence(F.lit(1), F.col("_h") + F.lit(k))).alias("g_rank"))
+    cand = pos.join(go, [*g, "g_rank"]).join(ex, [*g, user_col, item_col], "left_anti")
+    w = Window.partitionBy(*g, user_col).orderBy("g_rank")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select(user_col, "rank", item_col, score_col))
+                .select(*g, user_col, "rank", item_col, score_col))
 
 
 def pool_sizes(users: DataFrame, excluded: DataFrame, pool: DataFrame, user_col: str = "user_id",
-               item_col: str = "item_id") -> DataFrame:
+               item_col: str = "item_id", group_cols: list[str] = ()) -> DataFrame:
     """Per user: number of candidates = |pool| - |excluded in pool|."""
-    n_pool = pool.agg(F.count(F.lit(1)).alias("_np"))
-    ex = excluded_in_pool(excluded, pool, user_col, item_col)
-    h = ex.groupBy(user_col).agg(F.count(F.lit(1)).alias("_h"))
-    npool = n_pool.first()["_np"]   # one number
-    return (users.select(user_col).distinct().join(h, user_col, "left").fillna(0, ["_h"])
-                 .select(user_col, (F.lit(npool) - F.col("_h")).alias("num_candidates")))
+    pool_k, g = _key(pool, list(group_cols))
+    users_k, _ = _key(users, list(group_cols))
+    excl_k, _ = _key(excluded, list(group_cols))
+    n_pool = pool_k.groupBy(*g).agg(F.count(F.lit(1)).alias("_np"))   # one row per group
+    ex = excluded_in_pool(excl_k, pool_k, user_col, item_col, g)
+    h = ex.groupBy(*g, user_col).agg(F.count(F.lit(1)).alias("_h"))
+    out = (users_k.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
+           .join(F.broadcast(n_pool), g)
+           .select(*g, user_col, (F.col("_np") - F.col("_h")).alias("num_candidates")))
+    return out if group_cols else out.drop("_grp")
 
 
 def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_values: list[int],
-                         user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
-    """P/R/AP/DCG/nDCG@k per user from ranked recommendations (rank 1..max k).
-
-    truth: (user, item) relevant items already restricted to the user's
-    candidates; sizes: (user, num_candidates). Same semantics as the per-slate
-    metrics: k_eff = min(k, candidates), precision = hits/k_eff, recall =
-    hits/|truth|, both 0 when truth is empty; empty pool -> zeros.
+                         user_col: str = "user_id", item_col: str = "item_id",
+                         group_cols: list[str] = ()) -> DataFrame:
+    """P/R/AP/nDCG@k per user from ranked recommendations (rank 1..max k).
+
+    truth: (group, user, item) relevant items already restricted to the
+    user's candidates; sizes: (group, user, num_candidates). Same semantics
+    as the per-slate metrics: k_eff = min(k, candidates), precision =
+    hits/k_eff, recall = hits/|truth|, both 0 when truth is empty; empty pool
+    -> zeros.
     """
-    t = truth.select(user_col, item_col).withColumn("_hit", F.lit(1))
-    r = recs.join(t, [user_col, item_col], "left").fillna(0, ["_hit"])
-    w = Window.partitionBy(user_col).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    g = list(group_cols)
+    key = [*g, user_col]
+    t = truth.select(*key, item_col).withColumn("_hit", F.lit(1))
+    r = recs.join(t, [*key, item_col], "left").fillna(0, ["_hit"])
+    w = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("_c", F.sum("_hit").over(w))
     aggs = []
     for k in k_values:
@@ -95,9 +108,9 @@ def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_
         aggs += [F.sum(F.col("_hit") * top).alias(f"h{k}"),
                  F.sum(F.col("_hit") * top * F.col("_c") / F.col("rank")).alias(f"a{k}"),
                  F.sum(F.col("_hit") * top / F.log2(F.col("rank") + F.lit(1))).alias(f"d{k}")]
-    per = r.groupBy(user_col).agg(*aggs)
-    nt = truth.groupBy(user_col).agg(F.count(F.lit(1)).alias("_nt"))
-    base = sizes.join(nt, user_col, "left").join(per, user_col, "left").fillna(0)
+    per = r.groupBy(*key).agg(*aggs)
+    nt = truth.groupBy(*key).agg(F.count(F.lit(1)).alias("_nt"))
+    base = sizes.join(nt, key, "left").join(per, key, "left").fillna(0)
     rows = []
     for k in k_values:
         keff = F.least(F.lit(k), F.col("num_candidates"))
@@ -109,12 +122,13 @@ def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_
             F.when(F.col("_nt") > 0, safe_div(hits, F.col("_nt"))).otherwise(0.0).alias("recall"),
             safe_div(F.col(f"a{k}"), hits).alias("ap"),
             safe_div(F.col(f"d{k}"), ideal).alias("ndcg")))
-    return base.select(user_col, F.col("_nt").cast("bigint").alias("num_truth"),
-                       F.explode(F.array(*rows)).alias("m")).select(user_col, "num_truth", "m.*")
+    return base.select(*key, F.col("_nt").cast("bigint").alias("num_truth"),
+                       F.explode(F.array(*rows)).alias("m")).select(*key, "num_truth", "m.*")
 
 
 def pool_auc(users: DataFrame, excluded: DataFrame, truth: DataFrame, pool: DataFrame,
-             user_col: str = "user_id", item_col: str = "item_id", score_col: str = "score") -> DataFrame:
+             user_col: str = "user_id", item_col: str = "item_id", score_col: str = "score",
+             group_cols: list[str] = ()) -> DataFrame:
     """Exact AUC of item-level scores over each user's pool minus excluded items.
 
     For a relevant item with score s: negatives below s = (pool items below s)
@@ -124,26 +138,32 @@ def pool_auc(users: DataFrame, excluded: DataFrame, truth: DataFrame, pool: Data
     excluded + relevant rows. Null when a user has no relevant or no negative
     candidate.
     """
-    ps = pool.select(item_col, F.col(score_col).alias("_s"))
-    d = ps.groupBy("_s").agg(F.count(F.lit(1)).alias("eq"))
-    gl = score_prefix(d, [], "_s", ["eq"]).select("_s", F.col("below_eq").alias("g_below"),
-                                                   F.col("eq").alias("g_eq"), F.col("tot_eq").alias("n_pool"))
-    ex = excluded_in_pool(excluded, pool, user_col, item_col).join(ps, item_col).select(
-        user_col, "_s", F.lit(1).alias("_x"), F.lit(0).alias("_t"))
-    tr = truth.select(user_col, item_col).join(ps, item_col).select(
-        user_col, "_s", F.lit(0).alias("_x"), F.lit(1).alias("_t"))
-    u = ex.unionByName(tr).groupBy(user_col, "_s").agg(F.sum("_x").alias("x_eq"), F.sum("_t").alias("t_eq"))
-    w = Window.partitionBy(user_col).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(user_col)
+    pool_k, g = _key(pool, list(group_cols))
+    users_k, _ = _key(users, list(group_cols))
+    excl_k, _ = _key(excluded, list(group_cols))
+    truth_k, _ = _key(truth, list(group_cols))
+    ps = pool_k.select(*g, item_col, F.col(score_col).alias("_s"))
+    d = ps.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("eq"))
+    gl = score_prefix(d, g, "_s", ["eq"]).select(*g, "_s", F.col("below_eq").alias("g_below"),
+                                                  F.col("eq").alias("g_eq"), F.col("tot_eq").alias("n_pool"))
+    ex = excluded_in_pool(excl_k, pool_k, user_col, item_col, g).join(ps, [*g, item_col]).select(
+        *g, user_col, "_s", F.lit(1).alias("_x"), F.lit(0).alias("_t"))
+    tr = truth_k.select(*g, user_col, item_col).join(ps, [*g, item_col]).select(
+        *g, user_col, "_s", F.lit(0).alias("_x"), F.lit(1).alias("_t"))
+    key = [*g, user_col]
+    u = ex.unionByName(tr).groupBy(*key, "_s").agg(F.sum("_x").alias("x_eq"), F.sum("_t").alias("t_eq"))
+    w = Window.partitionBy(*key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    wt = Window.partitionBy(*key)
     u = u.select("*", F.coalesce(F.sum("x_eq").over(w), F.lit(0)).alias("x_below"),
                  F.coalesce(F.sum("t_eq").over(w), F.lit(0)).alias("t_below"),
                  F.sum("x_eq").over(wt).alias("n_x"), F.sum("t_eq").over(wt).alias("n_t"))
-    j = u.join(gl, "_s")
+    j = u.join(gl, [*g, "_s"])
     neg_below = F.col("g_below") - F.col("x_below") - F.col("t_below")
     neg_eq = F.col("g_eq") - F.col("x_eq") - F.col("t_eq")
-    a = j.groupBy(user_col).agg(
+    a = j.groupBy(*key).agg(
         F.sum(F.col("t_eq") * (neg_below + neg_eq / F.lit(2.0))).alias("num"),
         F.first("n_t").alias("P"), F.first(F.col("n_pool") - F.col("n_x") - F.col("n_t")).alias("N"))
-    res = a.select(user_col, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                    F.col("num") / (F.col("P") * F.col("N"))).alias("auc"))
-    return users.select(user_col).distinct().join(res, user_col, "left")
+    res = a.select(*key, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                F.col("num") / (F.col("P") * F.col("N"))).alias("auc"))
+    out = users_k.select(*key).distinct().join(res, key, "left")
+    return out if group_cols else out.drop("_grp")

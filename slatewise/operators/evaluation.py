@@ -8,6 +8,9 @@ For every user at once:
 Full-pool ranking uses item-level scores, so top-k and AUC are exact from
 the global item order (see :mod:`slatewise.operators.candidates`); the
 behavior pool is explicit (user, item) rows ranked per user.
+
+``group_cols`` (e.g. scorer, history variant) run many evaluations in one
+job: every input carries the group key and all operators key on it.
 """
 
 from __future__ import annotations
@@ -23,64 +26,76 @@ METRICS = ("precision", "recall", "ap", "ndcg", "num_recommendations")
 
 
 def dual_pool_metrics(users: DataFrame, history: DataFrame, pool_scores: DataFrame, future: DataFrame,
-                      shown: DataFrame, k_values: list[int]):
-    """Long metrics (user, pool, k, precision, recall, ap, ndcg, num_recommendations)
-    plus per-user pool counts and AUCs.
+                      shown: DataFrame, k_values: list[int], group_cols: list[str] = ()):
+    """Long metrics (group, user, pool, k, precision, recall, ap, ndcg,
+    num_recommendations) plus per-user pool counts and AUCs.
 
-    users (user_id); history (user_id, item_id) excluded items; pool_scores
-    (item_id, score) of the pool; future / shown (user_id, item_id) after the cutoff.
+    users (group, user_id); history (group, user_id, item_id) excluded items;
+    pool_scores (group, item_id, score); future / shown (user_id, item_id)
+    after the cutoff (shared by all groups).
     """
-    pool = pool_scores.select("item_id", "score")
-    cand_truth = (future.select("user_id", "item_id").join(pool.select("item_id"), "item_id", "left_semi")
-                  .join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
-    sizes = CA.pool_sizes(users, history, pool)
-    recs = CA.topk_excluding(users, history, pool, max(k_values))
-    full = CA.pool_ranking_metrics(recs, cand_truth, sizes, k_values)
-    auc_full = CA.pool_auc(users, history, cand_truth, pool).withColumnRenamed("auc", "auc_full")
+    g = list(group_cols)
+    key = [*g, "user_id"]
+    pool = pool_scores.select(*g, "item_id", "score")
+    hist = history.select(*g, "user_id", "item_id")
+    fut = future.select("user_id", "item_id")
+    # truth inside each group's full pool: clicks of the group's users on pool items, not in history
+    cand_truth = (users.select(*key).distinct().join(fut, "user_id")
+                  .join(pool.select(*g, "item_id"), [*g, "item_id"], "left_semi")
+                  .join(hist, [*key, "item_id"], "left_anti"))
+    sizes = CA.pool_sizes(users, hist, pool, group_cols=g)
+    recs = CA.topk_excluding(users, hist, pool, max(k_values), group_cols=g)
+    full = CA.pool_ranking_metrics(recs, cand_truth, sizes, k_values, group_cols=g)
+    auc_full = CA.pool_auc(users, hist, cand_truth, pool, group_cols=g).withColumnRenamed("auc", "auc_full")
 
-    beh = (shown.select("user_id", "item_id").join(pool, "item_id")
-           .join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
-    fut = future.select("user_id", "item_id").withColumn("label", F.lit(1))
-    beh = beh.join(fut, ["user_id", "item_id"], "left").fillna(0, ["label"])
-    bm = R.slate_metrics(beh, ["user_id"], "item_id", "score", "label", k_values)
-    auc_beh = R.slate_auc(beh, ["user_id"], "score", "label").withColumnRenamed("auc", "auc_behavior")
+    beh = (users.select(*key).distinct().join(shown.select("user_id", "item_id"), "user_id")
+           .join(pool, [*g, "item_id"]).join(hist, [*key, "item_id"], "left_anti"))
+    beh = beh.join(fut.withColumn("label", F.lit(1)), ["user_id", "item_id"], "left").fillna(0, ["label"])
+    bm = R.slate_metrics(beh, key, "item_id", "score", "label", k_values)
+    auc_beh = R.slate_auc(beh, key, "score", "label").withColumnRenamed("auc", "auc_behavior")
 
-    cols = ["user_id", "k", "precision", "recall", "ap", "ndcg", "num_recommendations"]
+    cols = [*key, "k", "precision", "recall", "ap", "ndcg", "num_recommendations"]
     long = (full.select(*cols, F.lit("full").alias("pool"))
             .unionByName(bm.select(*cols, F.lit("behavior").alias("pool"))))
-    counts = (sizes.join(full.select("user_id", F.col("num_truth").alias("num_ground_truth_all")).distinct(), "user_id", "left")
-              .join(bm.select("user_id", F.col("n_items").alias("num_candidates_behavior"),
-                              F.col("n_relevant").alias("num_ground_truth_in_behavior")).distinct(), "user_id", "left")
+    first_k = min(k_values)
+    counts = (sizes
+              .join(full.filter(F.col("k") == first_k).select(*key, F.col("num_truth").alias("num_ground_truth_all")),
+                    key, "left")
+              .join(bm.filter(F.col("k") == first_k).select(*key, F.col("n_items").alias("num_candidates_behavior"),
+                                                              F.col("n_relevant").alias("num_ground_truth_in_behavior")),
+                    key, "left")
               .fillna(0, ["num_ground_truth_all", "num_candidates_behavior", "num_ground_truth_in_behavior"])
               .withColumnRenamed("num_candidates", "num_candidates_full"))
     return long, counts, auc_full, auc_beh
 
 
 def user_eval_rows(users: DataFrame, history: DataFrame, pool_scores: DataFrame, future: DataFrame,
-                   shown: DataFrame, k_values: list[int]) -> DataFrame:
-    """One wide row per user: bookkeeping counts, {metric}_{pool}_{k}, auc_full,
-    auc_behavior. Users with an empty pool get zeros (and null AUC)."""
-    long, counts, auc_full, auc_beh = dual_pool_metrics(users, history, pool_scores, future, shown, k_values)
+                   shown: DataFrame, k_values: list[int], group_cols: list[str] = ()) -> DataFrame:
+    """One wide row per (group, user): bookkeeping counts, {metric}_{pool}_{k},
+    auc_full, auc_behavior. Users with an empty pool get zeros (and null AUC)."""
+    g = list(group_cols)
+    key = [*g, "user_id"]
+    long, counts, auc_full, auc_beh = dual_pool_metrics(users, history, pool_scores, future, shown, k_values, g)
     aggs = []
     for pool in ("full", "behavior"):
         for k in k_values:
             for m in METRICS:
                 sel = (F.col("pool") == pool) & (F.col("k") == k)
                 aggs.append(F.max(F.when(sel, F.col(m))).alias(f"{m}_{pool}_{k}"))
-    wide = long.groupBy("user_id").agg(*aggs)
-    hl = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("original_history_len"))
+    wide = long.groupBy(*key).agg(*aggs)
+    hl = history.groupBy(*key).agg(F.count(F.lit(1)).alias("original_history_len"))
     nf = future.groupBy("user_id").agg(F.countDistinct("item_id").alias("num_future_clicks"))
     ns = shown.groupBy("user_id").agg(F.countDistinct("item_id").alias("num_shown_articles"))
-    out = (users.select("user_id").distinct()
-           .join(hl, "user_id", "left").join(nf, "user_id", "left").join(ns, "user_id", "left")
-           .join(counts, "user_id", "left").join(wide, "user_id", "left")
-           .join(auc_full, "user_id", "left").join(auc_beh, "user_id", "left"))
+    out = (users.select(*key).distinct()
+           .join(hl, key, "left").join(nf, "user_id", "left").join(ns, "user_id", "left")
+           .join(counts, key, "left").join(wide, key, "left")
+           .join(auc_full, key, "left").join(auc_beh, key, "left"))
     metric_cols = [f"{m}_{p}_{k}" for p in ("full", "behavior") for k in k_values for m in METRICS]
     out = out.fillna(0, ["original_history_len", "num_future_clicks", "num_shown_articles", "num_candidates_full",
                          "num_ground_truth_all", "num_candidates_behavior", "num_ground_truth_in_behavior"])
     out = out.fillna(0, metric_cols)
     out = out.withColumn("num_history_articles", F.least(F.col("original_history_len"), F.lit(50)))
-    return out.select("user_id", "num_history_articles", "original_history_len", "num_future_clicks",
+    return out.select(*key, "num_history_articles", "original_history_len", "num_future_clicks",
                       "num_shown_articles", "num_candidates_full", "num_candidates_behavior",
                       "num_ground_truth_all", "num_ground_truth_in_behavior",
                       *[r6(F.col(c)).alias(c) if not c.startswith("num_") else F.col(c).cast("bigint").alias(c)

@@ -22,6 +22,7 @@ from slatewise.plans.feature_queries import TFIDF_SQL, news_tfidf
 from slatewise.plans.history_queries import UARR_SQL, user_donors
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
+from slatewise.session import materialize
 from slatewise.plans.slate_queries import CLEAN_SQL, CLUSTER_SQL, POOL_CTE, UHIST_CTE, inter_clusters, inter_cut
 
 MIN_SIM = 0.02
@@ -188,11 +189,13 @@ METHOD_SQL = {
 
 
 def experiment_inputs(spark: SparkSession, sf_dir: str):
+    """Users, own histories, future clicks and shown items, each written once
+    (checkpoint) because every evaluation branch reads them."""
     it, cut = inter_cut(spark, sf_dir)
-    users = it.select("user_id").distinct()
-    own = I.user_history(it, cut).select("user_id", "item_id")
-    future = I.user_future_clicks(it, cut)
-    shown = I.user_shown_articles(it, cut)
+    users = materialize(it.select("user_id").distinct())
+    own = materialize(I.user_history(it, cut).select("user_id", "item_id"))
+    future = materialize(I.user_future_clicks(it, cut))
+    shown = materialize(I.user_shown_articles(it, cut))
     return it, cut, users, own, future, shown
 
 
@@ -200,24 +203,30 @@ def swapped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor-swapped history with drift 1.0: (user, item, donor_user_id)."""
     d = user_donors(spark, sf_dir)
     sw, _ = H.make_swapped("history", "donor_history", 1.0, 50, True)
-    return d.select("user_id", "donor_user_id", F.explode(sw).alias("item_id")).distinct()
+    return materialize(d.select("user_id", "donor_user_id", F.explode(sw).alias("item_id")).distinct())
 
 
 def experiment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All (scorer, history variant) combinations evaluated in one job, keyed by
+    (method, variant): inputs are tagged with the key instead of running one
+    job per combination."""
     it, cut, users, own, future, shown = experiment_inputs(spark, sf_dir)
     swap = swapped_history(spark, sf_dir)
-    donors = swap.select("user_id", "donor_user_id").distinct()
-    out = None
-    for m, ps in method_scores(it, cut).items():
-        for variant, hist in (("own", own), ("donor", swap.select("user_id", "item_id"))):
-            rows = EV.user_eval_rows(users, hist, ps, future, shown, EVAL_KS)
-            rows = rows.withColumn("method", F.lit(m)).withColumn("variant", F.lit(variant))
-            if variant == "donor":
-                rows = rows.join(donors, "user_id", "left")
-            else:
-                rows = rows.withColumn("donor_user_id", F.lit(None).cast("bigint"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    donors = swap.select("user_id", "donor_user_id").distinct().withColumn("variant", F.lit("donor"))
+    methods = F.array(*[F.lit(m) for m in METHODS])
+    variants = F.array(F.lit("own"), F.lit("donor"))
+    scores = method_scores(it, cut)
+    pool = None
+    for m, ps in scores.items():
+        t = ps.withColumn("method", F.lit(m))
+        pool = t if pool is None else pool.unionByName(t)
+    pool = materialize(pool).withColumn("variant", F.explode(variants))
+    hist = (own.withColumn("variant", F.lit("own"))
+            .unionByName(swap.select("user_id", "item_id").withColumn("variant", F.lit("donor")))
+            .withColumn("method", F.explode(methods)))
+    ug = users.withColumn("method", F.explode(methods)).withColumn("variant", F.explode(variants))
+    rows = EV.user_eval_rows(ug, hist, pool, future, shown, EVAL_KS, ["method", "variant"])
+    return rows.join(donors, ["user_id", "variant"], "left")
 
 
 EXP_COLS = ["num_history_articles", "num_future_clicks", "num_candidates_full", "num_candidates_behavior",

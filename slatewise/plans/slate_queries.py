@@ -65,7 +65,7 @@ def q_explode_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("impression_id", "user_id", F.col("candidate_id").cast("bigint").alias("candidate_id"), "label")
 
 
-@register("read_behaviors", with_("impr", "behav")
+@register("behav_wire", with_("impr", "behav")
     + "SELECT impression_id, user_id, strftime(ts, " + TS_FMT_SQL + ") AS ts, impressions FROM behav")
 def q_behav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire-format slates (what a behaviors file holds), built from the tables."""

@@ -56,3 +56,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="slatewise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def materialize(df):
+    """Cut lineage of a reused intermediate by a reliable checkpoint in the
+    session's shared ``spark.checkpoint.dir`` (never a local checkpoint): the
+    later plan reads the written table instead of re-planning the whole
+    lineage at every use, and survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
