@@ -100,9 +100,13 @@ def slate_auc(df: DataFrame, slate_cols: list[str], score_col: str, label_col: s
 
 def ranking_tracker(df: DataFrame, k_values: list[int], slate_col: str = "impression_id",
                     group_cols: list[str] = ("model",), item_col: str = "row_id",
-                    score_col: str = "y_pred", label_col: str = "y_true", rounded: bool = True) -> DataFrame:
+                    score_col: str = "y_pred", label_col: str = "y_true", rounded: bool = True,
+                    finalize: bool = True) -> DataFrame:
     """Slate-averaged ranking metrics per group (model) and k.
 
+    ``finalize=False`` returns mergeable sums (slates, relevant, hits,
+    ap_sum, ndcg_sum per group and k) for incremental use.
+
     Skips slates with < 2 rows or no relevant row. Per k:
     precision = total hits / (slates * k) (k not capped), recall = total hits /
     total relevant (micro), ap = mean AP@k_eff, ndcg = mean nDCG@k_eff where
@@ -143,14 +147,25 @@ def ranking_tracker(df: DataFrame, k_values: list[int], slate_col: str = "impres
                   F.sum(safe_div(F.col(f"a{k}"), F.col(f"h{k}"))).alias(f"ap{k}"),
                   F.sum(safe_div(F.col(f"d{k}"), ideal)).alias(f"nd{k}")]
     m = s.groupBy(*g).agg(*gaggs)
+    rows = [F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits"), F.col(f"ap{k}").alias("ap_sum"),
+                     F.col(f"nd{k}").alias("ndcg_sum")) for k in k_values]
+    sums = m.select(*g, "slates", "relevant", F.explode(F.array(*rows)).alias("x")).select(*g, "slates", "relevant", "x.*")
+    return sums if not finalize else finalize_tracker(sums, g, rounded)
+
+
+def finalize_tracker(sums: DataFrame, group_cols: list[str], rounded: bool = True) -> DataFrame:
+    """Metrics from (mergeable) tracker sums: several partial sums of the same
+    group and k (e.g. from stream micro-batches) are added first."""
+    g = list(group_cols)
+    t = sums.groupBy(*g, "k").agg(F.sum("slates").alias("slates"), F.sum("relevant").alias("relevant"),
+                                  F.sum("hits").alias("hits"), F.sum("ap_sum").alias("ap_sum"),
+                                  F.sum("ndcg_sum").alias("ndcg_sum"))
     rnd = r6 if rounded else (lambda c: c.cast("double"))
-    rows = [F.struct(F.lit(k).alias("k"),
-                     rnd(F.col(f"h{k}") / (F.col("slates") * F.lit(k))).alias("precision"),
-                     rnd(F.col(f"h{k}") / F.col("relevant")).alias("recall"),
-                     rnd(F.col(f"ap{k}") / F.col("slates")).alias("ap"),
-                     rnd(F.col(f"nd{k}") / F.col("slates")).alias("ndcg")) for k in k_values]
-    return m.select(*g, F.col("slates").cast("bigint").alias("slates"),
-                    F.explode(F.array(*rows)).alias("x")).select(*g, "slates", "x.*")
+    return t.select(*g, F.col("slates").cast("bigint").alias("slates"), "k",
+                    rnd(F.col("hits") / (F.col("slates") * F.col("k"))).alias("precision"),
+                    rnd(F.col("hits") / F.col("relevant")).alias("recall"),
+                    rnd(F.col("ap_sum") / F.col("slates")).alias("ap"),
+                    rnd(F.col("ndcg_sum") / F.col("slates")).alias("ndcg"))
 
 
 def ideal_dcg_value(n: int) -> float:
