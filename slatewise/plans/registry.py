@@ -34,7 +34,7 @@ def load_all() -> None:
     )
     for mod in ("slate_queries", "feature_queries", "candidate_queries", "sampling_queries",
                 "history_queries", "ensemble_queries", "summary_queries", "source_queries",
-                "stream_queries"):
+                "stream_queries", "model_queries"):
         try:
             __import__(f"slatewise.plans.{mod}")
         except ModuleNotFoundError as e:
