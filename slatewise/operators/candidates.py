@@ -27,13 +27,6 @@ from slatewise.operators.positions import row_positions
 from slatewise.operators.ranking import _disc_sum
 
 
-def _key(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Constant group key when there is none, so joins stay equi-joins."""
-    if group_cols:
-        return df, list(group_cols)
-    return df.withColumn("_grp", F.lit(0)), ["_grp"]
-
-
 def global_order(pool: DataFrame, item_col: str = "item_id", score_col: str = "score",
                  group_cols: list[str] = ()) -> DataFrame:
     """Every pool item with its rank ``g_rank`` by (score desc, item asc) per
@@ -73,16 +66,16 @@ def topk_excluding(users: DataFrame, excluded: DataFrame, pool: DataFrame, k: in
 def pool_sizes(users: DataFrame, excluded: DataFrame, pool: DataFrame, user_col: str = "user_id",
                item_col: str = "item_id", group_cols: list[str] = ()) -> DataFrame:
     """Per user: number of candidates = |pool| - |excluded in pool|."""
-    pool_k, g = _key(pool, list(group_cols))
-    users_k, _ = _key(users, list(group_cols))
-    excl_k, _ = _key(excluded, list(group_cols))
-    n_pool = pool_k.groupBy(*g).agg(F.count(F.lit(1)).alias("_np"))   # one row per group
-    ex = excluded_in_pool(excl_k, pool_k, user_col, item_col, g)
+    g = list(group_cols)
+    ex = excluded_in_pool(excluded, pool, user_col, item_col, g)
     h = ex.groupBy(*g, user_col).agg(F.count(F.lit(1)).alias("_h"))
-    out = (users_k.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
-           .join(F.broadcast(n_pool), g)
-           .select(*g, user_col, (F.col("_np") - F.col("_h")).alias("num_candidates")))
-    return out if group_cols else out.drop("_grp")
+    u = users.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
+    if g:
+        n_pool = pool.groupBy(*g).agg(F.count(F.lit(1)).alias("_np"))   # one row per group
+        u = u.join(F.broadcast(n_pool), g)
+    else:
+        u = u.withColumn("_np", F.lit(pool.count()))   # one number
+    return u.select(*g, user_col, (F.col("_np") - F.col("_h")).alias("num_candidates"))
 
 
 def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_values: list[int],
@@ -138,10 +131,8 @@ def pool_auc(users: DataFrame, excluded: DataFrame, truth: DataFrame, pool: Data
     excluded + relevant rows. Null when a user has no relevant or no negative
     candidate.
     """
-    pool_k, g = _key(pool, list(group_cols))
-    users_k, _ = _key(users, list(group_cols))
-    excl_k, _ = _key(excluded, list(group_cols))
-    truth_k, _ = _key(truth, list(group_cols))
+    g = list(group_cols)
+    pool_k, users_k, excl_k, truth_k = pool, users, excluded, truth
     ps = pool_k.select(*g, item_col, F.col(score_col).alias("_s"))
     d = ps.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("eq"))
     gl = score_prefix(d, g, "_s", ["eq"]).select(*g, "_s", F.col("below_eq").alias("g_below"),
@@ -165,5 +156,4 @@ def pool_auc(users: DataFrame, excluded: DataFrame, truth: DataFrame, pool: Data
         F.first("n_t").alias("P"), F.first(F.col("n_pool") - F.col("n_x") - F.col("n_t")).alias("N"))
     res = a.select(*key, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                 F.col("num") / (F.col("P") * F.col("N"))).alias("auc"))
-    out = users_k.select(*key).distinct().join(res, key, "left")
-    return out if group_cols else out.drop("_grp")
+    return users_k.select(*key).distinct().join(res, key, "left")

@@ -24,9 +24,8 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
 
     ``d`` must hold one row per (group, score).
     """
-    if not group_cols:   # one global group: key it so every join stays an equi-join
-        out = score_prefix(d.withColumn("_grp", F.lit(0)), ["_grp"], score_col, sum_cols, buckets)
-        return out.drop("_grp")
+    if not group_cols:
+        return _global_prefix(d, score_col, sum_cols, buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*group_cols).agg(
         F.percentile_approx(score_col, probs, 10000).alias("_bounds"))
@@ -53,6 +52,26 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
         *[F.col(f"tot_{c}") for c in sum_cols])
 
 
+def _global_prefix(d: DataFrame, score_col: str, sum_cols: list[str], buckets: int) -> DataFrame:
+    """Ungrouped case: bucket bounds, bucket offsets and totals are a few
+    numbers, inlined as literals (no join against a one-row table)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = d.agg(F.percentile_approx(score_col, probs, 10000)).first()[0] or []   # < buckets numbers
+    arr = F.array(*[F.lit(x) for x in bounds]) if bounds else None
+    d2 = d.withColumn("_bucket", F.size(F.filter(arr, lambda b: b < F.col(score_col))) if arr is not None else F.lit(0))
+    tot = {r["_bucket"]: r for r in d2.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()}
+    out_cols = []
+    for c in sum_cols:
+        offs, run = [], 0
+        for i in range(len(bounds) + 1):
+            offs.append(run)
+            run += (tot[i][c] or 0) if i in tot else 0
+        off = F.element_at(F.array(*[F.lit(o) for o in offs]), F.col("_bucket") + 1)
+        wi = Window.partitionBy("_bucket").orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
+        out_cols += [(off + F.coalesce(F.sum(c).over(wi), F.lit(0))).alias(f"below_{c}"), F.lit(run).alias(f"tot_{c}")]
+    return d2.select(*d.columns, *out_cols)
+
+
 def score_counts(df: DataFrame, group_cols: list[str], label_col: str = "y_true",
                  score_col: str = "y_pred") -> DataFrame:
     """(group, score) -> pos, neg counts (map-side combined)."""

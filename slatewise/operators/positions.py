@@ -23,9 +23,9 @@ def row_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] = (
     columns get an arbitrary but complete numbering, so pass a unique key last.
     """
     parts = list(part_cols)
-    if not parts:
-        return row_positions(df.withColumn("_grp", F.lit(0)), order_cols, ["_grp"], out_col, buckets).drop("_grp")
     first = order_cols[0]
+    if not parts:
+        return _global_positions(df, order_cols, out_col, buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*parts).agg(F.percentile_approx(first, probs, 10000).alias("_bounds"))
     # one row per partition group, ``buckets`` values each
@@ -46,3 +46,21 @@ def assign_row_id(df: DataFrame, key_cols: list[str], out_col: str = "row_id") -
     ``monotonically_increasing_id``, which depends on the partitioning)."""
     p = row_positions(df, key_cols, [], "_pos")
     return p.withColumn(out_col, F.col("_pos") - 1).drop("_pos")
+
+
+def _global_positions(df: DataFrame, order_cols: list[str], out_col: str, buckets: int) -> DataFrame:
+    """Ungrouped case: the (at most ``buckets``) quantile bounds and bucket
+    offsets are small parameters, inlined as literals, so no join is needed."""
+    first = order_cols[0]
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(first, probs, 10000)).first()[0] or []   # < buckets numbers
+    arr = F.array(*[F.lit(x) for x in bounds]) if bounds else None
+    b = df.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col(first))) if arr is not None else F.lit(0))
+    sizes = {r["_bk"]: r["_n"] for r in b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).collect()}   # <= buckets rows
+    offs, run = [], 0
+    for i in range(len(bounds) + 1):
+        offs.append(run)
+        run += sizes.get(i, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offs]), F.col("_bk") + 1)
+    wi = Window.partitionBy("_bk").orderBy(*order_cols)
+    return b.withColumn(out_col, (off + F.row_number().over(wi)).cast("bigint")).drop("_bk")

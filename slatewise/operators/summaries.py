@@ -18,10 +18,12 @@ def score_stats(df: DataFrame, group_cols: list[str], score_col: str) -> DataFra
 def score_histogram(df: DataFrame, group_cols: list[str], score_col: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram between the group's min and max; last bin closed."""
     g = list(group_cols)
-    if not g:   # single group: keyed so the join stays an equi-join
-        return score_histogram(df.withColumn("_grp", F.lit(0)), ["_grp"], score_col, bins).drop("_grp")
-    rng = df.groupBy(*g).agg(F.min(score_col).alias("_lo"), F.max(score_col).alias("_hi"))
-    j = df.join(F.broadcast(rng), g)   # one row per group
+    if not g:   # single group: min and max are two numbers
+        lo, hi = df.agg(F.min(score_col), F.max(score_col)).first()
+        j = df.withColumn("_lo", F.lit(lo)).withColumn("_hi", F.lit(hi))
+    else:
+        rng = df.groupBy(*g).agg(F.min(score_col).alias("_lo"), F.max(score_col).alias("_hi"))
+        j = df.join(F.broadcast(rng), g)   # one row per group
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score_col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")

@@ -65,7 +65,7 @@ def two_tower_score(pairs: DataFrame, user_vec: str = "u", item_vec: str = "v",
 
 def cosine_topk(users: DataFrame, items: DataFrame, k: int, user_col: str = "user_id", item_col: str = "item_id",
                 user_vec: str = "u", item_vec: str = "v") -> DataFrame:
-    """Exact top k items per user by cosine (ties: smaller item id first).
+    """Exact top k items per user by cosine (ties at 1e-9: smaller item id first).
 
     Each task scores its item partition against all user vectors with numpy
     and keeps only its local top k per user; a per-user window then merges
@@ -106,11 +106,11 @@ def cosine_topk(users: DataFrame, items: DataFrame, k: int, user_col: str = "use
             kk = min(k, len(item_ids))
             out = []
             for ui in range(len(ids)):
-                order = np.lexsort((item_ids, -sims[ui]))[:kk]
+                order = np.lexsort((item_ids, -np.round(sims[ui], 9)))[:kk]
                 out.append(pd.DataFrame({user_col: ids[ui], item_col: item_ids[order], "similarity": sims[ui][order]}))
             yield pd.concat(out, ignore_index=True)
 
     cand = items.select(F.col(item_col).cast("long").alias(item_col), item_vec).mapInPandas(local_topk, schema)
-    w = Window.partitionBy(user_col).orderBy(F.col("similarity").desc(), F.col(item_col).asc())
+    w = Window.partitionBy(user_col).orderBy(F.round("similarity", 9).desc(), F.col(item_col).asc())
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(user_col, F.col("rank").cast("int").alias("rank"), item_col, "similarity"))

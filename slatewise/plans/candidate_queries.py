@@ -57,7 +57,7 @@ def q_tfidf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("user_candidates", with_("news", "inter", "cut", extra=SIM_SQL) + f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id,
   round(similarity, 6) AS similarity FROM (
-  SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY s.similarity DESC, s.item_id) AS rank FROM sim s
+  SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.similarity, 9) DESC, s.item_id) AS rank FROM sim s
   WHERE s.similarity >= {MIN_SIM} AND NOT EXISTS (SELECT 1 FROM uh WHERE uh.user_id = s.user_id AND uh.item_id = s.item_id)) x
 WHERE rank <= {MAX_CANDIDATES}""")
 def q_user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def q_user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     it, cut, hist, sim = user_similarities(spark, sf_dir)
     c = (sim.filter(F.col("similarity") >= MIN_SIM)
             .join(hist.withColumn("item_id", F.col("item_id").cast("long")), ["user_id", "item_id"], "left_anti"))
-    w = Window.partitionBy("user_id").orderBy(F.col("similarity").desc(), F.col("item_id").asc())
+    w = Window.partitionBy("user_id").orderBy(F.round("similarity", 9).desc(), F.col("item_id").asc())
     r = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_CANDIDATES)
     return r.select("user_id", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
                     r6(F.col("similarity")).alias("similarity"))
@@ -79,7 +79,7 @@ cvv AS (SELECT cluster, term, w / sqrt(SUM(w * w) OVER (PARTITION BY cluster)) A
 pv AS (SELECT news_id AS item_id, term, weight FROM dv WHERE news_id IN (SELECT item_id FROM pool)),
 cs AS (SELECT cvv.cluster, pv.item_id, SUM(cvv.weight * pv.weight) AS similarity FROM cvv JOIN pv USING (term) GROUP BY 1, 2)""")
     + f"""SELECT cluster, CAST(rank AS INT) AS rank, item_id, round(similarity, 6) AS similarity FROM (
-  SELECT c.*, row_number() OVER (PARTITION BY c.cluster ORDER BY c.similarity DESC, c.item_id) AS rank FROM cs c
+  SELECT c.*, row_number() OVER (PARTITION BY c.cluster ORDER BY round(c.similarity, 9) DESC, c.item_id) AS rank FROM cs c
   WHERE c.similarity >= {MIN_SIM} AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.cluster = c.cluster AND ch.item_id = c.item_id)) x
 WHERE rank <= {MAX_CANDIDATES}""")
 def q_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def q_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sim = TX.cosine(cv, pv, "cluster", "item_id")
     c = (sim.filter(F.col("similarity") >= MIN_SIM)
             .join(ch.withColumn("item_id", F.col("item_id").cast("long")).distinct(), ["cluster", "item_id"], "left_anti"))
-    w = Window.partitionBy("cluster").orderBy(F.col("similarity").desc(), F.col("item_id").asc())
+    w = Window.partitionBy("cluster").orderBy(F.round("similarity", 9).desc(), F.col("item_id").asc())
     r = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_CANDIDATES)
     return r.select("cluster", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
                     r6(F.col("similarity")).alias("similarity"))
@@ -138,7 +138,7 @@ sim AS (SELECT uv.user_id, cv.item_id, SUM(uv.weight * cv.weight) AS similarity
 users AS (SELECT DISTINCT user_id FROM inter),
 sc AS (SELECT u.user_id, c.item_id, COALESCE(s.similarity, 0.0) AS score FROM users u CROSS JOIN cands c
        LEFT JOIN sim s ON s.user_id = u.user_id AND s.item_id = c.item_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc)""")
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc)""")
     + f"""SELECT r.user_id, CAST(r.rank AS INT) AS rank, CAST(r.item_id AS BIGINT) AS news_id, n.title, round(r.score, 6) AS score
 FROM r JOIN news n ON n.news_id = r.item_id WHERE r.rank <= {SHOW_ARTICLES}""")
 def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     fill = CA.topk_excluding(users, pos.select("user_id", "item_id"), cands.withColumn("score", F.lit(0.0)),
                              SHOW_ARTICLES).select("user_id", "item_id", "score")
     allc = pos.unionByName(fill)
-    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    w = Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), F.col("item_id").asc())
     top = allc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= SHOW_ARTICLES)
     news = B.news(spark, sf_dir).select(F.col("news_id").alias("item_id"), "title")
     return top.join(news, "item_id").select("user_id", F.col("rank").cast("int").alias("rank"),

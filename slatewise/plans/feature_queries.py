@@ -223,7 +223,7 @@ cs AS (SELECT u.user_id, v.item_id,
    list_sum(list_transform(list_zip(u.u, v.v), lambda x: x[1] * CAST(x[2] AS DOUBLE)))
    / (sqrt(list_sum(list_transform(u.u, lambda x: x * x))) * sqrt(list_sum(list_transform(v.v, lambda x: CAST(x AS DOUBLE) * x)))) AS sim
    FROM uv u CROSS JOIN vec v),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS rank FROM cs)""")
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, item_id) AS rank FROM cs)""")
     + "SELECT user_id, CAST(rank AS INT) AS rank, item_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
 def q_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 items per user by cosine with the user's mean vector."""

@@ -252,9 +252,10 @@ def q_doc_quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     ds = lab.join(docs, "doc_id").select(F.col("quality").cast("double").alias("y_true"),
-                                         F.col("n_chars").cast("double").alias("y_pred"),
-                                         F.lit("n_chars").alias("model"))
-    return C.roc_auc(ds).join(C.average_precision(ds), "model")
+                                         F.col("n_chars").cast("double").alias("y_pred"))
+    # a single scorer: ungrouped metrics (a literal group key would fold into a cross join)
+    auc = C.roc_auc(ds, []).first()["auc"]
+    return C.average_precision(ds, []).select(F.lit("n_chars").alias("model"), F.lit(auc).alias("auc"), "ap")
 
 
 @register("prefix_metrics", with_("impr", "preds", extra="""sp AS (SELECT model, MIN(row_id) AS lo,
