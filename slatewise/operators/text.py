@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.operators.positions import row_positions
@@ -55,8 +55,12 @@ def encode_text(docs: DataFrame, doc_col: str, tokens: F.Column, vocab: DataFram
 
 
 def term_counts(docs: DataFrame, doc_col: str, tokens: F.Column) -> DataFrame:
-    """(doc, term, tf) raw term counts."""
-    return (docs.select(doc_col, F.explode(tokens).alias("term"))
+    """(doc, term, tf) raw term counts.
+
+    Documents are hash-partitioned by id once; the per-document counts (and
+    the per-document norm later) then need no further shuffle.
+    """
+    return (docs.repartition(doc_col).select(doc_col, F.explode(tokens).alias("term"))
                 .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -68,9 +72,10 @@ def fit_idf(tf: DataFrame, doc_col: str, n_docs: int) -> DataFrame:
 
 def tfidf_vectors(tf: DataFrame, idf: DataFrame, key_col: str) -> DataFrame:
     """(key, term, weight): tf * idf, L2-normalised per key; terms without idf dropped."""
+    # idf has one row per vocabulary term: AQE broadcasts it when its measured size allows
     w = tf.join(idf, "term").select(key_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return w.join(norm, key_col).select(key_col, "term", (F.col("w") / F.col("_n")).alias("weight"))
+    n = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key_col)))
+    return w.select(key_col, "term", (F.col("w") / n).alias("weight"))
 
 
 def fit_tfidf(docs: DataFrame, doc_col: str, tokens: F.Column):
