@@ -15,6 +15,7 @@ from slatewise.functions.common import md5_draw
 from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
+from slatewise.session import materialize
 from slatewise.plans.sampling_queries import draw_sql
 from slatewise.plans.slate_queries import HIST_CTE, UHIST_CTE, hist, inter_cut
 
@@ -33,7 +34,9 @@ def joined(c) -> F.Column:
 
 # ---- day-keyed donor pools on the slate histories ---------------------------------
 def hist_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hist(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    """Slate histories with their day, written once: pools, donors and
+    variants all read them."""
+    return materialize(hist(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
 
 
 POOL_SQL = HIST_CTE + f""",
@@ -230,7 +233,7 @@ def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidate's category occurs among the history items' categories."""
     im = B.impr(spark, sf_dir)
     part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hid"), F.col("p_type").alias("category"))
-    vh = variant_histories(spark, sf_dir)
+    vh = materialize(variant_histories(spark, sf_dir))
     cats = (vh.select("impression_id", "variant", F.explode("h").alias("hid"))
               .withColumn("hid", F.col("hid").cast("long")).join(part, "hid")
               .select("impression_id", "variant", "category").distinct().withColumn("_m", F.lit(1)))
