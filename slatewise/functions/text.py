@@ -43,3 +43,16 @@ def clean_text(text: str | Column, stop_words: list[str] = STOP_WORDS) -> Column
 def sk_tokens(text: str | Column) -> Column:
     """Default TF-IDF tokenizer: lower case, tokens of 2+ word characters."""
     return F.regexp_extract_all(F.lower(F.coalesce(col_(text), F.lit(""))), F.lit(r"(\w\w+)"), 1)
+
+
+def cleaned_string(text: str | Column) -> Column:
+    """Lower-cased text with everything but ASCII letters and whitespace removed."""
+    return F.lower(F.regexp_replace(F.coalesce(col_(text), F.lit("")), KEEP_CLASS, ""))
+
+
+def keep_token(token: Column, stop_words: list[str] = STOP_WORDS, min_len: int = 1) -> Column:
+    """Row-level predicate equal to the cleaning filters (non-empty, not a stop
+    word, at least ``min_len`` characters). Used after ``explode`` so the
+    filtering runs in generated code instead of a per-element lambda."""
+    c = (token != F.lit("")) & ~token.isin(*stop_words)
+    return c & (F.length(token) >= min_len) if min_len > 1 else c

@@ -54,6 +54,18 @@ def encode_text(docs: DataFrame, doc_col: str, tokens: F.Column, vocab: DataFram
     return docs.select(doc_col).join(enc, doc_col, "left").select(doc_col, F.coalesce("ids", empty).alias("ids"))
 
 
+def clean_term_counts(docs: DataFrame, doc_col: str, text_cols: list[str], min_len: int = 2) -> DataFrame:
+    """(doc, term, tf) of the cleaned tokens of ``text_cols`` (the TF-IDF input:
+    CombinedText tokens of 2+ characters). Splits and explodes first, then
+    filters with plain predicates, so the per-token work is code-generated."""
+    from slatewise.functions.text import WS, cleaned_string, keep_token
+    parts = [F.split(cleaned_string(c), WS) for c in text_cols]
+    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
+    rows = docs.repartition(doc_col).select(doc_col, F.explode(arr).alias("term"))
+    return (rows.filter(keep_token(F.col("term"), min_len=min_len))
+                .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def term_counts(docs: DataFrame, doc_col: str, tokens: F.Column) -> DataFrame:
     """(doc, term, tf) raw term counts.
 

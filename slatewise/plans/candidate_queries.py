@@ -154,7 +154,8 @@ def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = fi.filter((F.col("first_ts") > F.lit(lo)) & (F.col("first_ts") <= F.lit(ref))) \
               .select(F.col("item_id").cast("long").alias("item_id"))
     cv = dv.withColumnRenamed("news_id", "item_id").join(cands, "item_id", "left_semi")
-    pos = TX.cosine(uv, cv, "user_id", "item_id").withColumnRenamed("similarity", "score")
+    # positive similarities feed both the ranking and the zero-score fill: write once
+    pos = materialize(TX.cosine(uv, cv, "user_id", "item_id").withColumnRenamed("similarity", "score"))
     users = it.select("user_id").distinct()
     fill = CA.topk_excluding(users, pos.select("user_id", "item_id"), cands.withColumn("score", F.lit(0.0)),
                              SHOW_ARTICLES).select("user_id", "item_id", "score")

@@ -15,6 +15,7 @@ from slatewise.operators import vectors as V
 from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
+from slatewise.session import materialize
 from slatewise.plans.slate_queries import CLEAN_SQL, HIST_CTE, STOP_SQL, UHIST_CTE, hist, inter_cut
 
 TITLE_LEN = 30
@@ -169,7 +170,9 @@ def tfidf_tokens() -> F.Column:
 def news_tfidf(spark: SparkSession, sf_dir: str):
     """(idf, doc term counts, doc vectors) of the news catalog."""
     news = B.news(spark, sf_dir)
-    tf = TX.term_counts(news, "news_id", tfidf_tokens())
+    # the catalog's term counts feed the idf, the document vectors and every
+    # user vector: written once instead of re-cleaning the texts per branch
+    tf = materialize(TX.clean_term_counts(news, "news_id", ["title", "text"], min_len=2))
     n_docs = news.count()   # one number
     idf = TX.fit_idf(tf, "news_id", n_docs)
     return idf, tf, TX.tfidf_vectors(tf, idf, "news_id")
