@@ -188,6 +188,24 @@ def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10
             .join(prf_at_threshold(rep, threshold, gg, label_col, score_col), gg))
 
 
+def curve_metrics(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
+                  score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64) -> DataFrame:
+    """AUC, AP and the F1-optimal threshold (raw) from one pass over the curve."""
+    g = list(group_cols)
+    c = _curve(df, g, label_col, score_col, buckets)
+    prec = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    rec = safe_div(F.col("tp"), F.col("P"))
+    f1 = F.lit(2.0) * prec * rec / (prec + rec + F.lit(eps))
+    P, N = F.first("P"), F.first("N")
+    auc_num = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
+    ap_term = F.col("pos") / F.col("P").cast("double") * (F.col("tp") / (F.col("tp") + F.col("fp")).cast("double"))
+    a = c.groupBy(*g).agg(
+        F.when((P > 0) & (N > 0), r6(auc_num / (P * N).cast("double"))).alias("auc"),
+        F.when(P > 0, r6(F.sum(ap_term))).alias("ap"),
+        F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_thr"))).alias("_b"))
+    return a.select(*g, "auc", "ap", (-F.col("_b.neg_thr")).alias("threshold"))
+
+
 def regenerate_metrics(preds: DataFrame, k_values: list[int], tune_threshold: bool = True,
                        decision_threshold: float = 0.5, group_cols: list[str] = ("model",),
                        slate_col: str = "impression_id", item_col: str = "row_id") -> DataFrame:
@@ -196,14 +214,13 @@ def regenerate_metrics(preds: DataFrame, k_values: list[int], tune_threshold: bo
     slate tracker's P/R/AP/nDCG at each k (wide columns ``<metric>_at_<k>``)."""
     from slatewise.operators.ranking import ranking_tracker
     g = list(group_cols)
-    if tune_threshold:
-        thr = best_f1_threshold(preds, g, rounded=False).select(*g, "threshold")
-    else:
-        thr = preds.select(*g).distinct().withColumn("threshold", F.lit(float(decision_threshold)))
+    cm = curve_metrics(preds, g)   # one curve: AUC, AP and the tuned threshold
+    if not tune_threshold:
+        cm = cm.withColumn("threshold", F.lit(float(decision_threshold)))
+    thr = cm.select(*g, "threshold")
     scored = preds.join(F.broadcast(thr), g)   # one row per model
     prf = prf_at_threshold(scored, F.col("threshold"), g)
-    out = (roc_auc(preds, g).join(average_precision(preds, g), g)
-           .join(thr.select(*g, r6(F.col("threshold")).alias("threshold")), g).join(prf, g))
+    out = cm.select(*g, "auc", "ap", r6(F.col("threshold")).alias("threshold")).join(prf, g)
     if not k_values:
         return out
     tr = ranking_tracker(preds, k_values, slate_col, g, item_col)

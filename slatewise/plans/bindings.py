@@ -98,3 +98,4 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"),
                     F.col("label").alias("user_id"))
+
