@@ -12,7 +12,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-DEFAULT = ["segment_ranking", "ranking_tracker", "roc_auc", "average_precision", "best_f1_threshold",
+DEFAULT = ["segment_ranking", "ranking_tracker", "stream_resume", "regenerate_metrics", "roc_auc", "average_precision", "best_f1_threshold",
            "parse_slate", "explode_slate", "clean_text", "user_history_ids", "user_pool_cross",
            "donor_same_day", "donor_asof", "split_stratified", "fit_vocabulary", "fit_tfidf",
            "user_candidates", "recommend", "bagging", "boosting", "hybrid", "user_eval_row",
