@@ -21,6 +21,10 @@ MODEL_NAMES = {"s0": "fastformer_0_x", "s1": "fastformer_global_x", "s2": "fastf
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # event times are naive (TIMESTAMP_NTZ); watermarks, windows and epoch
+    # arithmetic cast them through the session zone, which must be UTC
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
