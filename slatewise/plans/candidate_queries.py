@@ -301,10 +301,13 @@ EXPERIMENT_SQL = experiment_sql([(m, v) for m in METHODS for v in ("own", "donor
 EXP_SELECT = "method, variant, user_id, donor_user_id, " + ", ".join(EXP_COLS)
 
 
-@register("user_experiment", EXPERIMENT_SQL + f"SELECT {EXP_SELECT} FROM ex")
+@register("user_experiment", EXPERIMENT_SQL + "SELECT method, variant, user_id, CAST(donor_user_id AS VARCHAR) AS donor_user_id, "
+    + ", ".join(EXP_COLS) + " FROM ex")
 def q_user_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user evaluated with every scorer on own and donor-swapped (drift 1.0) history."""
-    return experiment_rows(spark, sf_dir).select("method", "variant", "user_id", "donor_user_id", *EXP_COLS)
+    """Every user evaluated with every scorer on own and donor-swapped (drift 1.0)
+    history. The donor id is reported as text (null for own history)."""
+    return experiment_rows(spark, sf_dir).select(
+        "method", "variant", "user_id", F.col("donor_user_id").cast("string").alias("donor_user_id"), *EXP_COLS)
 
 
 @register("user_eval_row", experiment_sql([("popularity", "own")]) + "SELECT user_id, " + ", ".join(EXP_COLS) + " FROM ex")
