@@ -87,14 +87,19 @@ def pad_with_avg(hist: str | Column, avg_profile: Column, max_len: int) -> Colum
              .otherwise(h))
 
 
-def daily_pools(slates: DataFrame, day_col: str = "day", history_col: str = "history") -> DataFrame:
-    """Distinct non-empty histories per day, numbered 1..size in md5 order."""
+def _pool_parts(slates: DataFrame, day_col: str, history_col: str):
     pool = (slates.filter(F.col(history_col).isNotNull() & (F.length(history_col) > 0))
                   .select(day_col, history_col).distinct()
                   .withColumn("_h", md5_draw("pool", history_col)))
-    p = row_positions(pool, ["_h", history_col], [day_col], "pool_idx")
+    positions = row_positions(pool, ["_h", history_col], [day_col], "pool_idx").drop("_h")
     sizes = pool.groupBy(day_col).agg(F.count(F.lit(1)).alias("pool_size"))
-    return p.drop("_h").join(sizes, day_col)
+    return positions, sizes
+
+
+def daily_pools(slates: DataFrame, day_col: str = "day", history_col: str = "history") -> DataFrame:
+    """Distinct non-empty histories per day, numbered 1..size in md5 order."""
+    positions, sizes = _pool_parts(slates, day_col, history_col)
+    return positions.join(sizes, day_col)
 
 
 def donor_same_day(slates: DataFrame, seed: int | str, key_col: str = "impression_id",
@@ -102,12 +107,11 @@ def donor_same_day(slates: DataFrame, seed: int | str, key_col: str = "impressio
     """Donor history drawn from the day's pool of distinct non-empty histories;
     a pool with <= 1 entry keeps the slate's own history. Equi-join on
     (day, drawn index): no per-day collect."""
-    pools = daily_pools(slates, day_col, history_col)
-    sizes = pools.select(day_col, "pool_size").distinct()
+    positions, sizes = _pool_parts(slates, day_col, history_col)
     s = slates.join(sizes, day_col, "left").fillna(0, ["pool_size"])
     s = s.withColumn("_idx", F.when(F.col("pool_size") > 1,
                                     (md5_draw(seed, key_col) % F.col("pool_size")) + 1))
-    d = pools.select(day_col, F.col("pool_idx").alias("_idx"), F.col(history_col).alias("_donor"))
+    d = positions.select(day_col, F.col("pool_idx").alias("_idx"), F.col(history_col).alias("_donor"))
     j = s.join(d, [day_col, "_idx"], "left")
     return j.withColumn("donor_history", F.when(F.col("pool_size") > 1, F.col("_donor"))
                         .otherwise(F.col(history_col))).drop("_idx", "_donor", "pool_size")
