@@ -91,7 +91,7 @@ def _pool_parts(slates: DataFrame, day_col: str, history_col: str):
     pool = (slates.filter(F.col(history_col).isNotNull() & (F.length(history_col) > 0))
                   .select(day_col, history_col).distinct()
                   .withColumn("_h", md5_draw("pool", history_col)))
-    positions = row_positions(pool, ["_h", history_col], [day_col], "pool_idx").drop("_h")
+    positions = row_positions(pool, ["_h", history_col], [day_col], "pool_idx", uniform_range=2 ** 32).drop("_h")
     sizes = pool.groupBy(day_col).agg(F.count(F.lit(1)).alias("pool_size"))
     return positions, sizes
 

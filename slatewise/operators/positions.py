@@ -17,20 +17,27 @@ from pyspark.sql import functions as F
 
 
 def row_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] = (),
-                  out_col: str = "position", buckets: int = 64) -> DataFrame:
+                  out_col: str = "position", buckets: int = 64, uniform_range: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based row number within ``part_cols`` ordered by
     ``order_cols`` (ascending; the first one numeric). Ties in all order
     columns get an arbitrary but complete numbering, so pass a unique key last.
+
+    ``uniform_range``: the first column is uniform on [0, uniform_range) (an
+    md5 draw), so equal-width buckets are already balanced and the quantile
+    pass over the input is skipped.
     """
     parts = list(part_cols)
     first = order_cols[0]
     if not parts:
-        return _global_positions(df, order_cols, out_col, buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*parts).agg(F.percentile_approx(first, probs, 10000).alias("_bounds"))
-    # one row per partition group, ``buckets`` values each
-    b = df.join(F.broadcast(bounds), parts) \
-          .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col(first)))).drop("_bounds")
+        return _global_positions(df, order_cols, out_col, buckets, uniform_range)
+    if uniform_range:
+        b = df.withColumn("_bk", _uniform_bucket(first, buckets, uniform_range))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = df.groupBy(*parts).agg(F.percentile_approx(first, probs, 10000).alias("_bounds"))
+        # one row per partition group, ``buckets`` values each
+        b = df.join(F.broadcast(bounds), parts) \
+              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col(first)))).drop("_bounds")
     sizes = b.groupBy(*parts, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*parts, "_bk", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
@@ -48,17 +55,29 @@ def assign_row_id(df: DataFrame, key_cols: list[str], out_col: str = "row_id") -
     return p.withColumn(out_col, F.col("_pos") - 1).drop("_pos")
 
 
-def _global_positions(df: DataFrame, order_cols: list[str], out_col: str, buckets: int) -> DataFrame:
+def _uniform_bucket(col: str, buckets: int, uniform_range: int):
+    """Monotone equal-width bucket of a value uniform on [0, uniform_range)."""
+    return F.least(F.floor(F.col(col) * F.lit(buckets) / F.lit(float(uniform_range))),
+                   F.lit(buckets - 1)).cast("int")
+
+
+def _global_positions(df: DataFrame, order_cols: list[str], out_col: str, buckets: int,
+                      uniform_range: int | None = None) -> DataFrame:
     """Ungrouped case: the (at most ``buckets``) quantile bounds and bucket
     offsets are small parameters, inlined as literals, so no join is needed."""
     first = order_cols[0]
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(first, probs, 10000)).first()[0] or []   # < buckets numbers
-    arr = F.array(*[F.lit(x) for x in bounds]) if bounds else None
-    b = df.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col(first))) if arr is not None else F.lit(0))
+    if uniform_range:
+        n_buckets = buckets
+        b = df.withColumn("_bk", _uniform_bucket(first, buckets, uniform_range))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = df.agg(F.percentile_approx(first, probs, 10000)).first()[0] or []   # < buckets numbers
+        n_buckets = len(bounds) + 1
+        arr = F.array(*[F.lit(x) for x in bounds]) if bounds else None
+        b = df.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col(first))) if arr is not None else F.lit(0))
     sizes = {r["_bk"]: r["_n"] for r in b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).collect()}   # <= buckets rows
     offs, run = [], 0
-    for i in range(len(bounds) + 1):
+    for i in range(n_buckets):
         offs.append(run)
         run += sizes.get(i, 0)
     off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offs]), F.col("_bk") + 1)

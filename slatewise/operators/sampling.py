@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from slatewise.functions.common import draw_fraction, md5_draw
 from slatewise.operators.positions import row_positions
 
+DRAW_RANGE = 2 ** 32   # md5 draws are uniform on [0, 2^32)
+
 
 def sample_fraction(df: DataFrame, frac: float, seed: int | str, key_col: str) -> DataFrame:
     """Keep about ``frac`` of the rows: draw(seed, key) < frac * 2^32."""
@@ -34,7 +36,7 @@ def split_by_rank(df: DataFrame, group_cols: list[str], test_size: float, seed:
     are test: exact group-wise proportions (stratified split)."""
     g = list(group_cols)
     d = df.withColumn("_draw", md5_draw(seed, key_col))
-    p = row_positions(d, ["_draw", key_col], g, "_pos")
+    p = row_positions(d, ["_draw", key_col], g, "_pos", uniform_range=DRAW_RANGE)
     n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     j = p.join(n, g)   # one row per group
     return j.withColumn(side_col, F.when(F.col("_pos") <= F.ceil(F.col("_n") * F.lit(float(test_size))), "test")
@@ -59,7 +61,7 @@ def split_segments(df: DataFrame, segment_col: str, test_size: float, seed: int
 def shuffle_rows(df: DataFrame, seed: int | str, key_col: str, out_col: str = "position") -> DataFrame:
     """Random order as an explicit 1-based position (draw, then key)."""
     d = df.withColumn("_draw", md5_draw(seed, key_col))
-    return row_positions(d, ["_draw", key_col], [], out_col).drop("_draw")
+    return row_positions(d, ["_draw", key_col], [], out_col, uniform_range=DRAW_RANGE).drop("_draw")
 
 
 def balance_groups(df: DataFrame, group_col: str, seed: int | str, key_col: str) -> DataFrame:
@@ -67,5 +69,5 @@ def balance_groups(df: DataFrame, group_col: str, seed: int | str, key_col: str)
     n = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
     m = n.agg(F.min("_n")).first()[0] or 0   # one number
     d = df.withColumn("_draw", md5_draw(seed, key_col))
-    p = row_positions(d, ["_draw", key_col], [group_col], "_pos")
+    p = row_positions(d, ["_draw", key_col], [group_col], "_pos", uniform_range=DRAW_RANGE)
     return p.filter(F.col("_pos") <= F.lit(m)).drop("_draw", "_pos")

@@ -81,8 +81,8 @@ FROM hp a JOIN hp b ON b.p2 = a.p1""")
 def q_swap_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor = the history at the same position of a second random permutation."""
     h = hist(spark, sf_dir).select("impression_id", parse_history("history").alias("h"))
-    p1 = row_positions(h.withColumn("_d", md5_draw(1, "impression_id")), ["_d", "impression_id"], [], "pos").drop("_d")
-    p2 = row_positions(h.withColumn("_d", md5_draw(2, "impression_id")), ["_d", "impression_id"], [], "pos") \
+    p1 = row_positions(h.withColumn("_d", md5_draw(1, "impression_id")), ["_d", "impression_id"], [], "pos", uniform_range=2 ** 32).drop("_d")
+    p2 = row_positions(h.withColumn("_d", md5_draw(2, "impression_id")), ["_d", "impression_id"], [], "pos", uniform_range=2 ** 32) \
         .select("pos", F.col("h").alias("donor"))
     j = p1.join(p2, "pos")
     return j.select("impression_id", F.array_join(H.swap_permuted("h", "donor", 2), " ").alias("swapped"))

@@ -79,3 +79,15 @@ def test_prefix_sum_matches_window(spark):
     ref = d.withColumn("r", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     bad = out.join(ref, ["model", "score"]).filter(F.col("below_neg") != F.col("r")).count()
     assert bad == 0
+
+
+def test_uniform_positions_match_row_number(spark):
+    from pyspark.sql import Window
+    from slatewise.functions.common import md5_draw
+    im = B.impr(spark, SF).select("row_id", "label").withColumn("d", md5_draw(9, "row_id"))
+    pos = P.row_positions(im, ["d", "row_id"], ["label"], "p", buckets=16, uniform_range=2 ** 32)
+    ref = im.withColumn("q", F.row_number().over(Window.partitionBy("label").orderBy("d", "row_id")))
+    assert pos.join(ref, ["row_id", "label"]).filter(F.col("p") != F.col("q")).count() == 0
+    g = P.row_positions(im, ["d", "row_id"], [], "p", buckets=16, uniform_range=2 ** 32)
+    ref2 = im.withColumn("q", F.row_number().over(Window.orderBy("d", "row_id")))
+    assert g.join(ref2, "row_id").filter(F.col("p") != F.col("q")).count() == 0
