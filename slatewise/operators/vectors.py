@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BROADCAST_USERS = 200_000
+USER_CHUNK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -99,16 +100,19 @@ def cosine_topk(users: DataFrame, items: DataFrame, k: int, user_col: str = "use
         for pdf in batches:
             if pdf.empty:
                 continue
-            iv = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[item_vec]])
-            iv = iv / np.maximum(np.linalg.norm(iv, axis=1, keepdims=True), 1e-300)
-            sims = mat @ iv.T                      # users x items of this batch
             item_ids = pdf[item_col].to_numpy(dtype=np.int64)
+            by_id = np.argsort(item_ids, kind="stable")   # ties then resolve to the smaller id
+            item_ids = item_ids[by_id]
+            iv = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[item_vec]])[by_id]
+            iv = iv / np.maximum(np.linalg.norm(iv, axis=1, keepdims=True), 1e-300)
             kk = min(k, len(item_ids))
-            out = []
-            for ui in range(len(ids)):
-                order = np.lexsort((item_ids, -np.round(sims[ui], 9)))[:kk]
-                out.append(pd.DataFrame({user_col: ids[ui], item_col: item_ids[order], "similarity": sims[ui][order]}))
-            yield pd.concat(out, ignore_index=True)
+            for lo in range(0, len(ids), USER_CHUNK):   # bounded users x batch block in memory
+                sims = mat[lo:lo + USER_CHUNK] @ iv.T
+                top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :kk]
+                yield pd.DataFrame({
+                    user_col: np.repeat(ids[lo:lo + USER_CHUNK], kk),
+                    item_col: item_ids[top].ravel(),
+                    "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
 
     cand = items.select(F.col(item_col).cast("long").alias(item_col), item_vec).mapInPandas(local_topk, schema)
     w = Window.partitionBy(user_col).orderBy(F.round("similarity", 9).desc(), F.col(item_col).asc())
