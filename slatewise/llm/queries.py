@@ -147,13 +147,13 @@ ev AS (
   FROM (SELECT DISTINCT pattern FROM asked WHERE length(regexp_replace(pattern, '[^/]', '', 'g')) <= 1), (SELECT unnest(range(0, {EVENTS})) AS event_no)),
 events AS (
   SELECT pattern, event_no, CASE WHEN CAST('0x' || substr(h, 9, 8) AS BIGINT) % 3 = 0 THEN 'allow' ELSE 'block' END AS kind,
-         {START} + CAST('0x' || substr(h, 17, 8) AS BIGINT) % {SECONDS} AS at,
+         {START} + CAST('0x' || substr(h, 17, 8) AS BIGINT) % {SECONDS} AS ts,
          CASE WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 2 = 0 THEN 'add' ELSE 'remove' END AS action
   FROM ev WHERE CAST('0x' || substr(h, 1, 8) AS BIGINT) % 3 <> 0),
-iv AS (SELECT *, lead(at) OVER (PARTITION BY kind, pattern ORDER BY at, event_no) AS valid_to FROM events),
+iv AS (SELECT *, lead(ts) OVER (PARTITION BY kind, pattern ORDER BY ts, event_no) AS valid_to FROM events),
 hits AS (
   SELECT page_id, kind, asked.pattern AS rule FROM asked JOIN iv ON asked.pattern = iv.pattern
-  WHERE action = 'add' AND at <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)),
+  WHERE action = 'add' AND ts <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)),
 best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, kind, rule DESC) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM hits)
 SELECT c.page_id, c.fetched_at, c.host, coalesce(n, 0) AS n_active, rule, CASE kind WHEN 'allow' THEN 'trusted' WHEN 'block' THEN 'blocked' END AS rule_list,
        kind AS rule_kind, coalesce(kind = 'block', FALSE) AS blocked
