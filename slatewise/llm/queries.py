@@ -134,12 +134,12 @@ OP10_SQL = r"""
 WITH u AS (
   SELECT page_id, url, {START} + CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % {SECONDS} AS fetched_at,
          lower(regexp_extract(url, '{HOST}', 1)) AS host,
-         list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), x -> x <> '') AS seg
+         [x for x in string_split(regexp_extract(url, '{PATH}', 1), '/') if x <> ''] AS seg
   FROM pages),
 c AS (
   SELECT page_id, fetched_at, host, list_distinct(list_concat(
-           list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), i -> array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
-           list_transform(range(1, len(seg) + 1), i -> host || '/' || array_to_string(list_slice(seg, 1, i), '/')))) AS pats
+           [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)],
+           [host || '/' || array_to_string(list_slice(seg, 1, i), '/') for i in range(1, len(seg) + 1)])) AS pats
   FROM u),
 asked AS (SELECT page_id, fetched_at, unnest(pats) AS pattern FROM c WHERE host <> ''),
 ev AS (
