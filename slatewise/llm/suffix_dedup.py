@@ -64,7 +64,8 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     # A position is an anchor if it holds the least hash of any of the strings that contain it.
     reach = np.concatenate((np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)))
     at = np.flatnonzero(low == _sliding(reach, width, np.maximum))
-    return at, h[at]
+    # Anchors have small hashes by their choice; mixed again, their leading bits deal them out evenly.
+    return at, mix(h[at])
 
 
 class Chunk:
