@@ -203,18 +203,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     every = chosen.mapInArrow(extract, f"id {id_type}, label int, slots binary").withColumn("draw", draw)
     both = every.where("label = 0").orderBy("draw", "id", "slots").limit(size).unionAll(every.where("label = 1").orderBy("draw", "id", "slots").limit(size))
-    got = sorted(both.select("draw", "id", "label", "slots").collect(), key=lambda r: (r["label"], r["draw"], r["slots"]))
+    got = both.select("label", "draw", "id", "slots").toArrow().combine_chunks().sort_by([("label", "ascending"), ("draw", "ascending"), ("id", "ascending")])
+    scale = ratio.astype(np.float32)
     x, y, fit = [], [], []
-    for label in (0, 1):
-        own = [r for r in got if r["label"] == label]
-        cut = min(sample, max(1, len(own) * sample // size)) if len(own) < size else sample
-        for k, r in enumerate(own):
-            at = np.frombuffer(r["slots"], "<i4").astype(np.int64)
-            v = ratio[at]
-            norm = np.sqrt(v @ v)
-            x.append((at, v / norm if norm else v))
-            y.append(2 * label - 1)
-            fit.append(k < cut)
+    label, slots = got.column("label").to_numpy(), got.column("slots").combine_chunks()
+    for k in range(len(label)):
+        at = np.frombuffer(slots[k].as_buffer(), "<i4")  # a view of what was fetched
+        v = scale[at]
+        norm = np.sqrt(v @ v)
+        x.append((at, v / norm if norm else v))
+    for own in (0, 1):
+        n = int((label == own).sum())
+        cut = sample if n == size else max(1, n * sample // size)
+        y += [2 * own - 1] * n
+        fit += [k < cut for k in range(n)]
     y, fit = np.array(y), np.array(fit)
     train = np.flatnonzero(fit)
     part = [(y[train] == s).sum() for s in (-1, 1)]
