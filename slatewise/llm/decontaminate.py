@@ -16,6 +16,7 @@ that repeat get equal results; an empty benchmark hits nothing; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,19 +179,18 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-            item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, with_text: bool = False,
-            max_coverage: float = 1.0) -> DataFrame:
+            item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """(id, n_words, n_hit, item_ids, longest, spans), one row per document; ``spans`` are word ranges.
 
-    ``with_text`` adds every column of the documents, ``kept_text`` (the text without the bytes from the first to
-    the last word of every span; unchanged if nothing was hit) and ``rejected`` (coverage above ``max_coverage``).
+    ``with_text`` returns ``row`` (all columns of the document) and ``text`` for the identifier and, where one block holds
+    all items, ``cut`` (the text without its spans).
     """
     spark = docs.sparkSession
     blocks = item_blocks(items, item_id, item_text, block_words)
     fields = "n_words long, n_hit long, longest int, item_ids array<string>, spans array<struct<a:int,b:int>>"
     span_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def pass_over(frame: DataFrame, block) -> DataFrame:
+    def pass_over(frame: DataFrame, block, cut: bool = False) -> DataFrame:
         shipped = spark.sparkContext.broadcast(block)  # at most block_words words
         names = frame.columns
         at = names.index(text_col)
@@ -199,21 +199,25 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             automaton = _automaton(shipped, window)
             ids = [x[0] for x in shipped.value]
             for batch in batches:
-                out = []
+                out, kept = [], []
                 texts = batch.column(at)
                 for i in range(batch.num_rows):
                     t = texts[i]
-                    doc = words(t.as_buffer().to_pybytes()) if t.is_valid else []
+                    raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    doc = words(raw)
                     spans, hit, longest = automaton.match(doc)
+                    kept.append(cut_spans(raw, spans).decode("utf-8", "surrogatepass") if cut and spans else t.as_py() if cut else None)
                     out.append((len(doc), sum(b - a for a, b in spans), longest,
                                 sorted({ids[k] for k in hit if ids[k] is not None}), [{"a": a, "b": b} for a, b in spans]))
                 cols = list(zip(*out)) if out else [[], [], [], [], []]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), span_type]
                 extra = [pa.array(c, t) for c, t in zip(cols, types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "n_words", "n_hit", "longest", "item_ids", "spans"])
+                if cut:
+                    extra.append(pa.array(kept, pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "n_words", "n_hit", "longest", "item_ids", "spans", *["cut"] * cut])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-        return frame.mapInArrow(run, f"{schema}, {fields}")
+        return frame.mapInArrow(run, f"{schema}, {fields}" + ", cut string" * cut)
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if not with_text else None
     if plain is not None:
@@ -221,8 +225,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     else:
         frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
         text_col, keep = "text", ["row", "text"]
-    done = pass_over(frame, next(blocks))
-    for block in blocks:
+    first, second = next(blocks), next(blocks, None)
+    if with_text and second is None:  # one pass sees all spans of a text and cuts them at once
+        return pass_over(frame, first, cut=True).select(*keep, "n_words", "n_hit", "longest", "item_ids", "spans", "cut")
+    done = pass_over(frame, first)
+    for block in itertools.chain([] if second is None else [second], blocks):
         # A further block streams the same documents; spans and items are united per document.
         done = done.select(*frame.columns, F.struct("n_hit", "longest", "item_ids", "spans").alias("before"), "n_words")
         more = pass_over(done.drop("n_words"), block)
@@ -284,7 +291,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     cut.append(cut_spans(t.as_buffer().to_pybytes(), [(x["a"], x["b"]) for x in s]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], names=["row", "cut"])
 
-    left = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select("row", "text", "spans")
-    row = found.schema["row"].dataType.simpleString()
-    done = left.mapInArrow(run, f"row {row}, cut string")
+    left = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words"))
+    if "cut" in found.columns:
+        done = left
+    else:
+        row = found.schema["row"].dataType.simpleString()
+        done = left.select("row", "text", "spans").mapInArrow(run, f"row {row}, cut string")
     return done.select(*[(F.col("cut") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

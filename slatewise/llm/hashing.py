@@ -9,7 +9,11 @@ bounded by the piece and eight bytes a word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,3 +116,13 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     if len(words) < width:
         return window_hashes(words, len(words)) + U(len(words))
     return np.unique(window_hashes(words, width))
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later stages, next to the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

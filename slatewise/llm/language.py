@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slatewise.llm.hashing import U, mix
+from slatewise.llm.hashing import U, mix, release
 
 BITS = 17
 ORDERS = (2, 3, 4)
@@ -37,6 +37,7 @@ SCRIPT_SHARE = 0.005
 OUT_OF_SCRIPT = -1e4
 PIECE = 1 << 20
 MAX_WORDS = 200_000
+MAX_CELLS = 1 << 23
 MAX_LANGUAGES = 400
 UND = "und"
 
@@ -122,6 +123,7 @@ def counts_of(texts: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                         flush(lang)
         for lang in list(seen):
             flush(lang)
+        release()
         for lang, table in grams.items():
             for kind, values in (("gram", table), ("script", scripts[lang])):
                 slot = np.flatnonzero(values)
@@ -176,9 +178,10 @@ def best_paths(scores: np.ndarray, texts: list[np.ndarray], penalty: float) -> l
     sizes = np.array([len(texts[i]) for i in order], np.int64)
     steps = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")  # texts with more than t words
-    flat = np.concatenate([texts[i] for i in order]) if steps else np.empty(0, np.int64)
+    flat = np.concatenate([texts[i] for i in order]) if steps else np.empty(0, np.int32)
     offset = np.concatenate(([0], np.cumsum(sizes)))
-    own = np.arange(scores.shape[1], dtype=np.int16)
+    small = np.int8 if scores.shape[1] < 128 else np.int16
+    own = np.arange(scores.shape[1], dtype=small)
     back: list[np.ndarray] = []
     last = np.zeros(len(texts), np.int64)
     value = np.zeros((len(texts), scores.shape[1]), np.float32)
@@ -190,17 +193,17 @@ def best_paths(scores: np.ndarray, texts: list[np.ndarray], penalty: float) -> l
         top = value.argmax(axis=1)
         change = value[np.arange(n), top] - np.float32(penalty)
         stays = value >= change[:, None]
-        back.append(np.where(stays, own, top[:, None].astype(np.int16)))
+        back.append(np.where(stays, own, top[:, None].astype(small)))
         value = np.where(stays, value, change[:, None]) + scores[flat[offset[:n] + t]]
         value -= value.max(axis=1, keepdims=True)
     last[: len(value)] = value.argmax(axis=1) if len(value) else 0
-    path = np.empty(len(flat), np.int16)
+    path = np.empty(len(flat), small)
     state = last
     for t in range(steps - 1, -1, -1):
         n = active[t]
         path[offset[:n] + t] = state[:n]
         state[:n] = back[t][np.arange(n), state[:n]]
-    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(texts)
+    out: list[np.ndarray] = [np.empty(0, small)] * len(texts)
     for k, i in enumerate(order):
         out[i] = path[offset[k] : offset[k + 1]]
     return out
@@ -211,7 +214,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
     names = docs.columns
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text_col)
-    limit = (1 << 25) // max(1, len(model.languages))  # words whose paths are held at a time
+    limit = MAX_CELLS // max(1, len(model.languages))  # words whose paths are held at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
@@ -238,8 +241,8 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
         for batch in batches:
             done, texts, index, held = [], [], {}, 0
             for t in batch.column(at):
-                ids = [np.fromiter((index.setdefault(w, len(index)) for w in part), np.int64, len(part)) for part in words(t.as_py() or "")]
-                texts.append(np.concatenate(ids) if ids else np.empty(0, np.int64))
+                ids = [np.fromiter((index.setdefault(w, len(index)) for w in part), np.int32, len(part)) for part in words(t.as_py() or "")]
+                texts.append(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 held += len(texts[-1])
                 if held >= limit:
                     done += paths(texts, index)
@@ -248,6 +251,8 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("lang", pa.string())]))
             extra = [pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 3, (pa.string(), pa.float64(), span))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*(f"c{k}" for k in range(len(names))), "lang_pred", "score", "spans"])
+            done, texts, index, extra, ids = [], [], {}, [], []
+            release()
 
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
     out = docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<a:long,b:long,lang:string>>")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from slatewise.llm.components import components
-from slatewise.llm.hashing import U, mix, shingles, word_hashes
+from slatewise.llm.hashing import U, mix, release, shingles, word_hashes
 from slatewise.llm.rows import keep_rows, mark_of
 from slatewise.llm.storage import save
 
@@ -105,6 +105,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, m: MinHash) -> DataF
                     out.append((0, None, None, None, 0, None))
             cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *cols], names=["row_no", "id", "mark", "n", "key", "bands", "sig", "size", "z"])
+            out, cols = [], []
+            release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark_of(F.col(text_col)).alias("mark"))
     return save(rows.mapInArrow(run, "row_no long, id long, mark long, n long, key binary, bands array<long>, sig binary, size long, z binary"), "sets")
