@@ -101,7 +101,7 @@ def roc_auc(df: DataFrame, group_cols: list[str] = ("model",), label_col: str =
     num = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
     P, N = F.first("P"), F.first("N")
     return c.groupBy(*g).agg(
-        F.when((P > 0) & (N > 0), r6(num / (P * N).cast("double"))).alias("auc"))
+        F.when((P > 0) & (N > 0), r6(num / (P.cast("double") * N.cast("double")))).alias("auc"))
 
 
 def average_precision(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
@@ -200,7 +200,7 @@ def curve_metrics(df: DataFrame, group_cols: list[str] = ("model",), label_col:
     auc_num = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
     ap_term = F.col("pos") / F.col("P").cast("double") * (F.col("tp") / (F.col("tp") + F.col("fp")).cast("double"))
     a = c.groupBy(*g).agg(
-        F.when((P > 0) & (N > 0), r6(auc_num / (P * N).cast("double"))).alias("auc"),
+        F.when((P > 0) & (N > 0), r6(auc_num / (P.cast("double") * N.cast("double")))).alias("auc"),
         F.when(P > 0, r6(F.sum(ap_term))).alias("ap"),
         F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_thr"))).alias("_b"))
     return a.select(*g, "auc", "ap", (-F.col("_b.neg_thr")).alias("threshold"))

@@ -39,9 +39,10 @@ def explode_slate(df: DataFrame, impressions_col: str = "impressions", strict: b
     """
     keep = [c for c in df.columns if c != impressions_col]
     if strict:
+        # split once: what follows the first '-' must be an integer as a whole
         items = F.transform(F.split(F.trim(F.col(impressions_col)), r"\s+"), lambda x: F.struct(
-            F.split(x, "-").getItem(0).alias("candidate_id"),
-            F.split(x, "-").getItem(1).cast("int").alias("label")))
+            F.split(x, "-", 2).getItem(0).alias("candidate_id"),
+            F.split(x, "-", 2).getItem(1).cast("int").alias("label")))
     else:
         items = parse_slate(impressions_col)
     return (df.select(*keep, F.posexplode(items).alias("pos", "c"))

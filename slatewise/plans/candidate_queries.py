@@ -101,20 +101,17 @@ def q_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("history_text", with_("news", "inter", "cut", extra=UHIST_CTE + f""",
 cb AS (SELECT news_id, {CLEAN_SQL.format(c='title')} || ' ' || {CLEAN_SQL.format(c='text')} AS combined FROM news),
-ul AS (SELECT uh.*, MAX(pos) OVER (PARTITION BY user_id) AS n FROM uh),
-ht AS (SELECT ul.user_id, COUNT(*) AS n_items, string_agg(cb.combined, ' ' ORDER BY ul.pos) AS txt
-       FROM ul JOIN cb ON cb.news_id = ul.item_id WHERE ul.pos > ul.n - 50 GROUP BY ul.user_id)""")
+ht AS (SELECT uh.user_id, COUNT(*) AS n_items, string_agg(cb.combined, ' ' ORDER BY uh.pos) AS txt
+       FROM uh JOIN cb ON cb.news_id = uh.item_id GROUP BY uh.user_id)""")
     + "SELECT user_id, n_items, CAST(length(txt) AS BIGINT) AS text_len, md5(txt) AS text_md5 FROM ht")
 def q_history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CombinedText of the last 50 history items joined in order (reported as length and md5)."""
+    """CombinedText of all history items joined in order (reported as length and md5)."""
     from slatewise.functions.text import clean_text
     it, cut = inter_cut(spark, sf_dir)
     hl = I.user_history(it, cut)
-    n = hl.groupBy("user_id").agg(F.max("pos").alias("n"))
-    last = hl.join(n, "user_id").filter(F.col("pos") > F.col("n") - 50)
     news = B.news(spark, sf_dir).select(F.col("news_id").alias("item_id"),
                                         F.concat(clean_text("title"), F.lit(" "), clean_text("text")).alias("combined"))
-    j = last.join(news, "item_id")
+    j = hl.join(news, "item_id")
     ht = j.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "combined"))), lambda e: e["combined"]), " ").alias("txt"))

