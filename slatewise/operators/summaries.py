@@ -50,15 +50,17 @@ def coverage(recommended: DataFrame, catalog: DataFrame, item_col: str = "item_i
                       r6(F.col("n_recommended") / F.lit(float(size))).alias("coverage"))
 
 
-TIMING_RE = r"'([A-Za-z_][A-Za-z0-9_ ]*)': '([0-9.]+)ms'"
+# Fixed value: the log grammar, a quoted name, ':', optional blanks, a quoted number with 'ms'.
+TIMING_RE = r"(?U)'(\w+)':\s*'([\d.]+)ms'"
 
 
 def component_timings(logs: DataFrame, line_col: str = "line") -> DataFrame:
-    """Mean milliseconds per component from ``'name': '1.2ms'`` pairs in log lines."""
+    """Mean milliseconds per component from ``'name': '1.2ms'`` pairs in log lines, slowest first."""
     names = F.regexp_extract_all(F.col(line_col), F.lit(TIMING_RE), 1)
     vals = F.regexp_extract_all(F.col(line_col), F.lit(TIMING_RE), 2)
     z = logs.select(F.explode(F.arrays_zip(names.alias("n"), vals.alias("v"))).alias("p"))
-    return z.groupBy(F.col("p.n").alias("component")).agg(r6(F.avg(F.col("p.v").cast("double"))).alias("mean_ms"))
+    means = z.groupBy(F.col("p.n").alias("component")).agg(r6(F.avg(F.col("p.v").cast("double"))).alias("mean_ms"))
+    return means.orderBy(F.col("mean_ms").desc(), "component")
 
 
 def experiment_summary(rows: DataFrame, metric_cols: list[str], group_cols: list[str] = (),

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions.common import r6
-from slatewise.operators import candidates as CA
 from slatewise.operators import classification as C
 from slatewise.operators import ensemble as EN
 from slatewise.operators import interactions as I
@@ -105,24 +104,22 @@ NEWS_CATEGORIES = ["de", "en", "es", "fr"]
 
 @register("meta_training_set", with_("inter", "cut", extra=UHIST_CTE + f""",
 pp AS (SELECT item_id, CAST(SUM(label) AS DOUBLE) AS pop, epoch_us(MAX(ts)) / 1e6 AS rec FROM inter, cut WHERE ts <= cutoff GROUP BY item_id),
-users AS (SELECT DISTINCT user_id FROM inter),
-cand AS (SELECT u.user_id, p.item_id, p.pop, p.rec FROM users u CROSS JOIN pp p
-         WHERE NOT EXISTS (SELECT 1 FROM uh WHERE uh.user_id = u.user_id AND uh.item_id = p.item_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pop DESC, item_id) AS rank FROM cand),
+shown AS (SELECT DISTINCT user_id, item_id FROM inter, cut WHERE ts > cutoff),
+rk AS (SELECT s.user_id, p.item_id, p.pop, p.rec FROM shown s JOIN pp p USING (item_id)
+       WHERE NOT EXISTS (SELECT 1 FROM uh WHERE uh.user_id = s.user_id AND uh.item_id = p.item_id)),
 fut AS (SELECT DISTINCT user_id, item_id FROM inter, cut WHERE ts > cutoff AND label = 1)""")
     + "SELECT r.user_id, r.item_id, r.pop AS pred_popularity, r.rec AS pred_recency, "
     + "CAST(f.user_id IS NOT NULL AS INT) AS label, "
     + ", ".join(f"CAST(COALESCE(d.lang = '{c}', false) AS INT) AS cat_{c}" for c in NEWS_CATEGORIES)
     + """ FROM rk r LEFT JOIN fut f ON f.user_id = r.user_id AND f.item_id = r.item_id
-LEFT JOIN documents d ON d.doc_id = r.item_id WHERE r.rank <= 10""")
+LEFT JOIN documents d ON d.doc_id = r.item_id""")
 def q_meta_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user candidates (top 10 of the full pool) with every base scorer's
-    score, the future-click label and the one-hot candidate category."""
+    """Every pool item shown to a user after the cutoff and not in the history, with each
+    base scorer's score, the future-click label and the one-hot candidate category."""
     it, cut, users, own, future, shown = experiment_inputs(spark, sf_dir)
     sc = method_scores(it, cut)
     pool = sc["popularity"].join(sc["recency"].withColumnRenamed("score", "pred_recency"), "item_id")
-    recs = CA.topk_excluding(users, own, pool.select("item_id", "score"), 10)
-    rows = (recs.join(pool.select("item_id", "pred_recency"), "item_id")
+    rows = (shown.join(own, ["user_id", "item_id"], "left_anti").join(pool, "item_id")
                 .withColumnRenamed("score", "pred_popularity")
                 .join(future.withColumn("label", F.lit(1)), ["user_id", "item_id"], "left").fillna(0, ["label"]))
     cat = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")

@@ -55,8 +55,8 @@ LOG_LINE_SQL = ("'{''' || event_type || ''': ''' || printf('%.2f', value) || 'ms
 
 
 @register("component_timings", f"""WITH l AS (SELECT {LOG_LINE_SQL} AS line FROM events),
-p AS (SELECT unnest(regexp_extract_all(line, '''([A-Za-z_][A-Za-z0-9_ ]*)'': ''([0-9.]+)ms''', 1)) AS component,
-             unnest(regexp_extract_all(line, '''([A-Za-z_][A-Za-z0-9_ ]*)'': ''([0-9.]+)ms''', 2)) AS v FROM l)
+p AS (SELECT unnest(regexp_extract_all(line, '''(\\w+)'':\\s*''([\\d.]+)ms''', 1)) AS component,
+             unnest(regexp_extract_all(line, '''(\\w+)'':\\s*''([\\d.]+)ms''', 2)) AS v FROM l)
 SELECT component, round(AVG(CAST(v AS DOUBLE)), 6) AS mean_ms FROM p GROUP BY component""")
 def q_component_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-component mean time parsed from log lines (one line per event)."""
