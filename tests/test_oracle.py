@@ -47,7 +47,7 @@ def _keys():
     import __spark_entry__ as E
     sql = E.oracle_sql()
     if os.environ.get("SLATEWISE_FULL_ORACLE"):
-        return sorted(sql)
+        return sorted(k for k in sql if not k.startswith("op"))
     return [k for k in DEFAULT if k in sql]
 
 

@@ -13,8 +13,9 @@ def _plan(df):
 
 
 def _keys():
-    import __spark_entry__ as E
-    return sorted(k for k in E.queries() if not k.startswith(SKIP_PREFIX) and k not in SKIP)
+    from slatewise.plans import registry as r
+    r.load_all()
+    return sorted(k for k in r.QUERIES if not k.startswith(SKIP_PREFIX) and k not in SKIP)
 
 
 @pytest.mark.parametrize("key", _keys())
