@@ -72,7 +72,7 @@ def pool_sizes(users: DataFrame, excluded: DataFrame, pool: DataFrame, user_col:
     u = users.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
     if g:
         n_pool = pool.groupBy(*g).agg(F.count(F.lit(1)).alias("_np"))   # one row per group
-        u = u.join(F.broadcast(n_pool), g)
+        u = u.join(n_pool, g)
     else:
         u = u.withColumn("_np", F.lit(pool.count()))   # one number
     return u.select(*g, user_col, (F.col("_np") - F.col("_h")).alias("num_candidates"))

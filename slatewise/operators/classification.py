@@ -29,8 +29,7 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*group_cols).agg(
         F.percentile_approx(score_col, probs, 10000).alias("_bounds"))
-    # one row per group with ``buckets`` doubles: bounded by the number of groups
-    d2 = d.join(F.broadcast(bounds), group_cols)
+    d2 = d.join(bounds, group_cols)   # one row per group with ``buckets`` doubles
     d2 = d2.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(score_col)))) \
            .drop("_bounds")
     btot = d2.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
@@ -44,8 +43,8 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
     wi = Window.partitionBy(*group_cols, "_bucket").orderBy(score_col) \
                .rowsBetween(Window.unboundedPreceding, -1)
     inner = d2.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
-    # offsets: groups x buckets rows
-    out = inner.join(F.broadcast(offs), [*group_cols, "_bucket"])
+    # the rows are already partitioned by the join key
+    out = inner.join(offs, [*group_cols, "_bucket"])
     return out.select(
         *[c for c in d.columns],
         *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"below_{c}") for c in sum_cols],
@@ -84,7 +83,10 @@ def score_counts(df: DataFrame, group_cols: list[str], label_col: str = "y_true"
 def _curve(df: DataFrame, group_cols: list[str], label_col: str, score_col: str,
            buckets: int) -> DataFrame:
     """Distinct thresholds with tp/fp at ``score >= threshold`` and P/N totals."""
-    d = score_counts(df, group_cols, label_col, score_col)
+    return _curve_of(score_counts(df, group_cols, label_col, score_col), group_cols, buckets)
+
+
+def _curve_of(d: DataFrame, group_cols: list[str], buckets: int) -> DataFrame:
     p = score_prefix(d, group_cols, "score", ["pos", "neg"], buckets)
     return p.select(
         *group_cols, "score", "pos", "neg", "below_neg",
@@ -97,7 +99,10 @@ def roc_auc(df: DataFrame, group_cols: list[str] = ("model",), label_col: str =
             score_col: str = "y_pred", buckets: int = 64) -> DataFrame:
     """Exact ROC AUC per group, ties count 1/2; null when one class is absent."""
     g = list(group_cols)
-    c = _curve(df, g, label_col, score_col, buckets)
+    return _auc(_curve(df, g, label_col, score_col, buckets), g)
+
+
+def _auc(c: DataFrame, g: list[str]) -> DataFrame:
     num = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
     P, N = F.first("P"), F.first("N")
     return c.groupBy(*g).agg(
@@ -157,10 +162,7 @@ def prf_at_threshold(df: DataFrame, threshold, group_cols: list[str] = ("model",
         F.sum(yp * (1 - yt)).cast("bigint").alias("fp"),
         F.sum((1 - yp) * yt).cast("bigint").alias("fn"),
         F.count(F.lit(1)).alias("samples"))
-    p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
-    r = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
-    return agg.select(*g, "samples", r6(p).alias("precision"), r6(r).alias("recall"),
-                      r6(safe_div(F.lit(2.0) * p * r, p + r)).alias("f1"))
+    return agg.select(*g, "samples", *prf_columns())
 
 
 def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10,
@@ -169,28 +171,30 @@ def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10
     """AUC / P / R / F1 over all rows seen so far, reported at each tenth of the
     evaluation order.
 
-    Rows are cut into ``fractions`` equal-width ranges of ``order_col`` (a
-    dense row counter, so equal widths are equal row counts). Each row goes
-    to the first report that includes it and is replicated to every later
-    report (at most ``fractions`` copies), so the reports are ordinary
-    grouped metrics keyed by ``report``; no global sort or ntile window.
+    Report i holds the first i tenths of the rows of a group in the order of
+    ``order_col`` (unique). Rows are counted per (first report, score) before
+    they go to the later reports, so only counts are copied (at most
+    ``fractions`` times) and no window holds a whole group.
     """
+    from slatewise.operators.positions import row_positions
     g = list(group_cols)
-    span = df.groupBy(*g).agg(F.min(order_col).alias("_lo"),
-                              (F.max(order_col) - F.min(order_col) + 1).alias("_w"))
-    # one row per group: bounded by the number of models
-    part = df.join(F.broadcast(span), g).withColumn(
-        "_first", (F.floor((F.col(order_col) - F.col("_lo")) * F.lit(fractions) / F.col("_w")) + 1).cast("int"))
-    rep = part.withColumn("report", F.explode(F.sequence(F.col("_first"), F.lit(fractions)))) \
-              .drop("_lo", "_w", "_first")
+    p = row_positions(df.select(*g, order_col, label_col, score_col), [order_col], g, "_pos", total_col="_n")
+    first = (F.floor((F.col("_pos") - 1) * F.lit(fractions) / F.col("_n")) + 1).cast("int")
+    counts = score_counts(p.withColumn("_first", first), [*g, "_first"], label_col, score_col)
     gg = [*g, "report"]
-    return (roc_auc(rep, gg, label_col, score_col)
-            .join(prf_at_threshold(rep, threshold, gg, label_col, score_col), gg))
+    d = (counts.withColumn("report", F.explode(F.sequence(F.col("_first"), F.lit(fractions))))
+               .groupBy(*gg, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    hit = F.col("score") >= F.lit(float(threshold))
+    prf = d.groupBy(*gg).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.col("pos") + F.col("neg")).alias("samples"))
+    auc = _auc(_curve_of(d, gg, 64), gg)
+    return auc.join(prf.select(*gg, "samples", *prf_columns()), gg)
 
 
 def curve_metrics(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
                   score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64) -> DataFrame:
-    """AUC, AP and the F1-optimal threshold (raw) from one pass over the curve."""
+    """AUC, AP, the F1-optimal threshold (raw) and the counts at it from one pass over the curve."""
     g = list(group_cols)
     c = _curve(df, g, label_col, score_col, buckets)
     prec = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
@@ -202,8 +206,17 @@ def curve_metrics(df: DataFrame, group_cols: list[str] = ("model",), label_col:
     a = c.groupBy(*g).agg(
         F.when((P > 0) & (N > 0), r6(auc_num / (P.cast("double") * N.cast("double")))).alias("auc"),
         F.when(P > 0, r6(F.sum(ap_term))).alias("ap"),
-        F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_thr"))).alias("_b"))
-    return a.select(*g, "auc", "ap", (-F.col("_b.neg_thr")).alias("threshold"))
+        F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("neg_thr"), "tp", "fp")).alias("_b"),
+        P.alias("P"), N.alias("N"))
+    return a.select(*g, "auc", "ap", (-F.col("_b.neg_thr")).alias("threshold"), F.col("_b.tp").alias("tp"),
+                    F.col("_b.fp").alias("fp"), (F.col("P") - F.col("_b.tp")).alias("fn"), (F.col("P") + F.col("N")).alias("samples"))
+
+
+def prf_columns() -> list:
+    """Precision, recall and F1 (zero division -> 0) from ``tp``, ``fp`` and ``fn``."""
+    p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    r = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
+    return [r6(p).alias("precision"), r6(r).alias("recall"), r6(safe_div(F.lit(2.0) * p * r, p + r)).alias("f1")]
 
 
 def regenerate_metrics(preds: DataFrame, k_values: list[int], tune_threshold: bool = True,
@@ -215,12 +228,11 @@ def regenerate_metrics(preds: DataFrame, k_values: list[int], tune_threshold: bo
     from slatewise.operators.ranking import ranking_tracker
     g = list(group_cols)
     cm = curve_metrics(preds, g)   # one curve: AUC, AP and the tuned threshold
-    if not tune_threshold:
-        cm = cm.withColumn("threshold", F.lit(float(decision_threshold)))
-    thr = cm.select(*g, "threshold")
-    scored = preds.join(F.broadcast(thr), g)   # one row per model
-    prf = prf_at_threshold(scored, F.col("threshold"), g)
-    out = cm.select(*g, "auc", "ap", r6(F.col("threshold")).alias("threshold")).join(prf, g)
+    if tune_threshold:   # the counts at the threshold are on its row of the curve
+        out = cm.select(*g, "auc", "ap", r6(F.col("threshold")).alias("threshold"), "samples", *prf_columns())
+    else:
+        fixed = F.lit(float(decision_threshold))
+        out = cm.select(*g, "auc", "ap", r6(fixed).alias("threshold")).join(prf_at_threshold(preds, float(decision_threshold), g), g)
     if not k_values:
         return out
     tr = ranking_tracker(preds, k_values, slate_col, g, item_col)

@@ -64,7 +64,7 @@ def boosting(preds: DataFrame, weights: DataFrame, key_cols: list[str] = ("row_i
              model_col: str = "model", score_col: str = "y_pred") -> DataFrame:
     """Weighted mean sum(w*p)/sum(w) per row over the models present."""
     keys = list(key_cols)
-    j = preds.join(F.broadcast(weights), model_col)   # one row per model
+    j = preds.join(weights, model_col)   # one row per model
     return j.groupBy(*keys).agg((F.sum(F.col("weight") * F.col(score_col)) / F.sum("weight")).alias(score_col))
 
 

@@ -26,7 +26,7 @@ def class_balanced(df: DataFrame, label_col: str, weight_col: str = "weight") ->
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_c"))
     tot = counts.agg(F.sum("_c").alias("t"), F.count(F.lit(1)).alias("k")).first()   # classes: tiny
     w = counts.select(label_col, (F.lit(float(tot["t"])) / (F.lit(float(tot["k"])) * F.col("_c"))).alias(weight_col))
-    return df.join(F.broadcast(w), label_col)   # one row per class
+    return df.join(w, label_col)   # one row per class
 
 
 def user_kmeans(profiles: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 42,

@@ -36,10 +36,8 @@ def split_by_rank(df: DataFrame, group_cols: list[str], test_size: float, seed:
     are test: exact group-wise proportions (stratified split)."""
     g = list(group_cols)
     d = df.withColumn("_draw", md5_draw(seed, key_col))
-    p = row_positions(d, ["_draw", key_col], g, "_pos", uniform_range=DRAW_RANGE)
-    n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    j = p.join(n, g)   # one row per group
-    return j.withColumn(side_col, F.when(F.col("_pos") <= F.ceil(F.col("_n") * F.lit(float(test_size))), "test")
+    p = row_positions(d, ["_draw", key_col], g, "_pos", uniform_range=DRAW_RANGE, total_col="_n")
+    return p.withColumn(side_col, F.when(F.col("_pos") <= F.ceil(F.col("_n") * F.lit(float(test_size))), "test")
                         .otherwise("train")).drop("_draw", "_pos", "_n")
 
 

@@ -23,7 +23,7 @@ def score_histogram(df: DataFrame, group_cols: list[str], score_col: str, bins:
         j = df.withColumn("_lo", F.lit(lo)).withColumn("_hi", F.lit(hi))
     else:
         rng = df.groupBy(*g).agg(F.min(score_col).alias("_lo"), F.max(score_col).alias("_hi"))
-        j = df.join(F.broadcast(rng), g)   # one row per group
+        j = df.join(rng, g)   # one row per group
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score_col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")

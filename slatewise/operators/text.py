@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from slatewise.operators.positions import row_positions
 
-VOCAB_BROADCAST_ROWS = 5_000_000
-
 
 def token_rows(docs: DataFrame, doc_col: str, tokens: F.Column) -> DataFrame:
     """(doc, pos, token) for every token of every document (pos 0-based)."""
@@ -38,15 +36,10 @@ def fit_vocabulary(docs: DataFrame, doc_col: str, tokens: F.Column) -> DataFrame
     return ranked.select("token", F.col("id").cast("int").alias("id"), F.col("count").cast("bigint").alias("count"))
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    n = vocab.count()   # vocabulary size: the bound that decides the broadcast
-    return F.broadcast(vocab) if n <= VOCAB_BROADCAST_ROWS else vocab
-
-
 def encode_text(docs: DataFrame, doc_col: str, tokens: F.Column, vocab: DataFrame) -> DataFrame:
     """tokens -> ids in text order, unknown words dropped. Returns (doc, ids array<int>)."""
     t = token_rows(docs, doc_col, tokens)
-    v = _vocab_side(vocab.select("token", "id"))
+    v = vocab.select("token", "id")   # broadcast or not: by its measured size
     j = t.join(v, "token")
     enc = j.groupBy(doc_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))),
                                              lambda e: e["id"]).alias("ids"))

@@ -3,9 +3,9 @@
 
 Vectors are ``array<float|double>`` columns; dot products are
 ``aggregate(zip_with(...))`` so they stay in codegen. Exact top-k by cosine
-over a whole item catalog uses per-partition numpy top-k against a
-size-checked broadcast of the user vectors, so user x item scores are
-computed inside tasks but never materialised as rows.
+over a whole item catalog scores blocks of users against blocks of items
+with numpy, so user x item scores are computed inside tasks but never
+materialised as rows.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_USERS = 200_000
-USER_CHUNK = 1024
+BLOCK_ROWS = 20_000
+USER_CHUNK = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,53 +68,44 @@ def cosine_topk(users: DataFrame, items: DataFrame, k: int, user_col: str = "use
                 user_vec: str = "u", item_vec: str = "v") -> DataFrame:
     """Exact top k items per user by cosine (ties at 1e-9: smaller item id first).
 
-    Each task scores its item partition against all user vectors with numpy
-    and keeps only its local top k per user; a per-user window then merges
-    at most (partitions x k) candidates. User vectors are broadcast after a
-    row-count check; larger user sets are processed in blocks of that size.
+    Users and items are cut by hash into blocks of about ``BLOCK_ROWS``; every
+    pair of blocks is one group, scored with numpy, that gives its k best items
+    per user. A per-user window merges at most (item blocks x k) candidates.
+    Nothing goes through the driver but the two row counts.
     """
-    n_users = users.count()   # the broadcast bound
-    if n_users == 0:
-        return users.sparkSession.createDataFrame([], f"{user_col} bigint, rank int, {item_col} bigint, similarity double")
-    if n_users > MAX_BROADCAST_USERS:
-        blocks = (n_users + MAX_BROADCAST_USERS - 1) // MAX_BROADCAST_USERS
-        u = users.withColumn("_blk", F.pmod(F.xxhash64(user_col), F.lit(blocks)))
-        parts = [cosine_topk(u.filter(F.col("_blk") == b).drop("_blk"), items, k, user_col, item_col, user_vec, item_vec)
-                 for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    import numpy as np
-    rows = users.select(user_col, user_vec).collect()   # bounded by MAX_BROADCAST_USERS
-    uid = np.array([r[0] for r in rows], dtype=np.int64)
-    um = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-    um = um / np.maximum(np.linalg.norm(um, axis=1, keepdims=True), 1e-300)
-    bc = users.sparkSession.sparkContext.broadcast((uid, um))
+    n_u, n_i = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (users, items))
+
+    def blocks(df: DataFrame, key: str, vec: str, mine: str, own: int, other: str, others: int) -> DataFrame:
+        own_block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(mine)
+        return df.select(F.col(key).cast("long").alias(key), F.col(vec).cast("array<double>").alias(vec), own_block,
+                         F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    u = blocks(users, user_col, user_vec, "_ub", n_u, "_ib", n_i)
+    v = blocks(items, item_col, item_vec, "_ib", n_i, "_ub", n_u)
     schema = T.StructType([T.StructField(user_col, T.LongType()), T.StructField(item_col, T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
 
-    def local_topk(batches):
+    def best(up, ip):
+        import numpy as np
         import pandas as pd
-        ids, mat = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            item_ids = pdf[item_col].to_numpy(dtype=np.int64)
-            by_id = np.argsort(item_ids, kind="stable")   # ties then resolve to the smaller id
-            item_ids = item_ids[by_id]
-            iv = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[item_vec]])[by_id]
-            iv = iv / np.maximum(np.linalg.norm(iv, axis=1, keepdims=True), 1e-300)
-            kk = min(k, len(item_ids))
-            for lo in range(0, len(ids), USER_CHUNK):   # bounded users x batch block in memory
-                sims = mat[lo:lo + USER_CHUNK] @ iv.T
-                top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :kk]
-                yield pd.DataFrame({
-                    user_col: np.repeat(ids[lo:lo + USER_CHUNK], kk),
-                    item_col: item_ids[top].ravel(),
-                    "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
-
-    cand = items.select(F.col(item_col).cast("long").alias(item_col), item_vec).mapInPandas(local_topk, schema)
+        if up.empty or ip.empty:
+            return pd.DataFrame({user_col: [], item_col: [], "similarity": []})
+
+        def unit(vectors):
+            m = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
+            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+        ip = ip.sort_values(item_col, kind="stable")   # ties then resolve to the smaller id
+        ids, item_ids = up[user_col].to_numpy(), ip[item_col].to_numpy()
+        um, iv, kk, out = unit(up[user_vec]), unit(ip[item_vec]), min(k, len(ip)), []
+        for lo in range(0, len(ids), USER_CHUNK):   # bounded users x items block in memory
+            sims = um[lo:lo + USER_CHUNK] @ iv.T
+            top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :kk]
+            out.append(pd.DataFrame({user_col: np.repeat(ids[lo:lo + USER_CHUNK], kk), item_col: item_ids[top].ravel(),
+                                     "similarity": np.take_along_axis(sims, top, axis=1).ravel()}))
+        return pd.concat(out)
+
+    cand = u.groupBy("_ub", "_ib").cogroup(v.groupBy("_ub", "_ib")).applyInPandas(best, schema)
     w = Window.partitionBy(user_col).orderBy(F.round("similarity", 9).desc(), F.col(item_col).asc())
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(user_col, F.col("rank").cast("int").alias("rank"), item_col, "similarity"))

@@ -123,12 +123,13 @@ SHOW_ARTICLES = 5
 TIMEFRAME_HOURS = 24
 
 
-@register("recommend", with_("news", "inter", "cut", extra=TFIDF_SQL + ",\n" + UHIST_CTE + """,
+@register("recommend", with_("news", "inter", "cut", extra=TFIDF_SQL + """,
+rf AS (SELECT MIN(ts) + INTERVAL 24 HOUR AS ref FROM inter),
+""" + UHIST_CTE.replace("inter, cut", "inter, rf").replace("cutoff", "ref") + """,
 utf AS (SELECT uh.user_id, d.term, SUM(d.tf) AS tf FROM uh JOIN dtf d ON d.news_id = uh.item_id GROUP BY 1, 2),
 uw AS (SELECT user_id, term, tf * idf AS w FROM utf JOIN idf USING (term)),
 uv AS (SELECT user_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY user_id)) AS weight FROM uw),
 fi AS (SELECT item_id, MIN(ts) AS first_ts FROM inter GROUP BY item_id),
-rf AS (SELECT MIN(ts) + INTERVAL 24 HOUR AS ref FROM inter),
 cands AS (SELECT item_id FROM fi, rf WHERE first_ts > ref - INTERVAL 24 HOUR AND first_ts <= ref),
 cv AS (SELECT news_id AS item_id, term, weight FROM dv WHERE news_id IN (SELECT item_id FROM cands)),
 sim AS (SELECT uv.user_id, cv.item_id, SUM(uv.weight * cv.weight) AS similarity FROM uv JOIN cv USING (term) GROUP BY 1, 2),
@@ -141,11 +142,11 @@ FROM r JOIN news n ON n.news_id = r.item_id WHERE r.rank <= {SHOW_ARTICLES}""")
 def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 articles per user among those first seen in the 24 h before the
     reference date (data start + 24 h), scored by TF-IDF cosine with the user's
-    history at the cutoff. Zero-similarity articles fill up in id order."""
-    it, cut = inter_cut(spark, sf_dir)
+    history up to that date. Zero-similarity articles fill up in id order."""
+    it = B.inter(spark, sf_dir)
     idf, tf, dv = news_tfidf(spark, sf_dir)
-    uv = TX.user_tfidf(I.user_history(it, cut).select("user_id", "item_id"), tf, idf)
     ref = it.agg(F.min("ts")).first()[0] + dt.timedelta(hours=TIMEFRAME_HOURS)   # one timestamp
+    uv = TX.user_tfidf(I.user_history(it, ref).select("user_id", "item_id"), tf, idf)
     lo = ref - dt.timedelta(hours=TIMEFRAME_HOURS)
     fi = I.first_interaction(it)
     cands = fi.filter((F.col("first_ts") > F.lit(lo)) & (F.col("first_ts") <= F.lit(ref))) \

@@ -16,7 +16,7 @@ from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
 from slatewise.session import materialize
-from slatewise.plans.slate_queries import CLEAN_SQL, HIST_CTE, STOP_SQL, UHIST_CTE, hist, inter_cut
+from slatewise.plans.slate_queries import CLEAN_SQL, HIST_CTE, HISTORY_LEN, STOP_SQL, UHIST_CTE, hist, inter_cut
 
 TITLE_LEN = 30
 
@@ -109,17 +109,17 @@ def q_join_candidate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("join_history_tokens", with_("news", "impr", extra=VOCAB_SQL + ",\n" + HIST_CTE + f""",
 ha AS (SELECT impression_id, list_filter(string_split(coalesce(history, ''), ' '), lambda x: x <> '') AS h FROM hist),
-hp AS (SELECT impression_id, list_concat(list_transform(range(GREATEST(5 - len(h), 0)), lambda i: NULL::VARCHAR),
-          list_slice(h, GREATEST(len(h) - 4, 1), len(h))) AS p FROM ha),
-hx AS (SELECT impression_id, unnest(p) AS hid, unnest(range(1, 6)) AS pos FROM hp)""")
+hp AS (SELECT impression_id, list_concat(list_transform(range(GREATEST({HISTORY_LEN} - len(h), 0)), lambda i: NULL::VARCHAR),
+          list_slice(h, GREATEST(len(h) - {HISTORY_LEN - 1}, 1), len(h))) AS p FROM ha),
+hx AS (SELECT impression_id, unnest(p) AS hid, unnest(range(1, {HISTORY_LEN + 1})) AS pos FROM hp)""")
     + f"""SELECT hx.impression_id, CAST(hx.pos AS INT) AS pos, COALESCE({ints_sql('t.tokens')}, '{ZEROS30}') AS tokens
 FROM hx LEFT JOIN ttab t ON t.news_id = CAST(hx.hid AS BIGINT)""")
 def q_join_history_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last 5 history ids of each slate (left-padded with empty rows) -> title tokens;
+    """Last history ids of each slate (left-padded with empty rows) -> title tokens;
     padding and unknown ids give zero rows."""
     h = hist(spark, sf_dir).select("impression_id", S.parse_history("history").alias("h"))
-    tail = last_n(F.col("h"), 5)
-    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.lit(5) - F.size(tail)), tail)
+    tail = last_n(F.col("h"), HISTORY_LEN)
+    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.lit(HISTORY_LEN) - F.size(tail)), tail)
     x = h.select("impression_id", F.posexplode(padded).alias("p0", "hid"))
     tt = title_table(spark, sf_dir).select(F.col("news_id").alias("_nid"), "tokens")
     j = x.join(tt, x.hid.cast("long") == tt._nid, "left")

@@ -17,7 +17,7 @@ from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
 from slatewise.session import materialize
 from slatewise.plans.sampling_queries import draw_sql
-from slatewise.plans.slate_queries import HIST_CTE, UHIST_CTE, hist, inter_cut
+from slatewise.plans.slate_queries import HIST_CTE, HISTORY_LEN, UHIST_CTE, hist, inter_cut
 
 
 def lastn_sql(l: str, n: str) -> str:
@@ -155,14 +155,14 @@ def q_history_last_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ua.select("user_id", joined(last_n(F.col("history"), 5)).alias("history"))
 
 
-AVG_SQL = UHIST_CTE + """,
+AVG_SQL = UHIST_CTE + f""",
 l5 AS (SELECT user_id, list(item_id ORDER BY pos) AS h FROM (
-        SELECT uh.*, MAX(pos) OVER (PARTITION BY user_id) AS n FROM uh) x WHERE pos > n - 5 GROUP BY user_id),
-pd AS (SELECT user_id, list_concat(list_transform(range(5 - len(h)), lambda i: 0), h) AS p FROM l5),
-av AS (SELECT i AS pos, CAST(trunc(AVG(p[i])) AS INT) AS value FROM pd, range(1, 6) t(i) GROUP BY i)"""
+        SELECT uh.*, MAX(pos) OVER (PARTITION BY user_id) AS n FROM uh) x WHERE pos > n - {HISTORY_LEN} GROUP BY user_id),
+pd AS (SELECT user_id, list_concat(list_transform(range({HISTORY_LEN} - len(h)), lambda i: 0), h) AS p FROM l5),
+av AS (SELECT i AS pos, CAST(trunc(AVG(p[i])) AS INT) AS value FROM pd, range(1, {HISTORY_LEN + 1}) t(i) GROUP BY i)"""
 
 
-def avg_profile(ua: DataFrame, n: int = 5) -> DataFrame:
+def avg_profile(ua: DataFrame, n: int = HISTORY_LEN) -> DataFrame:
     """Element-wise mean of the left-padded last-n histories, truncated to int."""
     padded = F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size(last_n(F.col("history"), n))),
                       last_n(F.col("history"), n).cast("array<bigint>"))
@@ -176,14 +176,21 @@ def q_global_avg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("pad_with_avg", with_("inter", "cut", extra=AVG_SQL + """,
-ap AS (SELECT list(value ORDER BY pos) AS a FROM av)""") + """SELECT user_id, array_to_string(CASE WHEN len(h) = 0 THEN a
-  WHEN len(h) < 5 THEN list_concat(h, list_slice(a, 1, 5 - len(h))) ELSE h END, ' ') AS history FROM l5, ap""")
+ap AS (SELECT list(value ORDER BY pos) AS a FROM av),
+au AS (SELECT c_custkey AS user_id FROM customer UNION SELECT user_id FROM l5),
+al AS (SELECT au.user_id, coalesce(l5.h, []) AS h FROM au LEFT JOIN l5 USING (user_id))""") + f"""SELECT CAST(user_id AS BIGINT) AS user_id,
+  array_to_string(CASE WHEN len(h) = 0 THEN a WHEN len(h) < {HISTORY_LEN} THEN list_concat(h, list_slice(a, 1, {HISTORY_LEN} - len(h)))
+  ELSE h END, ' ') AS history FROM al, ap""")
 def q_pad_with_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and users of the log; those without a history get the whole average profile."""
     ua = user_arrays(spark, sf_dir)
-    prof = [r["value"] for r in avg_profile(ua).orderBy("pos").collect()]   # 5 numbers
+    prof = [r["value"] for r in avg_profile(ua).orderBy("pos").collect()]   # HISTORY_LEN numbers
     a = F.array(*[F.lit(int(v)).cast("bigint") for v in prof])
-    last5 = last_n(F.col("history"), 5).cast("array<bigint>")
-    return ua.select("user_id", joined(H.pad_with_avg(last5, a, 5)).alias("history"))
+    own = ua.select(F.col("user_id").cast("long").alias("user_id"), last_n(F.col("history"), HISTORY_LEN).cast("array<bigint>").alias("h"))
+    customers = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id"))
+    users = customers.unionByName(own.select("user_id")).distinct().join(own, "user_id", "left")
+    h = F.coalesce(F.col("h"), F.array().cast("array<bigint>"))
+    return users.select("user_id", joined(H.pad_with_avg(h, a, HISTORY_LEN)).alias("history"))
 
 
 @register("donor_asof", with_("inter", "cut") + f"""
@@ -198,15 +205,15 @@ qk AS (SELECT *, CASE WHEN self_pos IS NOT NULL AND self_t <= ts AND r >= self_p
 dn AS (SELECT qk.event_id, qk.ts, up.user_id AS donor_user_id FROM qk LEFT JOIN up ON up.upos = qk.pick)
 SELECT dn.event_id, dn.donor_user_id, (SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY ts, event_id) FROM (
     SELECT c.item_id, c.ts, c.event_id FROM inter c WHERE c.user_id = dn.donor_user_id AND c.label = 1 AND c.ts <= dn.ts
-    ORDER BY c.ts DESC, c.event_id DESC LIMIT 5) z) AS donor_history FROM dn""")
+    ORDER BY c.ts DESC, c.event_id DESC LIMIT {HISTORY_LEN}) z) AS donor_history FROM dn""")
 def q_donor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Donor among users active at or before each later event; donor's last 5 clicks up to then."""
+    """Donor among users active at or before each later event; donor's last clicks up to then."""
     it, cut = inter_cut(spark, sf_dir)
     q = it.filter(F.col("ts") > F.lit(cut)).select("event_id", "user_id", "ts")
     d = H.donor_asof(q, it, 11, "event_id")
     clicks = it.filter(F.col("label") == 1).select("user_id", "ts", "item_id", "event_id")
     dq = d.select("event_id", F.col("donor_user_id").alias("user_id"), "ts", "donor_user_id")
-    h = H.asof_last_n(dq.filter(F.col("user_id").isNotNull()), clicks, 5, "event_id", inclusive=True)
+    h = H.asof_last_n(dq.filter(F.col("user_id").isNotNull()), clicks, HISTORY_LEN, "event_id", inclusive=True)
     out = d.select("event_id", "donor_user_id").join(h.select("event_id", "items"), "event_id", "left")
     return out.select("event_id", "donor_user_id",
                       F.when(F.size("items") > 0, joined(F.col("items"))).alias("donor_history"))

@@ -258,10 +258,8 @@ def q_doc_quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.average_precision(ds, []).select(F.lit("n_chars").alias("model"), F.lit(auc).alias("auc"), "ap")
 
 
-@register("prefix_metrics", with_("impr", "preds", extra="""sp AS (SELECT model, MIN(row_id) AS lo,
-        MAX(row_id) - MIN(row_id) + 1 AS w FROM preds GROUP BY model),
-pr AS (SELECT p.*, CAST(floor((p.row_id - sp.lo) * 10 / sp.w) + 1 AS INT) AS first_rep
-       FROM preds p JOIN sp USING (model)),
+@register("prefix_metrics", with_("impr", "preds", extra="""pr AS (SELECT p.*, CAST(floor((row_number() OVER (PARTITION BY model ORDER BY row_id) - 1) * 10
+         / COUNT(*) OVER (PARTITION BY model)) + 1 AS INT) AS first_rep FROM preds p),
 rep AS (SELECT pr.*, r.report FROM pr, (SELECT range AS report FROM range(1, 11)) r WHERE r.report >= pr.first_rep),
 d AS (SELECT model, report, y_pred AS score, SUM(CASE WHEN y_true > 0 THEN 1 ELSE 0 END) AS pos,
              SUM(CASE WHEN y_true > 0 THEN 0 ELSE 1 END) AS neg FROM rep GROUP BY model, report, y_pred),

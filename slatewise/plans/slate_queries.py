@@ -18,6 +18,7 @@ from slatewise.plans.registry import register
 TS_FMT_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 POOL_K = 10
+HISTORY_LEN = 50   # items of a history that reach a model
 
 
 def inter_cut(spark: SparkSession, sf_dir: str):
@@ -155,13 +156,13 @@ def q_union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_users"))
 
 
-@register("pad_history", with_("impr", extra=HIST_CTE) + """, a AS (SELECT impression_id,
+@register("pad_history", with_("impr", extra=HIST_CTE) + f""", a AS (SELECT impression_id,
    list_filter(string_split(trim(coalesce(history, '')), ' '), lambda x: x <> '') AS h FROM hist)
-SELECT impression_id, array_to_string(list_concat(list_transform(range(GREATEST(5 - len(h), 0)), lambda i: '0'),
-   list_slice(h, GREATEST(len(h) - 4, 1), len(h))), ' ') AS padded FROM a""")
+SELECT impression_id, array_to_string(list_concat(list_transform(range(GREATEST({HISTORY_LEN} - len(h), 0)), lambda i: '0'),
+   list_slice(h, GREATEST(len(h) - {HISTORY_LEN - 1}, 1), len(h))), ' ') AS padded FROM a""")
 def q_pad_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hist(spark, sf_dir)
-    return h.select("impression_id", F.array_join(S.pad_history(S.parse_history("history"), 5), " ").alias("padded"))
+    return h.select("impression_id", F.array_join(S.pad_history(S.parse_history("history"), HISTORY_LEN), " ").alias("padded"))
 
 
 @register("dedupe_keep_last", with_("inter") + """SELECT user_id, event_id, item_id FROM (
@@ -221,6 +222,8 @@ def q_viable_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLUSTER_SQL = "CAST(('0x' || substr(md5('cluster|' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS INT)"
+FINE_CLUSTERS = 30
+FINE_CLUSTER_SQL = CLUSTER_SQL.replace("% 3", f"% {FINE_CLUSTERS}")
 
 
 def inter_clusters(it: DataFrame, n: int = 3) -> DataFrame:
@@ -270,20 +273,23 @@ def q_gt_in_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_truth_in_pool"))
 
 
-@register("pool_minus_history", with_("inter", "cut", extra=POOL_CTE) + """SELECT item_id FROM (
-  SELECT DISTINCT item_id FROM inter, cut WHERE ts > cutoff EXCEPT SELECT item_id FROM pool) x""")
+@register("pool_minus_history", with_("inter", "cut", extra=UHIST_CTE + ",\n" + POOL_CTE) + f"""SELECT CAST(g.cluster AS INT) AS cluster, p.item_id
+FROM pool p, range({FINE_CLUSTERS}) g(cluster) EXCEPT SELECT {FINE_CLUSTER_SQL} AS cluster, item_id FROM uh""")
 def q_pool_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items shown after the cutoff that are not in the cutoff pool (set difference)."""
+    """Per cluster: the cutoff pool without the items its users have in their history (set difference)."""
     it, cut = inter_cut(spark, sf_dir)
-    later = it.filter(F.col("ts") > F.lit(cut)).select("item_id").distinct()
-    return later.exceptAll(I.candidate_pool(it, cut).select("item_id"))
+    seen = I.user_history(it, cut).join(inter_clusters(it, FINE_CLUSTERS), "user_id").select("cluster", "item_id").distinct()
+    clusters = F.explode(F.sequence(F.lit(0), F.lit(FINE_CLUSTERS - 1)))
+    return I.candidate_pool(it, cut).select(clusters.alias("cluster"), "item_id").exceptAll(seen)
 
 
 @register("missing_users", with_("inter", "cut", extra=UHIST_CTE)
-    + "SELECT DISTINCT user_id FROM inter WHERE user_id NOT IN (SELECT user_id FROM uh)")
+    + "SELECT DISTINCT CAST(c_custkey AS BIGINT) AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM uh)")
 def q_missing_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without any history at the cutoff."""
     it, cut = inter_cut(spark, sf_dir)
-    return it.select("user_id").distinct().join(I.user_history(it, cut), "user_id", "left_anti")
+    users = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id")).distinct()
+    return users.join(I.user_history(it, cut), "user_id", "left_anti")
 
 
 @register("reindex_users", with_("inter", "cut", extra=UHIST_CTE) + """SELECT u.user_id, COALESCE(h.n, 0) AS history_len
