@@ -40,11 +40,6 @@ def clean_text(text: str | Column, stop_words: list[str] = STOP_WORDS) -> Column
     return F.array_join(clean_tokens(text, stop_words), " ")
 
 
-def sk_tokens(text: str | Column) -> Column:
-    """Default TF-IDF tokenizer: lower case, tokens of 2+ word characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(col_(text), F.lit(""))), F.lit(r"(\w\w+)"), 1)
-
-
 def cleaned_string(text: str | Column) -> Column:
     """Lower-cased text with everything but ASCII letters and whitespace removed."""
     return F.lower(F.regexp_replace(F.coalesce(col_(text), F.lit("")), KEEP_CLASS, ""))

@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions.common import r6, safe_div
+from slatewise.operators.positions import bucket_count
 
 
 def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
-                 sum_cols: list[str], buckets: int = 64) -> DataFrame:
+                 sum_cols: list[str], buckets: int | None = None) -> DataFrame:
     """For each distinct (group, score) row of ``d`` add ``below_<c>`` (sum of
     ``c`` over strictly lower scores in the group) and ``tot_<c>`` (group total).
 
-    ``d`` must hold one row per (group, score).
+    ``d`` must hold one row per (group, score). There are as many buckets as the session shuffles into.
     """
+    buckets = buckets or bucket_count(d)
     if not group_cols:
         return _global_prefix(d, score_col, sum_cols, buckets)
     probs = [i / buckets for i in range(1, buckets)]
@@ -51,7 +53,7 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
         *[F.col(f"tot_{c}") for c in sum_cols])
 
 
-def _global_prefix(d: DataFrame, score_col: str, sum_cols: list[str], buckets: int) -> DataFrame:
+def _global_prefix(d: DataFrame, score_col: str, sum_cols: list[str], buckets: int | None) -> DataFrame:
     """Ungrouped case: bucket bounds, bucket offsets and totals are a few
     numbers, inlined as literals (no join against a one-row table)."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -81,12 +83,12 @@ def score_counts(df: DataFrame, group_cols: list[str], label_col: str = "y_true"
 
 
 def _curve(df: DataFrame, group_cols: list[str], label_col: str, score_col: str,
-           buckets: int) -> DataFrame:
+           buckets: int | None) -> DataFrame:
     """Distinct thresholds with tp/fp at ``score >= threshold`` and P/N totals."""
     return _curve_of(score_counts(df, group_cols, label_col, score_col), group_cols, buckets)
 
 
-def _curve_of(d: DataFrame, group_cols: list[str], buckets: int) -> DataFrame:
+def _curve_of(d: DataFrame, group_cols: list[str], buckets: int | None) -> DataFrame:
     p = score_prefix(d, group_cols, "score", ["pos", "neg"], buckets)
     return p.select(
         *group_cols, "score", "pos", "neg", "below_neg",
@@ -96,7 +98,7 @@ def _curve_of(d: DataFrame, group_cols: list[str], buckets: int) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-            score_col: str = "y_pred", buckets: int = 64) -> DataFrame:
+            score_col: str = "y_pred", buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC per group, ties count 1/2; null when one class is absent."""
     g = list(group_cols)
     return _auc(_curve(df, g, label_col, score_col, buckets), g)
@@ -110,7 +112,7 @@ def _auc(c: DataFrame, g: list[str]) -> DataFrame:
 
 
 def average_precision(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-                      score_col: str = "y_pred", buckets: int = 64) -> DataFrame:
+                      score_col: str = "y_pred", buckets: int | None = None) -> DataFrame:
     """AP = sum over distinct thresholds (desc) of (R_n - R_{n-1}) * P_n."""
     g = list(group_cols)
     c = _curve(df, g, label_col, score_col, buckets)
@@ -119,7 +121,7 @@ def average_precision(df: DataFrame, group_cols: list[str] = ("model",), label_c
 
 
 def pr_curve(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-             score_col: str = "y_pred", buckets: int = 64) -> DataFrame:
+             score_col: str = "y_pred", buckets: int | None = None) -> DataFrame:
     """Precision and recall at every distinct threshold (score >= threshold)."""
     g = list(group_cols)
     c = _curve(df, g, label_col, score_col, buckets)
@@ -129,7 +131,7 @@ def pr_curve(df: DataFrame, group_cols: list[str] = ("model",), label_col: str =
 
 
 def best_f1_threshold(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-                      score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64,
+                      score_col: str = "y_pred", eps: float = 1e-9, buckets: int | None = None,
                       rounded: bool = True) -> DataFrame:
     """Threshold with the highest F1 on the PR curve; ties -> smallest threshold.
 
@@ -193,7 +195,7 @@ def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10
 
 
 def curve_metrics(df: DataFrame, group_cols: list[str] = ("model",), label_col: str = "y_true",
-                  score_col: str = "y_pred", eps: float = 1e-9, buckets: int = 64) -> DataFrame:
+                  score_col: str = "y_pred", eps: float = 1e-9, buckets: int | None = None) -> DataFrame:
     """AUC, AP, the F1-optimal threshold (raw) and the counts at it from one pass over the curve."""
     g = list(group_cols)
     c = _curve(df, g, label_col, score_col, buckets)

@@ -2,18 +2,20 @@
 
 Everything is relational: documents are exploded into (doc, pos, token)
 rows, vocabularies and document frequencies are grouped aggregates, and
-cosine similarity is a join on the term followed by a grouped sum (a sparse
-matrix product). Whole texts are processed; nothing is truncated.
+cosine similarity is a sparse product of blocks of vectors that keeps only
+the best pairs. Whole texts are processed; nothing is truncated.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.operators.positions import row_positions
+from slatewise.session import materialize
+
+#: Vector entries of a block: what one side of a similarity task holds, about 16 bytes each.
+BLOCK_TERMS = 1_000_000
 
 
 def token_rows(docs: DataFrame, doc_col: str, tokens: F.Column) -> DataFrame:
@@ -91,13 +93,88 @@ def fit_tfidf(docs: DataFrame, doc_col: str, tokens: F.Column):
     return idf, tfidf_vectors(tf, idf, doc_col)
 
 
-def cosine(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Sparse cosine of L2-normalised (key, term, weight) tables: join on term,
-    sum of products per pair. Pairs sharing no term are absent (similarity 0)."""
-    l = left.select(F.col(left_key), "term", F.col("weight").alias("_wl"))
-    r = right.select(F.col(right_key), "term", F.col("weight").alias("_wr"))
-    return (l.join(r, "term").groupBy(left_key, right_key)
-             .agg(F.sum(F.col("_wl") * F.col("_wr")).alias("similarity")))
+def packed_vectors(weights: DataFrame, key_col: str, ids: DataFrame | None = None) -> DataFrame:
+    """(key, t, w): one row per key with its term hashes and weights. ``ids`` adds keys that have no term.
+
+    Terms travel as 64-bit hashes: among 10 million terms two share one with probability 3e-6.
+    """
+    one = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))))
+    v = weights.groupBy(key_col).agg(one.alias("_v")).select(key_col, F.col("_v.t").alias("t"), F.col("_v.w").alias("w"))
+    return v if ids is None else ids.select(key_col).distinct().join(v, key_col, "full")
+
+
+def sparse_topk(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int | None = None,
+                min_similarity: float = 0.0, exclude: DataFrame | None = None, left_ids: DataFrame | None = None,
+                right_ids: DataFrame | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(left, right, similarity[, rank]): per left key its best ``k`` right keys by sparse cosine, exact.
+
+    ``left`` and ``right`` are L2-normalised (key, term, weight) tables. Pairs below ``min_similarity`` are left
+    out; at 0 or less, pairs that share no term stay with similarity 0. Ties at 1e-9 go to the smaller right
+    key. ``exclude`` (left, right) names pairs that do not compete. Without ``k`` every pair that reaches the
+    threshold is returned, unranked.
+
+    Both sides are cut by a hash of their key into blocks of about ``block_terms`` entries. A pair of blocks is one
+    group: the right block becomes postings by term, and each left vector adds up the postings of its own
+    terms. A frequent term is spread over all blocks, and a pair is a row only after the cut to k or the
+    threshold; a window per left key merges at most (right blocks x k) rows.
+    """
+    lv, rv = (materialize(packed_vectors(*x)) for x in ((left, left_key, left_ids), (right, right_key, right_ids)))
+    # two numbers a side: entries, and keys (a key without terms takes room, too)
+    n_l, n_r = (max(1, -(-int(v.agg(F.sum(F.coalesce(F.size("t"), F.lit(0)) + 1)).first()[0] or 0) // block_terms)) for v in (lv, rv))
+    if exclude is not None:
+        out = exclude.groupBy(left_key).agg(F.collect_set(F.col(right_key).cast("long")).alias("_x"))
+        lv = lv.join(out, left_key, "left")
+    else:
+        lv = lv.withColumn("_x", F.lit(None).cast("array<bigint>"))
+    kind = left.schema[left_key].dataType
+
+    def dealt(v: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
+        return v.withColumn(key, F.col(key).cast("long")).withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")) \
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    u, r = dealt(lv, left_key, "_lb", n_l, "_rb", n_r), dealt(rv, right_key, "_rb", n_r, "_lb", n_l)
+    schema = f"`{left_key}` long, `{right_key}` long, similarity double"
+
+    def best(lp, rp):
+        import numpy as np
+        import pandas as pd
+        rp = rp.sort_values(right_key, kind="stable")   # equal scores then go to the smaller key
+        ids = rp[right_key].to_numpy(np.int64)
+        keys, rights, sims = [], [], []
+        sizes = [0 if t is None else len(t) for t in rp["t"]]
+        terms = np.concatenate([np.zeros(0, np.int64), *[t for t in rp["t"] if t is not None]]).astype(np.int64)
+        weights = np.concatenate([np.zeros(0), *[w for w in rp["w"] if w is not None]])
+        order = np.argsort(terms, kind="stable")
+        rows, weights = np.repeat(np.arange(len(ids)), sizes)[order], weights[order]
+        known, starts = np.unique(terms[order], return_index=True)
+        ends = np.append(starts[1:], len(terms))
+        for key, t, w, x in zip(lp[left_key], lp["t"], lp["w"], lp["_x"]):
+            score = np.zeros(len(ids))
+            if t is not None and len(known):
+                t, w = np.asarray(t, np.int64), np.asarray(w, np.float64)
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                hit = known[at] == t
+                lo, n = starts[at[hit]], (ends - starts)[at[hit]]
+                entry = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+                score = np.bincount(rows[entry], weights=weights[entry] * np.repeat(w[hit], n), minlength=len(ids))
+            keep = score >= min_similarity
+            if x is not None:
+                keep &= ~np.isin(ids, np.asarray(x, np.int64))
+            left_over = np.flatnonzero(keep)
+            if k is not None:
+                left_over = left_over[np.argsort(-np.round(score[left_over], 9), kind="stable")[:k]]
+            keys.append(np.full(len(left_over), key, np.int64))
+            rights.append(ids[left_over])
+            sims.append(score[left_over])
+        join = lambda parts, t: np.concatenate([np.zeros(0, t), *parts])
+        return pd.DataFrame({left_key: join(keys, np.int64), right_key: join(rights, np.int64), "similarity": join(sims, np.float64)})
+
+    pairs = u.groupBy("_lb", "_rb").cogroup(r.groupBy("_lb", "_rb")).applyInPandas(best, schema)
+    pairs = pairs.withColumn(left_key, F.col(left_key).cast(kind))
+    if k is None:
+        return pairs
+    w = Window.partitionBy(left_key).orderBy(F.round("similarity", 9).desc(), F.col(right_key).asc())
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def user_tfidf(history: DataFrame, doc_tf: DataFrame, idf: DataFrame, user_col: str = "user_id",
@@ -109,6 +186,3 @@ def user_tfidf(history: DataFrame, doc_tf: DataFrame, idf: DataFrame, user_col:
     tf = h.join(doc_tf, doc_col).groupBy(user_col, "term").agg(F.sum("tf").alias("tf"))
     return tfidf_vectors(tf, idf, user_col)
 
-
-def ideal_idf(n_docs: int, df: int) -> float:
-    return math.log((1.0 + n_docs) / (1.0 + df)) + 1.0

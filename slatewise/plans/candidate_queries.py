@@ -5,18 +5,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions.common import md5_draw, r6
-from slatewise.operators import candidates as CA
 from slatewise.operators import evaluation as EV
 from slatewise.operators import history as H
 from slatewise.operators import interactions as I
 from slatewise.operators import summaries as SU
 from slatewise.operators import text as TX
 from slatewise.operators.features import keep_last
-from slatewise.operators.positions import row_positions
 from slatewise.plans import bindings as B
 from slatewise.plans.feature_queries import TFIDF_SQL, news_tfidf
 from slatewise.plans.history_queries import UARR_SQL, user_donors
@@ -36,22 +34,25 @@ pv AS (SELECT news_id AS item_id, term, weight FROM dv WHERE news_id IN (SELECT
 sim AS (SELECT uv.user_id, pv.item_id, SUM(uv.weight * pv.weight) AS similarity FROM uv JOIN pv USING (term) GROUP BY 1, 2)"""
 
 
-def user_similarities(spark: SparkSession, sf_dir: str):
-    """Cosine of each user's history TF-IDF vector with every pool item sharing a term."""
+def user_and_pool_vectors(spark: SparkSession, sf_dir: str):
+    """User histories, their TF-IDF vectors and those of the pool items at the cutoff."""
     it, cut = inter_cut(spark, sf_dir)
     idf, tf, dv = news_tfidf(spark, sf_dir)
     hist = I.user_history(it, cut).select("user_id", "item_id")
     uv = TX.user_tfidf(hist, tf, idf)
+    return hist, uv, pool_vectors(it, cut, dv)
+
+
+def pool_vectors(it: DataFrame, cut, dv: DataFrame) -> DataFrame:
     pool = I.candidate_pool(it, cut).select(F.col("item_id").cast("long").alias("news_id"))
-    pv = dv.join(pool, "news_id", "left_semi").withColumnRenamed("news_id", "item_id")
-    return it, cut, hist, TX.cosine(uv, pv, "user_id", "item_id")
+    return dv.join(pool, "news_id", "left_semi").withColumnRenamed("news_id", "item_id")
 
 
 @register("tfidf_filter", with_("news", "inter", "cut", extra=SIM_SQL)
     + f"SELECT user_id, item_id, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {MIN_SIM}")
 def q_tfidf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, sim = user_similarities(spark, sf_dir)
-    return sim.filter(F.col("similarity") >= MIN_SIM).select(
+    _, uv, pv = user_and_pool_vectors(spark, sf_dir)
+    return TX.sparse_topk(uv, pv, "user_id", "item_id", min_similarity=MIN_SIM).select(
         "user_id", F.col("item_id").cast("int").alias("item_id"), r6(F.col("similarity")).alias("similarity"))
 
 
@@ -62,11 +63,8 @@ def q_tfidf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE rank <= {MAX_CANDIDATES}""")
 def q_user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool at the cutoff minus own history, TF-IDF filter, top 10 by similarity, for all users."""
-    it, cut, hist, sim = user_similarities(spark, sf_dir)
-    c = (sim.filter(F.col("similarity") >= MIN_SIM)
-            .join(hist.withColumn("item_id", F.col("item_id").cast("long")), ["user_id", "item_id"], "left_anti"))
-    w = Window.partitionBy("user_id").orderBy(F.round("similarity", 9).desc(), F.col("item_id").asc())
-    r = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_CANDIDATES)
+    hist, uv, pv = user_and_pool_vectors(spark, sf_dir)
+    r = TX.sparse_topk(uv, pv, "user_id", "item_id", MAX_CANDIDATES, MIN_SIM, exclude=hist)
     return r.select("user_id", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
                     r6(F.col("similarity")).alias("similarity"))
 
@@ -88,13 +86,7 @@ def q_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf, tf, dv = news_tfidf(spark, sf_dir)
     ch = I.user_history(it, cut).join(inter_clusters(it, 30), "user_id").select("cluster", "item_id")
     cv = TX.user_tfidf(ch, tf, idf, user_col="cluster")
-    pool = I.candidate_pool(it, cut).select(F.col("item_id").cast("long").alias("news_id"))
-    pv = dv.join(pool, "news_id", "left_semi").withColumnRenamed("news_id", "item_id")
-    sim = TX.cosine(cv, pv, "cluster", "item_id")
-    c = (sim.filter(F.col("similarity") >= MIN_SIM)
-            .join(ch.withColumn("item_id", F.col("item_id").cast("long")).distinct(), ["cluster", "item_id"], "left_anti"))
-    w = Window.partitionBy("cluster").orderBy(F.round("similarity", 9).desc(), F.col("item_id").asc())
-    r = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_CANDIDATES)
+    r = TX.sparse_topk(cv, pool_vectors(it, cut, dv), "cluster", "item_id", MAX_CANDIDATES, MIN_SIM, exclude=ch)
     return r.select("cluster", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
                     r6(F.col("similarity")).alias("similarity"))
 
@@ -152,17 +144,10 @@ def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = fi.filter((F.col("first_ts") > F.lit(lo)) & (F.col("first_ts") <= F.lit(ref))) \
               .select(F.col("item_id").cast("long").alias("item_id"))
     cv = dv.withColumnRenamed("news_id", "item_id").join(cands, "item_id", "left_semi")
-    # positive similarities feed both the ranking and the zero-score fill: write once
-    pos = materialize(TX.cosine(uv, cv, "user_id", "item_id").withColumnRenamed("similarity", "score"))
-    users = it.select("user_id").distinct()
-    fill = CA.topk_excluding(users, pos.select("user_id", "item_id"), cands.withColumn("score", F.lit(0.0)),
-                             SHOW_ARTICLES).select("user_id", "item_id", "score")
-    allc = pos.unionByName(fill)
-    w = Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), F.col("item_id").asc())
-    top = allc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= SHOW_ARTICLES)
+    top = TX.sparse_topk(uv, cv, "user_id", "item_id", SHOW_ARTICLES, left_ids=it, right_ids=cands)
     news = B.news(spark, sf_dir).select(F.col("news_id").alias("item_id"), "title")
     return top.join(news, "item_id").select("user_id", F.col("rank").cast("int").alias("rank"),
-                                            F.col("item_id").alias("news_id"), "title", r6(F.col("score")).alias("score"))
+                                            F.col("item_id").alias("news_id"), "title", r6(F.col("similarity")).alias("score"))
 
 
 # ---- per-user experiment ------------------------------------------------------------------
