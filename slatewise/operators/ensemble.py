@@ -1,7 +1,7 @@
 """Combining model scores: bagging, boosting, stacking, hybrid.
 
 Predictions live in one long table ``(row_id, ..., model, y_pred)``. The
-combinations are grouped aggregates over it (one shuffle by row_id), and a
+combinations are grouped aggregates over it (one shuffle by slate and row), and a
 wide matrix is produced only when a model needs it, via ``pivot`` over a
 closed model list (one shuffle instead of N joins).
 """
@@ -13,6 +13,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A prediction row: the row id alone repeats across slates where item ids reach its multiplier.
+KEYS = ("impression_id", "row_id")
+
+# Name patterns of the model families.
 CLUSTER_MODEL_RE = r"^fastformer_[0-9]+_"
 GLOBAL_MODEL_RE = r"^fastformer_(global|[0-9]+)_"
 
@@ -34,7 +38,7 @@ def select_models(df: DataFrame, kind: str, model_col: str = "model",
     return df.filter(model_group(model_col, include_global_in_category) == F.lit(kind))
 
 
-def bagging(preds: DataFrame, key_cols: list[str] = ("row_id",), model_col: str = "model",
+def bagging(preds: DataFrame, key_cols: list[str] = KEYS, model_col: str = "model",
             score_col: str = "y_pred", groups: list[str] = ("all", "cluster", "category")) -> DataFrame:
     """Mean of member predictions per row, for each model group.
 
@@ -60,7 +64,7 @@ def boosting_weights(errors: DataFrame, model_col: str = "model", error_col: str
     return w.select(model_col, (F.col("_w") / F.lit(tot)).alias("weight"))
 
 
-def boosting(preds: DataFrame, weights: DataFrame, key_cols: list[str] = ("row_id",),
+def boosting(preds: DataFrame, weights: DataFrame, key_cols: list[str] = KEYS,
              model_col: str = "model", score_col: str = "y_pred") -> DataFrame:
     """Weighted mean sum(w*p)/sum(w) per row over the models present."""
     keys = list(key_cols)
@@ -97,16 +101,16 @@ def linear_stack_score(wide: DataFrame, coefficients: dict[str, float], intercep
     return wide.withColumn(out_col, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
-def prediction_alignment(preds: DataFrame, key_col: str = "row_id", model_col: str = "model") -> DataFrame:
+def prediction_alignment(preds: DataFrame, key_cols: list[str] = KEYS, model_col: str = "model") -> DataFrame:
     """Per model: rows, base keys it lacks, duplicated keys.
 
     base = distinct keys over all models. Missing = |base| - |distinct keys of
     the model| (a model's keys are a subset of the base), so no per-model
     anti join over base x models is needed.
     """
-    n_base = preds.select(key_col).distinct().count()   # one number
+    n_base = preds.select(*key_cols).distinct().count()   # one number
     per = preds.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_rows"),
-                                       F.countDistinct(key_col).alias("_nd"))
+                                       F.countDistinct(*key_cols).alias("_nd"))
     return per.select(model_col, "n_rows", (F.lit(n_base) - F.col("_nd")).alias("n_missing"),
                       (F.col("n_rows") - F.col("_nd")).alias("n_duplicates"))
 

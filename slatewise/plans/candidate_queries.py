@@ -8,12 +8,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.functions.common import md5_draw, r6
+from slatewise.functions.common import r6
 from slatewise.operators import evaluation as EV
 from slatewise.operators import history as H
 from slatewise.operators import interactions as I
+from slatewise.operators import recommend as RC
 from slatewise.operators import summaries as SU
-from slatewise.operators import text as TX
 from slatewise.operators.features import keep_last
 from slatewise.plans import bindings as B
 from slatewise.plans.feature_queries import TFIDF_SQL, news_tfidf
@@ -34,26 +34,18 @@ pv AS (SELECT news_id AS item_id, term, weight FROM dv WHERE news_id IN (SELECT
 sim AS (SELECT uv.user_id, pv.item_id, SUM(uv.weight * pv.weight) AS similarity FROM uv JOIN pv USING (term) GROUP BY 1, 2)"""
 
 
-def user_and_pool_vectors(spark: SparkSession, sf_dir: str):
-    """User histories, their TF-IDF vectors and those of the pool items at the cutoff."""
-    it, cut = inter_cut(spark, sf_dir)
-    idf, tf, dv = news_tfidf(spark, sf_dir)
-    hist = I.user_history(it, cut).select("user_id", "item_id")
-    uv = TX.user_tfidf(hist, tf, idf)
-    return hist, uv, pool_vectors(it, cut, dv)
-
-
-def pool_vectors(it: DataFrame, cut, dv: DataFrame) -> DataFrame:
-    pool = I.candidate_pool(it, cut).select(F.col("item_id").cast("long").alias("news_id"))
-    return dv.join(pool, "news_id", "left_semi").withColumnRenamed("news_id", "item_id")
+def candidate_columns(c: DataFrame, key: str) -> DataFrame:
+    return c.select(key, F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
+                    r6(F.col("similarity")).alias("similarity"))
 
 
 @register("tfidf_filter", with_("news", "inter", "cut", extra=SIM_SQL)
     + f"SELECT user_id, item_id, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {MIN_SIM}")
 def q_tfidf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, uv, pv = user_and_pool_vectors(spark, sf_dir)
-    return TX.sparse_topk(uv, pv, "user_id", "item_id", min_similarity=MIN_SIM).select(
-        "user_id", F.col("item_id").cast("int").alias("item_id"), r6(F.col("similarity")).alias("similarity"))
+    """Every (user, pool item) at or above the threshold."""
+    it, cut = inter_cut(spark, sf_dir)
+    c = RC.generate_candidates(it, cut, RC.TextModel(*news_tfidf(spark, sf_dir)), None, MIN_SIM, exclude_history=False)
+    return c.select("user_id", F.col("item_id").cast("int").alias("item_id"), r6(F.col("similarity")).alias("similarity"))
 
 
 @register("user_candidates", with_("news", "inter", "cut", extra=SIM_SQL) + f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id,
@@ -63,10 +55,30 @@ def q_tfidf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE rank <= {MAX_CANDIDATES}""")
 def q_user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool at the cutoff minus own history, TF-IDF filter, top 10 by similarity, for all users."""
-    hist, uv, pv = user_and_pool_vectors(spark, sf_dir)
-    r = TX.sparse_topk(uv, pv, "user_id", "item_id", MAX_CANDIDATES, MIN_SIM, exclude=hist)
-    return r.select("user_id", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
-                    r6(F.col("similarity")).alias("similarity"))
+    it, cut = inter_cut(spark, sf_dir)
+    return candidate_columns(RC.generate_candidates(it, cut, RC.TextModel(*news_tfidf(spark, sf_dir)), MAX_CANDIDATES, MIN_SIM), "user_id")
+
+
+@register("catalog_candidates", with_("news", "inter", "cut", extra=SIM_SQL.replace(" WHERE news_id IN (SELECT item_id FROM pool)", ""))
+    + f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id, round(similarity, 6) AS similarity FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.similarity, 9) DESC, s.item_id) AS rank FROM sim s
+  WHERE s.similarity >= {MIN_SIM}) x WHERE rank <= {MAX_CANDIDATES}""")
+def q_catalog_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalog, history not excluded: top 10 by similarity."""
+    it, cut = inter_cut(spark, sf_dir)
+    model = RC.TextModel(*news_tfidf(spark, sf_dir))
+    return candidate_columns(RC.generate_candidates(it, cut, model, MAX_CANDIDATES, MIN_SIM, exclude_history=False, whole_catalog=True), "user_id")
+
+
+@register("unfiltered_candidates", with_("inter", "cut", extra=UHIST_CTE + ",\n" + POOL_CTE) + f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id FROM (
+  SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.item_id) AS rank
+  FROM (SELECT DISTINCT user_id FROM inter) u CROSS JOIN pool p
+  WHERE NOT EXISTS (SELECT 1 FROM uh WHERE uh.user_id = u.user_id AND uh.item_id = p.item_id)) x WHERE rank <= {MAX_CANDIDATES}""")
+def q_unfiltered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No text filter: the first 10 pool items in catalog order that are not in the history."""
+    it, cut = inter_cut(spark, sf_dir)
+    model = RC.TextModel(*news_tfidf(spark, sf_dir))
+    return candidate_columns(RC.generate_candidates(it, cut, model, MAX_CANDIDATES, 0.0), "user_id").drop("similarity")
 
 
 @register("cluster_candidates", with_("news", "inter", "cut", extra=TFIDF_SQL + ",\n" + UHIST_CTE + ",\n" + POOL_CTE + f""",
@@ -83,12 +95,8 @@ WHERE rank <= {MAX_CANDIDATES}""")
 def q_cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same keyed by cluster (30 clusters): the merged history of the cluster's users."""
     it, cut = inter_cut(spark, sf_dir)
-    idf, tf, dv = news_tfidf(spark, sf_dir)
-    ch = I.user_history(it, cut).join(inter_clusters(it, 30), "user_id").select("cluster", "item_id")
-    cv = TX.user_tfidf(ch, tf, idf, user_col="cluster")
-    r = TX.sparse_topk(cv, pool_vectors(it, cut, dv), "cluster", "item_id", MAX_CANDIDATES, MIN_SIM, exclude=ch)
-    return r.select("cluster", F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("int").alias("item_id"),
-                    r6(F.col("similarity")).alias("similarity"))
+    model = RC.TextModel(*news_tfidf(spark, sf_dir))
+    return candidate_columns(RC.generate_candidates(it, cut, model, MAX_CANDIDATES, MIN_SIM, clusters=inter_clusters(it, 30)), "cluster")
 
 
 @register("history_text", with_("news", "inter", "cut", extra=UHIST_CTE + f""",
@@ -136,18 +144,11 @@ def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference date (data start + 24 h), scored by TF-IDF cosine with the user's
     history up to that date. Zero-similarity articles fill up in id order."""
     it = B.inter(spark, sf_dir)
-    idf, tf, dv = news_tfidf(spark, sf_dir)
     ref = it.agg(F.min("ts")).first()[0] + dt.timedelta(hours=TIMEFRAME_HOURS)   # one timestamp
-    uv = TX.user_tfidf(I.user_history(it, ref).select("user_id", "item_id"), tf, idf)
-    lo = ref - dt.timedelta(hours=TIMEFRAME_HOURS)
-    fi = I.first_interaction(it)
-    cands = fi.filter((F.col("first_ts") > F.lit(lo)) & (F.col("first_ts") <= F.lit(ref))) \
-              .select(F.col("item_id").cast("long").alias("item_id"))
-    cv = dv.withColumnRenamed("news_id", "item_id").join(cands, "item_id", "left_semi")
-    top = TX.sparse_topk(uv, cv, "user_id", "item_id", SHOW_ARTICLES, left_ids=it, right_ids=cands)
+    top = RC.recommend(it, RC.TextModel(*news_tfidf(spark, sf_dir)), ref_date=ref, timeframe_hours=TIMEFRAME_HOURS, show=SHOW_ARTICLES)
     news = B.news(spark, sf_dir).select(F.col("news_id").alias("item_id"), "title")
     return top.join(news, "item_id").select("user_id", F.col("rank").cast("int").alias("rank"),
-                                            F.col("item_id").alias("news_id"), "title", r6(F.col("similarity")).alias("score"))
+                                            F.col("item_id").alias("news_id"), "title", r6(F.col("score")).alias("score"))
 
 
 # ---- per-user experiment ------------------------------------------------------------------

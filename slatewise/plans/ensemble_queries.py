@@ -34,7 +34,7 @@ STACK_EXPR = "1.0 / (1.0 + exp(-(" + str(STACK_INTERCEPT) + "".join(
 BOOST_BODY = AUC_BODY + """,
 wt AS (SELECT model, 1.0 / CASE WHEN 1 - auc = 0 THEN 1e-6 ELSE 1 - auc END AS w FROM au),
 wn AS (SELECT model, w / SUM(w) OVER () AS weight FROM wt),
-boost AS (SELECT p.row_id, SUM(wn.weight * p.y_pred) / SUM(wn.weight) AS y_pred FROM preds p JOIN wn USING (model) GROUP BY p.row_id)"""
+boost AS (SELECT p.impression_id, p.row_id, SUM(wn.weight * p.y_pred) / SUM(wn.weight) AS y_pred FROM preds p JOIN wn USING (model) GROUP BY p.impression_id, p.row_id)"""
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def q_join_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("prediction_alignment", with_("impr", "preds") + """SELECT model, COUNT(*) AS n_rows,
-  (SELECT COUNT(DISTINCT row_id) FROM preds) - COUNT(DISTINCT row_id) AS n_missing,
-  COUNT(*) - COUNT(DISTINCT row_id) AS n_duplicates FROM preds GROUP BY model""")
+  (SELECT COUNT(DISTINCT (impression_id, row_id)) FROM preds) - COUNT(DISTINCT (impression_id, row_id)) AS n_missing,
+  COUNT(*) - COUNT(DISTINCT (impression_id, row_id)) AS n_duplicates FROM preds GROUP BY model""")
 def q_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EN.prediction_alignment(B.preds(spark, sf_dir))
 
@@ -71,8 +71,8 @@ def q_select_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("bagging", with_("impr", "preds") + f"""SELECT row_id, ensemble, round(AVG(y_pred), 6) AS y_pred FROM (
-  SELECT row_id, 'all' AS ensemble, y_pred FROM preds
-  UNION ALL SELECT row_id, {GROUP_SQL}, y_pred FROM preds WHERE {GROUP_SQL} IS NOT NULL) x GROUP BY row_id, ensemble""")
+  SELECT impression_id, row_id, 'all' AS ensemble, y_pred FROM preds
+  UNION ALL SELECT impression_id, row_id, {GROUP_SQL}, y_pred FROM preds WHERE {GROUP_SQL} IS NOT NULL) x GROUP BY impression_id, row_id, ensemble""")
 def q_bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = EN.bagging(B.preds(spark, sf_dir))
     return b.select("row_id", "ensemble", r6(F.col("y_pred")).alias("y_pred"))
@@ -94,7 +94,7 @@ def q_stacking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hybrid", with_("impr", "preds", extra=CURVE_BODY + ",\n" + BOOST_BODY + ",\n" + WIDE_BODY)
     + f"""SELECT w.row_id, round(((w.pred_fastformer_0_x + w.pred_fastformer_global_x + w.pred_fastformer_news_x) / 3
-   + b.y_pred + {STACK_EXPR}) / 3, 6) AS y_pred FROM wide w JOIN boost b USING (row_id)""")
+   + b.y_pred + {STACK_EXPR}) / 3, 6) AS y_pred FROM wide w JOIN boost b USING (impression_id, row_id)""")
 def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bagging + boosting + stacking) / 3 per row."""
     p = B.preds(spark, sf_dir)
@@ -102,7 +102,7 @@ def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
                               STACK_COEF, STACK_INTERCEPT, "stack")
     bag = sum(F.col(f"pred_{m}") for m in MODELS) / F.lit(float(len(MODELS)))
     boost = EN.boosting(p, error_weights(p)).withColumnRenamed("y_pred", "boost")
-    j = w.join(boost, "row_id")
+    j = w.join(boost, list(EN.KEYS))
     return j.select("row_id", r6((bag + F.col("boost") + F.col("stack")) / F.lit(3.0)).alias("y_pred"))
 
 
