@@ -1,13 +1,15 @@
-"""Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights: Sainte-Laguë apportionment, taken in blocks of nearly equal tokens.
 
 1. Targets: every source gets its weight's share of the mix, at most ``max_epochs`` times its size; what a
    capped source cannot take is shared again by weight until none is above its cap (in closed form: sources in
    the order of cap / weight, and the first level at which the rest can take the rest).
-2. Quotas: the mix is cut into blocks of ``block_tokens`` and each block goes to the source with the highest
-   quotient ``target / (2 * seats + 1)``; a source's blocks go to its shards in the same way, by shard size.
-3. Selection: a shard's documents, in a seeded order, form one line of tokens cut into blocks. Every block is
-   taken ``quota div blocks`` times and a seeded choice of ``quota mod blocks`` blocks once more. A document's
-   share is what the taken blocks cover of it.
+2. Quotas: the mix's words go one by one to the source with the highest quotient ``target / (2 * seats + 1)``; a
+   source's words go to its shards in the same way, by shard size. A source of any size, however far below a
+   block, so gets its target to the rounding of whole words.
+3. Selection: a shard's documents, in a seeded order, form one line of tokens cut into nearly equal blocks of at
+   most ``block_tokens``. Every block is taken ``quota div shard size`` times; the ``quota mod shard size`` words
+   left are a seeded choice of blocks once more, of the last one its first words. A document's share is what the
+   taken words cover of it.
 
 A shard holds about ``shard_tokens`` tokens, so a source with a third of all rows is as many tasks as it needs.
 Only DataFrame functions are used; the windows without a partition run over one row per source or over the
@@ -102,7 +104,7 @@ def mix_rows(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights=W
         per_source = per_source.join(w, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").fillna(0.0, ["weight"])
     plan = targets(per_source, share, max_epochs)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    plan = plan.withColumn("seats", F.round(F.sum("target").over(whole) / block_tokens).cast("long"))
+    plan = plan.withColumn("seats", F.round(F.sum("target").over(whole)).cast("long"))
     plan = sainte_lague(plan, "target", "seats", ["source"], [], "source_quota").drop("seats")
     plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
 
@@ -111,31 +113,41 @@ def mix_rows(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights=W
     placed = rows.join(p, rows["source"].eqNullSafe(p["__s"])).drop("__s").withColumn("shard", F.pmod("draw", "shards"))
     sized_shards = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shards = sainte_lague(sized_shards, "shard_size", "source_quota", ["shard"], ["source"])
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_tokens)).withColumn(
-        "quota", F.least("quota", F.col("blocks") * max_epochs))
-    s = shards.select(F.col("source").alias("__s"), F.col("shard").alias("__shard"), "quota", "blocks")
+    shards = sainte_lague(sized_shards, "shard_size", "source_quota", ["shard"], ["source"]).where("shard_size > 0")
+    shards = shards.withColumn("quota", F.least("quota", F.floor(F.col("shard_size") * F.lit(max_epochs))))
+    s = shards.select(
+        F.col("source").alias("__s"), F.col("shard").alias("__shard"), "shard_size", F.ceil(F.col("shard_size") / block_tokens).alias("blocks"),
+        F.expr("quota div shard_size").alias("rounds"), (F.col("quota") % F.col("shard_size")).alias("rest"))
 
     line = Window.partitionBy("source", "shard").orderBy("draw", F.col("id").asc_nulls_last(), "size", "text_digest")
     docs_on = placed.withColumn("seq", F.row_number().over(line)).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     docs_on = docs_on.withColumn("begin", F.col("end") - F.col("size"))
-    # Seeded choice of blocks: the blocks with the smallest digests are taken once more.
+    on_shard = docs_on.where("size > 0").join(s, docs_on["source"].eqNullSafe(s["__s"]) & (docs_on["shard"] == s["__shard"]))
+    # Seeded choice of blocks: those with the smallest digests are taken once more, until the rest is used up.
     pick = Window.partitionBy("__s", "__shard").orderBy(F.xxhash64(F.lit(seed), "__s", "__shard", "block"), "block")
     taken_blocks = (
-        s.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("times", F.floor(F.col("quota") / F.col("blocks")) + (F.row_number().over(pick) <= F.col("quota") % F.col("blocks")).cast("long"))
-        .where("times > 0").select("__s", "__shard", "block", "times")
+        s.where("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("block_begin", F.expr("block * shard_size div blocks"))
+        .withColumn("block_words", F.expr("(block + 1) * shard_size div blocks") - F.col("block_begin"))
+        .withColumn("before", F.sum("block_words").over(pick.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words"))
+        .where("before < rest")
+        .select("__s", "__shard", "block", "block_begin", (F.col("block_begin") + F.least("block_words", F.col("rest") - F.col("before"))).alias("block_end"))
     )
+    # The block of a word x is the last one that begins at or before it.
     parts = (
-        docs_on.where("size > 0")
-        .withColumn("block_no", F.explode(F.sequence(F.floor(F.col("begin") / block_tokens), F.floor((F.col("end") - 1) / block_tokens))))
-        .withColumn("words", F.least("end", (F.col("block_no") + 1) * block_tokens) - F.greatest("begin", F.col("block_no") * block_tokens))
-        .select("source", "shard", "seq", "block_no", "words")
+        on_shard.where("rest > 0")
+        .withColumn("block_no", F.explode(F.expr("sequence(((begin + 1) * blocks - 1) div shard_size, (end * blocks - 1) div shard_size)")))
+        .select("source", "shard", "seq", "begin", F.col("end"), "block_no")
     )
     b = taken_blocks
-    per_doc = (
+    words = F.greatest(F.lit(0), F.least("end", "block_end") - F.greatest("begin", "block_begin"))
+    once_more = (
         parts.join(b, parts["source"].eqNullSafe(b["__s"]) & (parts["shard"] == b["__shard"]) & (parts["block_no"] == b["block"]))
-        .groupBy("source", "shard", "seq").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        .select("source", "shard", "seq", words.alias("words"))
+    )
+    per_doc = (
+        on_shard.where("rounds > 0").select("source", "shard", "seq", (F.col("size") * F.col("rounds")).alias("words")).unionByName(once_more)
+        .groupBy("source", "shard", "seq").agg(F.sum("words").alias("taken"))
         .select(F.col("source").alias("__s"), F.col("shard").alias("__shard"), F.col("seq").alias("__seq"), "taken")
     )
     out = docs_on.join(per_doc, docs_on["source"].eqNullSafe(per_doc["__s"]) & (docs_on["shard"] == per_doc["__shard"]) & (docs_on["seq"] == per_doc["__seq"]), "left")

@@ -223,6 +223,27 @@ def test_mixing(spark, nothing):
     assert mixing.mix_rows(nothing).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources far below, at and just above a block of the production size get their targets, in one shard or several."""
+    rng = random.Random(12)
+    sizes = {f"s{n:03}": n for n in (1, 2, 3, 7, 12, 15, 16, 40, 63, 64, 65, 70, 128, 130, 200, 317, 500, 520)} | {"big": 20_000, None: 9}
+    rows = []
+    for s, n in sizes.items():
+        while n:
+            size = min(n, rng.randrange(1, 60))
+            rows.append((len(rows), " ".join(["w"] * size), s))
+            n -= size
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = sorted(s for s in sizes if s is not None) + [None]
+    for weights, share, shard in (((5, 2, 1), 1.5, 1_000_000), ((1,), 0.02, 1_000_000), ((5, 2, 1), 1.5, 100)):
+        want = brute.capped_targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(order)}, share, 2)
+        taken = dict.fromkeys(sizes, 0)
+        for r in mixing.mix_rows(df, share=share, weights=weights, shard_tokens=shard).collect():
+            assert abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - want[s]) <= 1 for s in sizes), {s: (taken[s], want[s]) for s in sizes}
+
+
 def test_sainte_lague(spark):
     rng = random.Random(2)
     for seats in (0, 1, 7, 50, 333):
