@@ -1,7 +1,8 @@
 """Documents in chunks of a few MB, and marks that tasks exchange about them.
 
-``pack`` deals documents by a digest of identifier and text into chunks; texts travel compressed. A chunk is
-always put into the same order, so a later pass over it can line up, bit by bit, with what an earlier pass
+``pack`` deals documents by a digest of their row number into chunks, repeated rows like any others, and writes
+that down once, so a repeated task finds the same chunks; texts travel compressed. A chunk is always put into
+the same order, so a later pass over it can line up, bit by bit, with what an earlier pass
 sent out: tasks exchange packed values one way and one bit per value back, never texts or rows per position.
 """
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slatewise.llm.storage import shuffle_partitions
+from slatewise.llm.storage import save, shuffle_partitions
 
 CHUNK_BYTES = 4 << 20
 MIN_CHUNKS = 64
@@ -34,7 +35,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, total: int, chunk_bytes: i
     spark = docs.sparkSession
     chunks = max(MIN_CHUNKS, -(-total // chunk_bytes))
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
@@ -48,7 +49,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, total: int, chunk_bytes: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(z, pa.binary())], names=["chunk", "id", "size", "z"])
 
     parts = max(shuffle_partitions(spark), -(-chunks // 4))
-    return rows.mapInArrow(run, PACKED).repartition(parts, "chunk")
+    return save(rows.mapInArrow(run, PACKED), "chunks").repartition(parts, "chunk")
 
 
 def unpack(group: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
