@@ -4,9 +4,9 @@ Words are normalised the same way in items and documents: A-Z lower-cased, separ
 that are neither digits nor letters. One automaton holds the word sequences of all items of a block; a document's
 words are streamed through it and at every word the longest match with any item is known. Where that match is
 at least ``window`` words long, the last ``window`` words are a window of the items that own the state; an item
-with fewer words is a window by itself. Items are cut into blocks of at most ``block_words`` words, so the
-automaton shipped to the tasks has a fixed size bound; further blocks are further passes over the documents
-(a stated query set against all rows, in blocks).
+with fewer words is a window by itself. Items are cut into blocks of about ``block_words`` words, so the
+automaton shipped to the tasks has a size bound (that, and one item); each further block is a further pass over
+the documents (a stated query set against all rows, in blocks), written before the next block is fetched.
 
 Defined cases: null, empty or word-less texts and items have no words, no windows and no hits; items repeated
 under several ids all count; a null item id is ignored in the digest but its words are still hit; documents
@@ -15,17 +15,23 @@ that repeat get equal results; an empty benchmark hits nothing; extra columns ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window, functions as F
+
+from slatewise.llm.storage import new_path, save
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
 
+#: A word before its A-Z are lower-cased.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Maps A-Z to a-z and every separating ASCII byte to a blank; UTF-8 bytes above 0x7F stay.
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -162,20 +168,34 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], items, best
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of at most ``block_words`` words (or one item), one block held at a time."""
-    block, size = [], 0
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    for id_, text in rows.toLocalIterator():
-        raw = text.encode("utf-8", "surrogatepass")
-        n = len(words(raw))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((id_, raw))
-            size += n
-    yield block
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[int, Callable[[int], list[tuple[str | None, bytes]]]]:
+    """How many blocks the items make, and a function that fetches one of them: its items begin within
+    ``block_words`` words, so it has at most so many words and the rest of its last item.
+
+    Only word counts per partition and the block asked for reach the driver; where there are several, the items are
+    written once, by block. A block that lies within one long item is empty.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.regexp_count(F.col(text_col), F.lit(WORDS)).cast("long").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+
+    def fetched(block: DataFrame) -> list[tuple[str | None, bytes]]:
+        return [(id_, text.encode("utf-8", "surrogatepass")) for id_, text in block.select("id", "text").collect()]
+
+    if total <= block_words:
+        return 1, lambda k: fetched(rows.where("n > 0"))
+    rows = save(rows.withColumn("row_no", F.monotonically_increasing_id()).where("n > 0"), "items").withColumn("part", F.shiftright("row_no", 33))
+    before, at = [], 0
+    for part, n in rows.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+        before.append((part, at))
+        at += n
+    line = Window.partitionBy("part").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.col("before") + F.sum("n").over(line) - F.col("n")
+    path = new_path(spark, "item-blocks")
+    numbered = rows.join(spark.createDataFrame(before, "part long, before long"), "part").withColumn("block", F.floor(begin / block_words))
+    numbered.select("id", "text", "block").repartition("block").write.partitionBy("block").parquet(path)
+    blocks = spark.read.schema("id string, text string, block long").parquet(path)
+    return -(-total // block_words), lambda k: fetched(blocks.where(F.col("block") == k))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
@@ -186,12 +206,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     all items, ``cut`` (the text without its spans).
     """
     spark = docs.sparkSession
-    blocks = item_blocks(items, item_id, item_text, block_words)
+    n_blocks, block_of = item_blocks(items, item_id, item_text, block_words)
     fields = "n_words long, n_hit long, longest int, item_ids array<string>, spans array<struct<a:int,b:int>>"
     span_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def pass_over(frame: DataFrame, block, cut: bool = False) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(block)  # at most block_words words
+    def pass_over(frame: DataFrame, shipped: Broadcast, cut: bool = False) -> DataFrame:
         names = frame.columns
         at = names.index(text_col)
 
@@ -225,20 +244,30 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     else:
         frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
         text_col, keep = "text", ["row", "text"]
-    first, second = next(blocks), next(blocks, None)
-    if with_text and second is None:  # one pass sees all spans of a text and cuts them at once
-        return pass_over(frame, first, cut=True).select(*keep, "n_words", "n_hit", "longest", "item_ids", "spans", "cut")
-    done = pass_over(frame, first)
-    for block in itertools.chain([] if second is None else [second], blocks):
-        # A further block streams the same documents; spans and items are united per document.
-        done = done.select(*frame.columns, F.struct("n_hit", "longest", "item_ids", "spans").alias("before"), "n_words")
-        more = pass_over(done.drop("n_words"), block)
-        merged = merge_spans(F.concat("before.spans", "spans"))
-        done = more.select(
-            *frame.columns, "n_words", F.greatest("longest", "before.longest").alias("longest"),
-            F.array_sort(F.array_union("item_ids", "before.item_ids")).alias("item_ids"), merged.alias("spans"),
-        ).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"]))
-    return done.select(*keep, "n_words", "n_hit", "longest", "item_ids", "spans")
+    if n_blocks == 1:
+        shipped = spark.sparkContext.broadcast(block_of(0))  # at most block_words words
+        # With the texts: one pass sees all spans of a text and cuts them at once.
+        done = pass_over(frame, shipped, cut=with_text)
+        return done.select(*keep, "n_words", "n_hit", "longest", "item_ids", "spans", *["cut"] * with_text)
+    # Each block streams the same numbered documents; what it found is written before the next block is fetched.
+    base = save(frame.withColumn("row_no", F.monotonically_increasing_id()), "texts")
+    passes: list[DataFrame] = []
+    for k in range(n_blocks):
+        block = block_of(k)
+        if passes and not block:
+            continue
+        shipped = spark.sparkContext.broadcast(block)
+        del block
+        found = pass_over(base.select("row_no", "text"), shipped).drop("text")
+        passes.append(save(found.where("longest > 0") if passes else found, "pass"))  # the first has all rows
+        shipped.destroy()
+    # Spans and items of all passes are united per document.
+    joined = functools.reduce(DataFrame.unionAll, passes).groupBy("row_no").agg(
+        F.max("n_words").alias("n_words"), F.max("longest").alias("longest"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
+    merged = joined.withColumn("spans", merge_spans(F.col("spans"))).withColumn(
+        "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"]))
+    return base.join(merged, "row_no").select(*keep, "n_words", "n_hit", "longest", "item_ids", "spans")
 
 
 def merge_spans(spans):
