@@ -14,17 +14,22 @@ from slatewise.llm.near_dedup import drop_near_copies
 from slatewise.llm.queries import crc_mod
 from slatewise.llm.storage import new_path, save, ship, table
 
-#: A text whose letters belong to its language by less than this share has no language to speak of.
+#: A text whose letters belong to its language by less than this share must show that it has languages at all.
 MIN_SHARE = 0.4
+#: It does if its n-grams are e times as likely in the languages of its words as evenly spread ones.
+MIN_EVIDENCE = 1.0
 MAX_COVERAGE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or without one language that has ``MIN_SHARE`` of the letters, go."""
+    """Texts without letters go, and those that have neither one language with ``MIN_SHARE`` of the letters nor, over
+    all their languages, ``MIN_EVIDENCE``. Where no language was learned, all stay."""
     ship(spark)
     model = language.learn(docs.where(F.coalesce(crc_mod(F.col("doc_id"), 4) != 2, F.lit(True))).select("lang", "text"))
-    labelled = language.label(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), model, text_col="own_text")
-    return labelled.where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SHARE)).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    if not model.languages:
+        return docs
+    labelled = language.label(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), model, text_col="own_text", with_evidence=True)
+    return labelled.where((F.col("lang_pred") != language.UND) & ((F.col("score") >= MIN_SHARE) | (F.col("evidence") >= MIN_EVIDENCE))).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

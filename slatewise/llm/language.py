@@ -4,7 +4,9 @@ Learning counts, over all learning rows, the letter n-grams of every language's
 it writes in each script. A word's score for a language is its n-grams' smoothed log probability; only
 languages that write the word's script are candidates. The best path through a text pays ``penalty`` for every
 change of language, so spans of other languages are labelled while single odd words are not. The text's language
-is the one with most letters on the path, its score that language's share of the letters.
+is the one with most letters on the path, its score that language's share of the letters. Its evidence, if asked
+for, is how much likelier than evenly spread n-grams (a log ratio per n-gram, averaged over the letters) its words
+are in the languages of the path, whatever number of languages that is.
 
 Words are runs of letters, lower-cased. Texts are read in pieces, scores are computed once per distinct word of a
 batch, and the path runs through all texts of a batch at once, word by word.
@@ -160,13 +162,19 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     return Model(languages, logp.astype(np.float32), share >= SCRIPT_SHARE)
 
 
-def word_scores(model: Model, distinct: list[str]) -> np.ndarray:
-    """[words, languages]: mean over the n-gram orders of the summed log probabilities, by candidate languages."""
-    out = np.zeros((len(distinct), len(model.languages)), np.float64)
+def word_sums(model: Model, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """[words, languages]: summed log probabilities over all n-gram orders; and the number of n-grams per word."""
+    out, n = np.zeros((len(distinct), len(model.languages)), np.float64), np.zeros(len(distinct), np.int64)
     for slot, word in ngrams(distinct):
+        n += np.bincount(word, minlength=len(distinct))
         for k in range(out.shape[1]):
             out[:, k] += np.bincount(word, weights=model.logp[slot, k], minlength=len(distinct))
-    out /= len(ORDERS)
+    return out, n
+
+
+def word_scores(model: Model, distinct: list[str], sums: np.ndarray | None = None) -> np.ndarray:
+    """[words, languages]: mean over the n-gram orders of the summed log probabilities, by candidate languages."""
+    out = (word_sums(model, distinct)[0] if sums is None else sums) / len(ORDERS)
     can = model.writes[np.fromiter(map(script_of, distinct), np.int64, len(distinct))]
     can |= ~can.any(axis=1, keepdims=True)
     return np.where(can, out - out.max(axis=1, keepdims=True), OUT_OF_SCRIPT).astype(np.float32)
@@ -209,8 +217,9 @@ def best_paths(scores: np.ndarray, texts: list[np.ndarray], penalty: float) -> l
     return out
 
 
-def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
-    """``docs`` with lang_pred, score and, if asked for, spans (a, b, lang) over the words."""
+def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY, with_spans: bool = False,
+          with_evidence: bool = False) -> DataFrame:
+    """``docs`` with lang_pred, score and, if asked for, spans (a, b, lang) over the words and evidence."""
     names = docs.columns
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text_col)
@@ -223,19 +232,22 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
         def paths(texts: list[np.ndarray], index: dict[str, int]) -> list[tuple]:
             distinct = list(index)
             if not distinct or not model.languages:
-                return [(UND, 0.0, [])] * len(texts)
+                return [(UND, 0.0, [], 0.0)] * len(texts)
             letters = np.fromiter(map(len, distinct), np.float64, len(distinct))
             out = []
-            for ids, path in zip(texts, best_paths(word_scores(model, distinct), texts, penalty)):
+            sums, grams = word_sums(model, distinct)
+            for ids, path in zip(texts, best_paths(word_scores(model, distinct, sums), texts, penalty)):
                 if not len(ids):
-                    out.append((UND, 0.0, []))
+                    out.append((UND, 0.0, [], 0.0))
                     continue
                 share = np.bincount(path, weights=letters[ids], minlength=len(model.languages))
-                spans = []
+                spans, evidence = [], 0.0
+                if with_evidence:
+                    evidence = float(np.average(sums[ids, path] / np.maximum(1, grams[ids]), weights=letters[ids]) + BITS * np.log(2))
                 if with_spans:
                     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1), len(path)]
                     spans = [{"a": int(a), "b": int(b), "lang": languages[path[a]]} for a, b in zip(cuts[:-1], cuts[1:])]
-                out.append((languages[int(share.argmax())], float(share.max() / share.sum()), spans))
+                out.append((languages[int(share.argmax())], float(share.max() / share.sum()), spans, evidence))
             return out
 
         for batch in batches:
@@ -249,12 +261,12 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
                     texts, index, held = [], {}, 0
             done += paths(texts, index)
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("lang", pa.string())]))
-            extra = [pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 3, (pa.string(), pa.float64(), span))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*(f"c{k}" for k in range(len(names))), "lang_pred", "score", "spans"])
+            extra = [pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 4, (pa.string(), pa.float64(), span, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*(f"c{k}" for k in range(len(names))), "lang_pred", "score", "spans", "evidence"])
             done, texts, index, extra, ids = [], [], {}, [], []
             release()
 
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    out = docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<a:long,b:long,lang:string>>")
-    keep = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in ("lang_pred", "score", "spans")]
-    return out.select(*keep, "lang_pred", "score", *(["spans"] if with_spans else []))
+    out = docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<a:long,b:long,lang:string>>, evidence double")
+    keep = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in ("lang_pred", "score", "spans", *["evidence"] * with_evidence)]
+    return out.select(*keep, "lang_pred", "score", *["spans"] * with_spans, *["evidence"] * with_evidence)
