@@ -2,7 +2,7 @@
 
 Binary n-gram indicators of a text are scaled by the log ratio of the classes' smoothed n-gram shares, which are
 counted over all learning rows; a linear hinge-loss model is then fitted by dual coordinate descent on a bounded
-sample and pulled towards its mean weight (``BETA``). Margins become probabilities by a logistic fit on
+sample and pulled towards its mean weight (``BETA``), which every n-gram of a learning row has, sampled or not. Margins become probabilities by a logistic fit on
 further sampled rows, corrected to the classes' shares among all learning rows.
 
 The n-grams are of bytes (1 to 4), of words (1 and 2) and of word shapes (1 to 3: which kinds of characters a word
@@ -222,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = [(y[train] == s).sum() for s in (-1, 1)]
     cost = np.where(y[train] > 0, COST * len(train) / (2 * max(1, part[1])), COST * len(train) / (2 * max(1, part[0])))
     w, bias = dual_coordinate_descent([x[i] for i in train], y[train], cost, len(ratio))
-    w = (1 - BETA) * np.abs(w[w != 0]).mean() * (w != 0) + BETA * w if np.any(w) else w
+    seen = counts[0] + counts[1] > 0
+    w = (1 - BETA) * np.abs(w[seen]).mean() * seen + BETA * w
     rest = np.flatnonzero(~fit) if (~fit).sum() >= 20 else train
     margin = np.array([float(w[x[i][0]] @ x[i][1]) + bias for i in rest])
     slope, offset = logistic(margin, y[rest])
