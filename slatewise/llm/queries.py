@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slatewise.llm import (
-    decontaminate, exact_dedup, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, url_lists, warc,
+    alignment, decontaminate, divergence, exact_dedup, language, licenses, mixing, near_dedup, quality, substring_dedup, suffix_dedup, url_lists, warc,
 )
 from slatewise.llm.storage import save, ship, table
 
@@ -103,6 +103,30 @@ def op10_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.temporal_filter(captures, dated_lists(pages)).select("page_id", "fetched_at", *url_lists.RESULT)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    at = F.col("places.at")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return divergence.divergence_audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+#: Files of the two public tokenizers of op13, in the installed folder that holds them.
+A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), a_path or str(public_tokenizers.path(A_FILE)), b_path or str(public_tokenizers.path(B_FILE)))
+
+
 UPPER = exact_dedup.UPPER
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -160,11 +184,58 @@ SELECT c.page_id, c.fetched_at, c.host, coalesce(n, 0) AS n_active, rule, CASE k
 FROM c LEFT JOIN best ON c.page_id = best.page_id AND rn = 1
 """.replace("{START}", str(YEAR_START)).replace("{SECONDS}", str(YEAR_SECONDS)).replace("{EVENTS}", str(EVENTS_PER_PATTERN)).replace("{HOST}", url_lists.HOST).replace("{PATH}", url_lists.PATH)
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{U}', '{L}'), '{P}') AS w FROM documents),
+phrase(label, p) AS (VALUES {PHRASES}),
+starts AS (SELECT r, w, unnest(range(0, len(w))) AS s FROM d),
+base AS (SELECT r, s, label FROM starts, phrase WHERE w[s + 1] = p[1] AND w[s + 1:s + len(p)] = p),
+place AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY r),
+template(label, t, alpha) AS (VALUES {TEMPLATES}),
+block AS (SELECT r, list_distinct(w[b * {STRIDE} + 1:(b + 2) * {STRIDE}]) AS x FROM (SELECT r, w, unnest(range(0, greatest(CAST(ceil((len(w) - {STRIDE}) / {STRIDE}.0) AS BIGINT), 1))) AS b FROM d)),
+hit AS (SELECT r, label, len(list_intersect(x, t)) / CAST(len(t) AS DOUBLE) AS c FROM block, template WHERE list_has_any(x, t) AND len(list_intersect(x, t)) >= alpha),
+added AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(place.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(place.labels, []), coalesce(added.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(c, 0.0) END AS score
+FROM d LEFT JOIN place ON d.r = place.r LEFT JOIN added ON d.r = added.r
+"""
+for _name, _value in (
+        ("U", UPPER), ("L", UPPER.lower()), ("P", licenses.WORDS), ("STRIDE", str(licenses.STRIDE)),
+        ("PHRASES", ", ".join(f"('{k}', {licenses.split_words(p)})" for k, p in licenses.PHRASES)),
+        ("TEMPLATES", ", ".join(f"('{k}', {t}, {a})" for k, t, a in licenses.template_sets(licenses.TEMPLATES)))):
+    OP11_SQL = OP11_SQL.replace("{" + _name + "}", _value)
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{U}', '{L}'), '{P}') AS w FROM documents),
+term AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS all_n FROM term GROUP BY lang, term HAVING count(DISTINCT r) >= {MIN}),
+size AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT lang, source, term, count(*) AS n FROM term JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, sum(n) AS group_n FROM cell GROUP BY lang, source),
+share AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         1 + (1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT)) // CAST(coalesce(group_n, 0) + 5 * v AS HUGEINT) AS p,
+         1 + (1000000000 * CAST(all_n + 5 AS HUGEINT)) // CAST(lang_n + 5 * v AS HUGEINT) AS q
+  FROM grp g JOIN kept k ON g.lang = k.lang JOIN size ON size.lang = g.lang
+  LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+  LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN far ON far.lang = g.lang AND far.source = g.source AND far.item = h.source),
+ahead AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM ahead))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
+""".replace("{U}", UPPER).replace("{L}", UPPER.lower()).replace("{P}", divergence.TERMS).replace("{MIN}", str(divergence.MIN_DOCS)).replace("{TOP}", str(divergence.TOP_TERMS))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_chunks, op2_nb_support_vectors, op3_substring_dedup, op4_decontaminate, op5_mix_sources,
-        op6_language_spans, op7_suffix_dedup, op8_exact_dedup, op9_minhash_components, op10_dated_url_lists)
+        op6_language_spans, op7_suffix_dedup, op8_exact_dedup, op9_minhash_components, op10_dated_url_lists,
+        op11_license_scan, op12_source_divergence, op13_token_alignment)
 }
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op10_dated_url_lists": OP10_SQL,
+    "op11_license_scan": OP11_SQL, "op12_source_divergence": OP12_SQL,
 }
