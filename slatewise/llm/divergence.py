@@ -235,13 +235,16 @@ def _distances(key: tuple, cells: pa.Table) -> pa.Table:
     """Per ordered pair of sources of the two blocks the sum, over the terms here, of |p - q| - |p0 - q0|."""
     lang, lo, hi, _ = (k.as_py() for k in key)
     sources = cells.column("source").combine_chunks().dictionary_encode()
-    terms = cells.column("term").combine_chunks().dictionary_encode()
-    s, t = (c.indices.to_numpy(zero_copy_only=False) for c in (sources, terms))
-    n, width = len(sources.dictionary), len(terms.dictionary)
+    s = sources.indices.to_numpy(zero_copy_only=False)
+    n = len(sources.dictionary)
     rest, block = np.zeros(n, np.int64), np.zeros(n, np.int64)
     rest[s], block[s] = cells.column("rest").to_numpy(), cells.column("block").to_numpy()
+    has = cells.column("term").is_valid().to_numpy()
+    here = cells.filter(pa.array(has))
+    terms = here.column("term").combine_chunks().dictionary_encode()
+    width = len(terms.dictionary)
     p = np.repeat(rest[:, None], width, axis=1)
-    p[s, t] = cells.column("p").to_numpy()
+    p[s[has], terms.indices.to_numpy(zero_copy_only=False)] = here.column("p").to_numpy()
     a, b, v = [], [], []
     right = np.flatnonzero(block == hi)
     for i in np.flatnonzero(block == lo):
@@ -270,9 +273,12 @@ def divergence(counts: DataFrame, groups: DataFrame, top_terms: int = TOP_TERMS,
 
     most = sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).agg(F.max("n"), F.max("v")).first()
     n_source, n_term = -(-(most[0] or 1) // source_block), -(-(most[1] or 1) // term_block)
-    block = F.pmod(F.xxhash64("source"), F.lit(n_source)).cast("int")
-    dealt = cells.select("lang", "source", "term", "p", "rest", block.alias("block"), F.pmod(F.xxhash64("term", F.lit(1)), F.lit(n_term)).alias("terms"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_source - 1))).alias("other"))
+    block = F.pmod(F.xxhash64("source"), F.lit(n_source)).cast("int").alias("block")
+    # A source is in all blocks of terms, also where it has none of them: a row without a term says so.
+    without = sizes.where("v > 0").select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), "rest", block,
+                                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_term - 1).cast("long"))).alias("terms"))
+    dealt = cells.select("lang", "source", "term", "p", "rest", block, F.pmod(F.xxhash64("term", F.lit(1)), F.lit(n_term)).alias("terms")).unionByName(without).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(n_source - 1))))
     met = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
     far = met.groupBy("lang", "lo", "hi", "terms").applyInArrow(_distances, "lang string, source string, item string, far long").groupBy("lang", "source", "item").agg(F.sum("far").alias("far"))
     others = sizes.select("lang", F.col("source").alias("item"), F.col("rest").alias("other_rest"))
