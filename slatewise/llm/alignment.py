@@ -5,8 +5,8 @@ which tokens of both end cut the bytes into groups; a token of A and one of B ar
 
 * Neither tokenizer merges over a space after other text (a pre-token of A has white space only at its start; no piece of
   B has the space mark inside, which is checked when the model is loaded). So a text is cut there, each distinct piece of a
-  slice of texts is tokenized and aligned once, and texts are sums of pieces. Texts with a piece that does not give back
-  its own bytes are judged whole.
+  task is tokenized and aligned once (a bounded number is kept), and texts are sums of pieces. Texts with a piece that does
+  not give back its own bytes are judged whole.
 * Tasks write segments of about ``SEGMENT_BYTES`` of text: per document its counts and digest, and the inverted index:
   per linked (A id, B id) a compressed bitmap of the documents, with planes for multiplicities (``bitmaps``). Bitmaps of
   slices are OR-merged into the segment's. Segments hold different documents, so the popcount of the OR over all segments
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -40,6 +41,12 @@ from slatewise.llm.storage import save
 
 SEGMENT_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
+#: Texts of a slice.
+SLICE_DOCS = 8192
+#: A pair is A id * 2**PAIR_BITS + B id.
+PAIR_BITS = 20
+#: Pieces a worker keeps, about 200 bytes each.
+KNOWN_PIECES = 600_000
 #: Texts of a segment, so that their numbers stay small.
 SEGMENT_DOCS = 1 << 16
 
@@ -75,6 +82,8 @@ class Tokenizers:
             self.a_bytes[i] = bytes(chars[c] for c in entry) if all(c in chars for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        if len(self.b_bytes) > 1 << PAIR_BITS or len(self.a_bytes) > 1 << PAIR_BITS:
+            raise ValueError(f"vocabularies have at most {1 << PAIR_BITS} entries")
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         with open(a_path, encoding="utf-8") as f:
@@ -112,23 +121,26 @@ def cut_points(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """The alignment of distinct pieces: counts, the linked pairs of each (``links`` up to ``link_ends``) and their groups' text."""
+    """The alignment of distinct pieces: counts, the linked pairs of each, one after the other, and their groups' text."""
 
     def __init__(self, pieces: list[bytes], tok: Tokenizers):
         a, b = tok.encode(pieces)
-        self.good = np.fromiter((b"".join([tok.a_bytes[i] for i in x]) == p and b"".join([tok.b_bytes[i] for i in y]) == p for p, x, y in zip(pieces, a, b)), bool, len(pieces))
-        a = [x if g else [] for x, g in zip(a, self.good)]
-        b = [y if g else [] for y, g in zip(b, self.good)]
-        self.n_a, self.n_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a, b))
-        a_id, b_id = (np.fromiter((i for x in t for i in x), np.int64) for t in (a, b))
+        a_bytes, b_bytes = tok.a_bytes, tok.b_bytes
+        self.good = np.array([b"".join([a_bytes[i] for i in x]) == p and b"".join([b_bytes[i] for i in y]) == p for p, x, y in zip(pieces, a, b)], bool)
+        if not self.good.all():
+            a = [x if g else [] for x, g in zip(a, self.good)]
+            b = [y if g else [] for y, g in zip(b, self.good)]
+        self.n_a, self.n_b = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+        a_id, b_id = (np.array(list(itertools.chain.from_iterable(t)), np.int64) for t in (a, b))
         # A good piece has the same bytes on both sides, so its ends are ends on both.
         a_end, b_end = np.cumsum(tok.a_size[a_id]), np.cumsum(tok.b_size[b_id])
-        cuts = np.union1d(a_end, b_end)
+        ends = np.sort(np.concatenate((a_end, b_end)))
+        again = np.concatenate((ends[1:] == ends[:-1], [False])) if len(ends) else np.zeros(0, bool)
+        cuts, both = ends[~again], ends[again]
         a_at, b_at = np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
-        self.links = (a_id[a_at] << 32) | b_id[b_at]
+        self.links = (a_id[a_at] << PAIR_BITS) | b_id[b_at]
         piece_of_a = np.repeat(np.arange(len(pieces)), self.n_a)
         self.n_links = np.bincount(piece_of_a[a_at], minlength=len(pieces))
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
         self.n_groups = np.bincount(piece_of_a[np.searchsorted(a_end, both)], minlength=len(pieces)) if len(both) else np.zeros(len(pieces), np.int64)
         self.text = self._groups(a_id, b_id, np.searchsorted(both, a_end), np.searchsorted(both, b_end))
 
@@ -145,11 +157,45 @@ class Aligned:
         return [b"".join(tokens[lo:hi])[:-1] for lo, hi in zip((ends - self.n_a - self.n_b).tolist(), ends.tolist())]
 
 
+class Known:
+    """Pieces aligned so far by this worker, up to ``KNOWN_PIECES`` (then it starts anew), so that each is tokenized once."""
+
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.text: list[bytes] = []
+        self.links = np.zeros(0, np.int64)
+        self.table = {c: np.zeros(0, np.int64) for c in (*COLUMNS, "first", "good")}
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece."""
+        if len(self.index) + len(pieces) > KNOWN_PIECES:
+            self.forget()
+        new = [p for p in pieces if p not in self.index]
+        if new:
+            done = Aligned(new, self.tok)
+            first = len(self.links) + np.cumsum(done.n_links) - done.n_links
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.links = np.concatenate((self.links, done.links))
+            self.text += done.text
+            for c, x in ((*((c, getattr(done, c)) for c in COLUMNS), ("first", first), ("good", done.good.astype(np.int64)))):
+                self.table[c] = np.concatenate((self.table[c], x))
+        return np.array([self.index[p] for p in pieces], np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def known_pieces(a_path: str, b_path: str) -> Known:
+    return Known(tokenizers(a_path, b_path))
+
+
 class _Segment:
     """Documents of one segment, slice by slice."""
 
-    def __init__(self, tok: Tokenizers):
-        self.tok, self.bytes = tok, 0
+    def __init__(self, known: Known):
+        self.known, self.bytes = known, 0
         self.ids: list[int | None] = []
         self.counts: dict[str, list[np.ndarray]] = {c: [] for c in COLUMNS}
         self.digests: list[str] = []
@@ -162,63 +208,55 @@ class _Segment:
         self._texts.append(b" " + text if text else b"")
         self.bytes += len(text or b"")
         self._held += len(text or b"")
-        if self._held >= SLICE_BYTES or len(self._texts) >= 8192:
+        if self._held >= SLICE_BYTES or len(self._texts) >= SLICE_DOCS:
             self._align()
 
-    def _cut(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct pieces, the piece at each place, and how many places each text has."""
+    def _cut(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the piece at each place, and the text of each place."""
         sizes = np.array([len(t) for t in self._texts], np.int64)
         raw = np.frombuffer(b"".join(self._texts), np.uint8)
         starts = np.cumsum(sizes) - sizes
         full = np.flatnonzero(sizes)
-        begins = np.union1d(starts[full], cut_points(raw, starts[full])) if self.tok.cuts and len(full) else starts[full]
+        begins = np.sort(np.concatenate((starts[full], cut_points(raw, starts[full])))) if self.known.tok.cuts and len(full) else starts[full]
         offsets = np.concatenate((begins, [len(raw)])).astype(np.int64)
         places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        rows = np.searchsorted(starts[full], begins, "right") - 1
-        per = np.zeros(len(sizes), np.int64)
-        per[full] = np.bincount(rows, minlength=len(full))
-        return places.dictionary.to_pylist(), places.indices.to_numpy(zero_copy_only=False).astype(np.int64), per
+        row = full[np.searchsorted(starts[full], begins, "right") - 1] if len(full) else full
+        return self.known.numbers(places.dictionary.to_pylist())[places.indices.to_numpy(zero_copy_only=False)], row
 
     def _align(self) -> None:
-        pieces, at, per = self._cut()
-        done = Aligned(pieces, self.tok)
-        row = np.repeat(np.arange(len(per)), per)
-        bad = np.unique(row[~done.good[at]])
-        if len(bad):
+        at, row = self._cut()
+        bad = np.unique(row[self.known.table["good"][at] == 0]) if len(at) else row
+        self._place(at, row, bad.tolist())
+        self._texts, self._held = [], 0
+
+    def _place(self, at: np.ndarray, row: np.ndarray, bad: list[int]) -> None:
+        table, links, text = self.known.table, self.known.links, self.known.text
+        if bad:
             # Judged whole: a text counts if its tokens together give back its bytes.
-            odd = [r for r in bad.tolist()]
-            whole = Aligned([self._texts[r] for r in odd], self.tok)
+            whole = Aligned([self._texts[r] for r in bad], self.known.tok)
             keep = ~np.isin(row, bad)
-            at, row = at[keep], row[keep]
-            at = np.concatenate((at, len(pieces) + np.flatnonzero(whole.good)))
-            row = np.concatenate((row, np.array(odd, np.int64)[whole.good]))
+            at = np.concatenate((at[keep], len(text) + np.flatnonzero(whole.good)))
+            row = np.concatenate((row[keep], np.array(bad, np.int64)[whole.good]))
             order = np.argsort(row, kind="stable")
             at, row = at[order], row[order]
-            for c in COLUMNS:
-                setattr(done, c, np.concatenate((getattr(done, c), getattr(whole, c))))
-            done.links, done.text = np.concatenate((done.links, whole.links)), done.text + whole.text
+            table = {c: np.concatenate((table[c], getattr(whole, c))) for c in COLUMNS} | {"first": np.concatenate((table["first"], len(links) + np.cumsum(whole.n_links) - whole.n_links))}
+            links, text = np.concatenate((links, whole.links)), text + whole.text
         per = np.bincount(row, minlength=len(self._texts))
         ends = np.cumsum(per)
         for c in COLUMNS:
-            total = np.concatenate(([0], np.cumsum(getattr(done, c)[at])))
+            total = np.concatenate(([0], np.cumsum(table[c][at])))
             self.counts[c].append(total[ends] - total[ends - per])
         places = at.tolist()
-        self.digests += [hashlib.sha256(b";".join([done.text[i] for i in places[hi - n : hi]])).hexdigest() if n else "" for hi, n in zip(ends.tolist(), per.tolist())]
-        # Links of each (document, distinct piece), then of each (document, pair).
-        keys, n = np.unique((row << 32) | at, return_counts=True)
-        doc, piece = keys >> 32, keys & 0xFFFFFFFF
-        size = done.n_links
-        first = np.cumsum(size) - size
-        reps = size[piece]
-        link = np.repeat(first[piece] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        pairs, local = np.unique(done.links, return_inverse=True)
-        cell, back = np.unique(local[link] * len(self._texts) + np.repeat(doc, reps), return_inverse=True)
-        times = np.zeros(len(cell), np.int64)
-        np.add.at(times, back, np.repeat(n, reps))
-        before = len(self.ids) - len(self._texts)
-        if len(cell):
-            self.parts.append(bitmaps.planes_of(pairs[cell // len(self._texts)], (before + cell % len(self._texts)).astype(np.int32), times))
-        self._texts, self._held = [], 0
+        self.digests += [hashlib.sha256(b";".join([text[i] for i in places[hi - n : hi]])).hexdigest() if n else "" for hi, n in zip(ends.tolist(), per.tolist())]
+        # Every link of every place, as (pair, document); what repeats is the multiplicity.
+        reps = table["n_links"][at]
+        link = np.repeat(table["first"][at] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        cells = np.sort(links[link] * SLICE_DOCS + np.repeat(row, reps))
+        if len(cells):
+            last = np.flatnonzero(np.concatenate((cells[1:] != cells[:-1], [True])))
+            cells, times = cells[last], np.diff(last, prepend=-1)
+            before = len(self.ids) - len(self._texts)
+            self.parts.append(bitmaps.planes_of(cells // SLICE_DOCS, before + cells % SLICE_DOCS, times))
 
     def row(self, number: int) -> pa.RecordBatch:
         self._align()
@@ -234,18 +272,18 @@ class _Segment:
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The segments, written once; see ``SEGMENTS``. ``pair`` is A id * 2**32 + B id."""
+    """The segments, written once; see ``SEGMENTS``. ``pair`` is A id * 2**PAIR_BITS + B id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizers(a_path, b_path)
-        number, segment = TaskContext.get().partitionId() << 32, _Segment(tok)
+        known = known_pieces(a_path, b_path)
+        number, segment = TaskContext.get().partitionId() << 32, _Segment(known)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 segment.add(i, text.as_py())
                 if segment.bytes >= segment_bytes or len(segment.ids) >= SEGMENT_DOCS:
                     yield segment.row(number)
-                    number, segment = number + 1, _Segment(tok)
+                    number, segment = number + 1, _Segment(known)
             release()
         if segment.ids:
             yield segment.row(number)
@@ -257,7 +295,7 @@ def pair_counts(segments: DataFrame) -> DataFrame:
     """(pair, docs, links, best): how many documents hold a pair linked, how many links it has, and whether its A id has no pair
     in more documents."""
     counts = segments.select(F.inline("pairs")).groupBy("pair").agg(F.sum("docs").alias("docs"), F.sum("links").alias("links"))
-    counts = save(counts.withColumn("a", F.shiftright("pair", 32)), "pair-counts")
+    counts = save(counts.withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
     return counts.join(most, "a").select("pair", "docs", "links", (F.col("docs") == F.col("most")).alias("best"))
 

@@ -14,7 +14,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-MAX_PLANES = 40
+#: A posting's place in order is one number: key (below 2**41), plane, document.
+PLANE_BITS, DOC_BITS = 5, 17
+MAX_DOCS = 1 << DOC_BITS
 
 
 class Planes(NamedTuple):
@@ -26,50 +28,52 @@ class Planes(NamedTuple):
     docs: np.ndarray
 
 
-def _grouped(code: np.ndarray, docs: np.ndarray) -> Planes:
-    """From distinct (key * MAX_PLANES + plane, doc), in any order."""
-    order = np.lexsort((docs, code))
-    code, docs = code[order], docs[order]
-    last = np.flatnonzero(np.concatenate((code[1:] != code[:-1], [True]))) if len(code) else np.zeros(0, np.int64)
-    return Planes(code[last] // MAX_PLANES, code[last] % MAX_PLANES, last + 1, docs)
+def _places(p: Planes) -> np.ndarray:
+    return (np.repeat((p.keys << PLANE_BITS) | p.plane, np.diff(p.ends, prepend=0)) << DOC_BITS) | p.docs
+
+
+def _lasts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values end."""
+    return np.flatnonzero(np.concatenate((x[1:] != x[:-1], [True]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _from_places(places: list[np.ndarray]) -> Planes:
+    """Bitmaps of bits in any order; a bit set twice is set once."""
+    at = np.sort(np.concatenate(places or [np.zeros(0, np.int64)]))
+    at = at[_lasts(at)]
+    code = at >> DOC_BITS
+    last = _lasts(code)
+    return Planes(code[last] >> PLANE_BITS, code[last] & ((1 << PLANE_BITS) - 1), last + 1, (at & (MAX_DOCS - 1)).astype(np.int32))
 
 
 def planes_of(keys: np.ndarray, docs: np.ndarray, times: np.ndarray) -> Planes:
-    """Bitmaps of distinct postings (key, doc, times)."""
-    code, who = [], []
+    """Bitmaps of distinct postings (key, doc, times), ``times`` below 2**32."""
+    planes = []
     for k in range(int(times.max(initial=0)).bit_length()):
         has = (times >> k) & 1 == 1
-        code.append(keys[has] * MAX_PLANES + k)
-        who.append(docs[has])
-    return _grouped(np.concatenate(code or [keys[:0]]), np.concatenate(who or [docs[:0]]))
-
-
-def _expanded(p: Planes) -> np.ndarray:
-    return np.repeat(np.arange(len(p.keys)), np.diff(p.ends, prepend=0))
+        planes.append((((keys[has] << PLANE_BITS) | k) << DOC_BITS) | docs[has])
+    return _from_places(planes)
 
 
 def or_merge(parts: list[Planes]) -> Planes:
     """The OR of bitmaps with the same key and plane. Parts that hold different documents keep their multiplicities."""
-    code = np.concatenate([(p.keys * MAX_PLANES + p.plane)[_expanded(p)] for p in parts] or [np.zeros(0, np.int64)])
-    docs = np.concatenate([p.docs for p in parts] or [np.zeros(0, np.int32)])
-    merged = _grouped(code, docs)
-    owner = _expanded(merged)
-    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (merged.docs[1:] != merged.docs[:-1]))) if len(owner) else np.zeros(0, bool)
-    return Planes(merged.keys, merged.plane, np.cumsum(np.bincount(owner[first], minlength=len(merged.keys))), merged.docs[first])
+    return _from_places([_places(p) for p in parts])
 
 
 def popcounts(p: Planes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their numbers of documents and of occurrences."""
-    keys, owner = np.unique(p.keys, return_inverse=True)
+    last = _lasts(p.keys)
+    keys, owner = p.keys[last], np.repeat(np.arange(len(last)), np.diff(last, prepend=-1))
     size = np.diff(p.ends, prepend=0)
     times = np.zeros(len(keys), np.int64)
     np.add.at(times, owner, size << p.plane)
-    docs = np.bincount(owner[p.plane == 0], weights=size[p.plane == 0], minlength=len(keys)).astype(np.int64)
-    # Only keys with more planes than the first need the OR itself.
-    more = np.bincount(owner[p.plane > 0], minlength=len(keys)) > 0
-    rows = more[owner][_expanded(p)]
-    both = np.unique(np.stack((owner[_expanded(p)][rows], p.docs[rows])), axis=1)
-    docs[more] = np.bincount(both[0], minlength=len(keys))[more]
+    docs = np.zeros(len(keys), np.int64)
+    docs[owner] = size
+    # Only keys with several planes need the OR itself.
+    several = np.bincount(owner, minlength=len(keys)) > 1
+    rows = np.repeat(several[owner], size)
+    both = np.sort((np.repeat(owner, size)[rows] << DOC_BITS) | p.docs[rows])
+    docs[several] = np.bincount(both[_lasts(both)] >> DOC_BITS, minlength=len(keys))[several]
     return keys, docs, times
 
 
@@ -77,7 +81,7 @@ def compress(p: Planes, universe: int) -> bytes:
     """All bitmaps in a row: kinds, sizes and containers, compressed together."""
     size = np.diff(p.ends, prepend=0)
     dense = size > universe // 8
-    owner = _expanded(p)
+    owner = np.repeat(np.arange(len(p.keys)), size)
     steps = p.docs.astype(np.int64) - np.where(np.concatenate(([True], owner[1:] != owner[:-1])), 0, np.concatenate(([0], p.docs[:-1]))) if len(owner) else p.docs.astype(np.int64)
     bits = []
     for i in np.flatnonzero(dense).tolist():

@@ -60,12 +60,12 @@ def test_query(spark, tok):
 def test_pair_counts(spark, tok, rows):
     """Documents and links of each pair from the planes."""
     segments = alignment.align(frame(spark, rows), A, B, segment_bytes=3000)
-    got = {(r.pair >> 32, r.pair & 0xFFFFFFFF): (r.docs, r.links) for r in alignment.pair_counts(segments).collect()}
+    got = {divmod(r.pair, 1 << alignment.PAIR_BITS): (r.docs, r.links) for r in alignment.pair_counts(segments).collect()}
     docs, links = Counter(), Counter()
     for _, t in rows:
         if t:
             one = alignment.Aligned([b" " + t.encode()], tok)
-            found = [(x >> 32, x & 0xFFFFFFFF) for x in one.links.tolist()]
+            found = [divmod(x, 1 << alignment.PAIR_BITS) for x in one.links.tolist()]
             docs.update(set(found))
             links.update(found)
     assert got == {p: (docs[p], links[p]) for p in docs}
@@ -76,7 +76,7 @@ def test_empty(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=list(" ab'1\n\t,é日  ▁　\x85\x1f") + ["the", " the"], min_size=1, max_size=40))
+@given(st.lists(st.sampled_from([*" ab'1\n\t,é", "日", "\u00a0", "\u2003", "\u2581", "\u3000", "\x85", "\x1f", "\u2019", "à", "the", " the"]), min_size=1, max_size=40).map("".join))
 def test_cuts_change_nothing(text):
     tok = alignment.tokenizers(A, B)
     raw = b" " + text.encode()
@@ -91,7 +91,7 @@ def test_cuts_change_nothing(text):
 @given(st.dictionaries(st.tuples(st.integers(0, 2**40), st.integers(0, 999)), st.integers(1, 20), max_size=300), st.integers(1, 4))
 def test_bitmaps(cells, n_parts):
     keys, docs = (np.array([c[k] for c in cells], np.int64) for k in range(2))
-    docs, times = docs.astype(np.int32), np.array(list(cells.values()), np.int64)
+    docs, times = docs, np.array(list(cells.values()), np.int64)
     parts = [bitmaps.planes_of(keys[docs % n_parts == k], docs[docs % n_parts == k], times[docs % n_parts == k]) for k in range(n_parts)]
     merged = bitmaps.or_merge([*parts, parts[0]])
     got = Counter()
@@ -106,5 +106,5 @@ def test_bitmaps(cells, n_parts):
 
 def test_dense_bitmaps_take_one_bit_a_document():
     n = 8000
-    full = bitmaps.planes_of(np.zeros(n, np.int64), np.arange(n, dtype=np.int32), np.ones(n, np.int64))
+    full = bitmaps.planes_of(np.zeros(n, np.int64), np.arange(n), np.ones(n, np.int64))
     assert len(bitmaps.compress(full, n)) < n // 8 and sum(len(d) for _, _, d in bitmaps.expand(bitmaps.compress(full, n))) == n
