@@ -4,8 +4,7 @@ A term never holds white space, so a text is a bag of chunks between white space
 its chunks. Chunks are counted per document, each globally distinct chunk is tokenized once, and its terms are joined back.
 
 1. ``pack_chunks``: tasks count the chunks of each document and write packs of about ``PACK_BYTES`` of text: per document
-   the codes of its chunks and their counts, packed, and once a pack every distinct (lang, chunk) with its number of
-   documents. Written to the shared folder, so codes stay what they are when a task is repeated.
+   the codes of its chunks and their counts, packed, and once a pack every distinct chunk with its number of documents. Written to the shared folder, so codes stay what they are when a task is repeated.
 2. ``chunk_terms``: all packs' chunks meet by chunk (a chunk is one row a pack, so no chunk is hot). Each distinct one is
    tokenized. A term's documents are at most the sum of its chunks' documents, so terms below ``min_docs`` by that sum
    drop out exactly, and with them most of the long tail.
@@ -33,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatewise.llm.exact_dedup import normalised
+from slatewise.llm.hashing import release
 from slatewise.llm.storage import save
 
 #: A run of characters other than the ASCII ones that are no letters; chunks are lower-cased first.
@@ -41,12 +41,12 @@ MIN_DOCS = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-PACK_BYTES = 16 << 20
+PACK_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
 SOURCE_BLOCK = 64
 TERM_BLOCK = 4096
 
-PACKS = "pack long, groups array<struct<lang:string,source:string>>, doc_groups binary, doc_chunks binary, codes binary, counts binary, chunks array<struct<no:int,lang:string,chunk:string,docs:long>>"
+PACKS = "pack long, groups array<struct<lang:string,source:string>>, doc_groups binary, doc_chunks binary, codes binary, counts binary, chunks array<struct<chunk:string,docs:long>>"
 PARTS = "lang string, term string, docs long, by array<struct<source:string,n:long>>"
 
 
@@ -77,14 +77,12 @@ class _Pack:
 
     def __init__(self) -> None:
         self.groups: dict[tuple[str, str], int] = {}
-        self.langs: dict[str, int] = {}
-        self.codes: dict[tuple[int, bytes], int] = {}
+        self.codes: dict[bytes, int] = {}
         self.doc_groups: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.bytes = 0
         self._words: list[bytes] = []
         self._sizes: list[int] = []
-        self._langs: list[int] = []
         self._held = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
@@ -92,7 +90,6 @@ class _Pack:
         words = text.split()
         self._words += words
         self._sizes.append(len(words))
-        self._langs.append(self.langs.setdefault(lang, len(self.langs)))
         self.bytes += len(text)
         self._held += len(text)
         if self._held >= SLICE_BYTES:
@@ -102,33 +99,30 @@ class _Pack:
         """Counts the words held so far, so that they are never held for a whole pack."""
         if self._words:
             seen = pa.array(self._words, pa.binary()).dictionary_encode()
-            local, n_local = seen.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(seen.dictionary)
+            codes = np.array([self.codes.setdefault(w, len(self.codes)) for w in seen.dictionary.to_pylist()], np.int64)
             first = len(self.doc_groups) - len(self._sizes)
             doc = np.repeat(np.arange(first, first + len(self._sizes)), self._sizes)
-            lang = np.repeat(np.array(self._langs, np.int64), self._sizes)
-            pairs, back = np.unique(lang * n_local + local, return_inverse=True)
-            words = seen.dictionary.to_pylist()
-            codes = np.fromiter((self.codes.setdefault((p // n_local, words[p % n_local]), len(self.codes)) for p in pairs.tolist()), np.int64, len(pairs))
-            keys, counts = np.unique((doc << 32) | codes[back], return_counts=True)
-            self.parts.append((keys >> 32, keys & 0xFFFFFFFF, counts))
-        self._words, self._sizes, self._langs, self._held = [], [], [], 0
+            places = np.sort((doc << 32) | codes[seen.indices.to_numpy(zero_copy_only=False)])
+            last = np.flatnonzero(np.concatenate((places[1:] != places[:-1], [True])))
+            self.parts.append((places[last], np.diff(last, prepend=-1).astype(np.int32)))
+        self._words, self._sizes, self._held = [], [], 0
 
     def row(self, number: int) -> dict:
         self._count()
-        doc, code, count = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in range(3))
+        places, count = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in range(2))
+        self.parts = []
+        doc, code = places >> 32, places & 0xFFFFFFFF
         docs = np.bincount(code, minlength=len(self.codes))
+        # The commonest chunk is 0, so that steps between a document's codes are short.
+        common = np.argsort(-docs, kind="stable")
         rank = np.empty(len(docs), np.int64)
-        rank[np.argsort(-docs, kind="stable")] = np.arange(len(docs))
-        order = np.lexsort((rank[code], doc))
+        rank[common] = np.arange(len(docs))
+        order = np.argsort((doc << 32) | rank[code])
         doc, code, count = doc[order], rank[code][order], count[order]
         starts = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
         steps = np.where(starts, code, code - np.concatenate(([0], code[:-1])))
-        langs = list(self.langs)
-        listed = sorted(zip(rank.tolist(), self.codes, docs.tolist()))
-        chunks = pa.StructArray.from_arrays([
-            pa.array([r for r, _, _ in listed], pa.int32()), pa.array([langs[k] for _, (k, _), _ in listed], pa.string()),
-            pa.array([w for _, (_, w), _ in listed], pa.binary()).cast(pa.string(), safe=False), pa.array([n for _, _, n in listed], pa.int64())],
-            names=["no", "lang", "chunk", "docs"])
+        words = pa.array(list(self.codes), pa.binary()).take(pa.array(common)).cast(pa.string(), safe=False)
+        chunks = pa.StructArray.from_arrays([words, pa.array(docs[common], pa.int64())], names=["chunk", "docs"])
         return {"pack": number, "groups": [{"lang": a, "source": b} for a, b in self.groups], "doc_groups": pack_ints(np.array(self.doc_groups)),
                 "doc_chunks": pack_ints(np.bincount(doc, minlength=len(self.doc_groups))), "codes": pack_ints(steps), "counts": pack_ints(count), "chunks": chunks}
 
@@ -157,6 +151,7 @@ def pack_chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 if pack.bytes >= pack_bytes:
                     yield _batch(pack.row(number))
                     number, pack = number + 1, _Pack()
+            release()
         if pack.doc_groups:
             yield _batch(pack.row(number))
 
@@ -168,16 +163,12 @@ def terms_of(chunk: Column) -> Column:
 
 
 def chunk_terms(packs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(to, no, term, times): for each chunk ``no`` of each pack ``to`` its terms that may be in ``min_docs`` documents of the lang."""
-    met = packs.select("pack", F.explode("chunks").alias("c")).select("pack", "c.*").repartition("chunk")
-    known = met.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
-    tokens = known.select("chunk", "langs", F.explode(terms_of(F.col("chunk"))).alias("term")).groupBy("chunk", "term").agg(
-        F.count(F.lit(1)).alias("times"), F.first("langs").alias("langs"))
-    each = tokens.select("chunk", "term", "times", F.inline("langs"))
-    possible = each.groupBy("lang", "term").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("lang", "term")
-    left = each.join(possible, ["lang", "term"]).groupBy("chunk").agg(F.collect_list(F.struct("lang", "term", "times")).alias("found"))
-    back = met.withColumnRenamed("lang", "own").join(left, "chunk").select("pack", "no", "own", F.inline("found"))
-    return back.where("lang = own").select(F.col("pack").alias("to"), "no", "term", "times")
+    """(to, no, term): for each chunk ``no`` of each pack ``to`` its terms, repeated as in the chunk, that may be in ``min_docs`` documents."""
+    met = packs.select(F.col("pack").alias("to"), F.posexplode("chunks").alias("no", "c")).select("to", "no", "c.*")
+    tokens = met.groupBy("chunk").agg(F.sum("docs").alias("docs")).select("chunk", "docs", F.explode(terms_of(F.col("chunk"))).alias("term"))
+    tokens = save(tokens, "chunk-tokens")
+    possible = tokens.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("term")
+    return met.select("to", "no", "chunk").join(tokens.join(possible, "term").select("chunk", "term"), "chunk").select("to", "no", "term")
 
 
 def _judge(key: tuple, packs: pa.Table, back: pa.Table) -> pa.Table:
@@ -195,17 +186,17 @@ def _judge(key: tuple, packs: pa.Table, back: pa.Table) -> pa.Table:
     langs = sorted({g["lang"] for g in row["groups"]})
     lang_of = np.array([langs.index(g["lang"]) for g in row["groups"]], np.int64)
     # Terms of each code, then of each (document, code).
-    no, times = back.column("no").to_numpy(), back.column("times").to_numpy()
+    no = back.column("no").to_numpy()
     coded = back.column("term").combine_chunks().dictionary_encode()
     order = np.argsort(no, kind="stable")
-    term, times = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], times[order]
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order]
     n_codes = int(max(code.max(initial=0), no.max())) + 1
     per = np.bincount(no, minlength=n_codes)
     first = np.cumsum(per) - per
     reps = per[code]
     at = np.repeat(first[code] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
     n_terms = len(coded.dictionary)
-    keys, n = summed(np.repeat(doc, reps) * n_terms + term[at], np.repeat(counts, reps) * times[at])
+    keys, n = summed(np.repeat(doc, reps) * n_terms + term[at], np.repeat(counts, reps))
     doc, term = keys // n_terms, keys % n_terms
     group = group_of[doc]
     cells, n = summed((lang_of[group] * n_terms + term) * len(row["groups"]) + group, n)
