@@ -16,7 +16,7 @@ from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
 from slatewise.session import materialize
-from slatewise.plans.slate_queries import CLEAN_SQL, HIST_CTE, HISTORY_LEN, STOP_SQL, UHIST_CTE, hist, inter_cut
+from slatewise.plans.slate_queries import CLEAN_SQL, HIST_CTE, HISTORY_LEN, STOP_SQL, UHIST_CTE, inter_cut, tails
 
 TITLE_LEN = 30
 
@@ -117,7 +117,7 @@ FROM hx LEFT JOIN ttab t ON t.news_id = CAST(hx.hid AS BIGINT)""")
 def q_join_history_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last history ids of each slate (left-padded with empty rows) -> title tokens;
     padding and unknown ids give zero rows."""
-    h = hist(spark, sf_dir).select("impression_id", S.parse_history("history").alias("h"))
+    h = tails(spark, sf_dir).select("impression_id", F.col("items").cast("array<string>").alias("h"))
     tail = last_n(F.col("h"), HISTORY_LEN)
     padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.lit(HISTORY_LEN) - F.size(tail)), tail)
     x = h.select("impression_id", F.posexplode(padded).alias("p0", "hid"))

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions.common import last_n, r6
+from slatewise.operators import click_index as CI
 from slatewise.operators import history as H
 from slatewise.operators import interactions as I
 from slatewise.operators import ranking as R
 from slatewise.operators.positions import row_positions
-from slatewise.operators.slates import parse_history
 from slatewise.functions.common import md5_draw
 from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
 from slatewise.session import materialize
 from slatewise.plans.sampling_queries import draw_sql
-from slatewise.plans.slate_queries import HIST_CTE, HISTORY_LEN, UHIST_CTE, hist, inter_cut
+from slatewise.plans.slate_queries import HIST_CTE, HISTORY_LEN, UHIST_CTE, indexed, inter_cut, tails
 
 
 def lastn_sql(l: str, n: str) -> str:
@@ -33,54 +33,75 @@ def joined(c) -> F.Column:
 
 
 # ---- day-keyed donor pools on the slate histories ---------------------------------
-def hist_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slate histories with their day, written once: pools, donors and
-    variants all read them."""
-    return materialize(hist(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
-
-
-POOL_SQL = HIST_CTE + f""",
-hd AS (SELECT impression_id, user_id, strftime(ts, '%Y-%m-%d') AS day, history FROM hist),
-pool AS (SELECT DISTINCT day, history FROM hd WHERE history IS NOT NULL AND length(history) > 0),
-pp AS (SELECT day, history, row_number() OVER (PARTITION BY day ORDER BY {draw_sql('pool', 'history')}, history) AS pool_idx,
+def hist_days(spark: SparkSession, sf_dir: str, im: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The click index and each slate's point in it with its day, both written once: pools, donors and variants read them."""
+    index, points = indexed(spark, sf_dir, im)
+    return index, materialize(points.withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
+
+
+# ``content`` names a history by its length and two sums of draws over (position, item)
+CONTENT_SQL = HIST_CTE + f""",
+cd AS (SELECT user_id, ts, {draw_sql('h1', "(pos || ':' || item_id)")} AS d1, {draw_sql('h2', "(pos || ':' || item_id)")} AS d2 FROM (
+        SELECT user_id, ts, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS pos FROM impr WHERE label = 1) x),
+ck AS (SELECT hs.impression_id, count(*) || ':' || CAST(SUM(d1) AS BIGINT) || ':' || CAST(SUM(d2) AS BIGINT) AS content
+       FROM hs JOIN cd ON cd.user_id = hs.user_id AND cd.ts < hs.ts GROUP BY hs.impression_id)"""
+POOL_SQL = CONTENT_SQL + f""",
+hd AS (SELECT hist.impression_id, hist.user_id, strftime(hist.ts, '%Y-%m-%d') AS day, hist.history, ck.content FROM hist LEFT JOIN ck USING (impression_id)),
+pool AS (SELECT day, history, min(content) AS content, min(user_id) AS donor_user FROM hd WHERE history IS NOT NULL AND length(history) > 0 GROUP BY day, history),
+pp AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {draw_sql('pool', 'content')}, content) AS pool_idx,
               COUNT(*) OVER (PARTITION BY day) AS pool_size FROM pool),
 sz AS (SELECT DISTINCT day, pool_size FROM pp),
 sd AS (SELECT h.impression_id, h.day, h.history, COALESCE(sz.pool_size, 0) AS pool_size FROM hd h LEFT JOIN sz USING (day)),
 dn AS (SELECT sd.impression_id, sd.history,
-              CASE WHEN sd.pool_size > 1 THEN pp.history ELSE sd.history END AS donor_history
+              CASE WHEN sd.pool_size > 1 THEN pp.history ELSE sd.history END AS donor_history,
+              CASE WHEN sd.pool_size > 1 THEN pp.donor_user ELSE own.donor_user END AS donor_user
        FROM sd LEFT JOIN pp ON pp.day = sd.day AND sd.pool_size > 1
-                           AND pp.pool_idx = {draw_sql(7, 'sd.impression_id')} % GREATEST(sd.pool_size, 1) + 1)"""
+                           AND pp.pool_idx = {draw_sql(7, 'sd.impression_id')} % GREATEST(sd.pool_size, 1) + 1
+       LEFT JOIN pool own ON own.day = sd.day AND own.history = sd.history)"""
 
 
 @register("daily_history_pool", with_("impr", extra=POOL_SQL) + "SELECT day, pool_size FROM sz")
 def q_daily_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.daily_pools(hist_days(spark, sf_dir)).select("day", "pool_size").distinct()
+    points = hist_days(spark, sf_dir)[1]
+    return points.where("n > 0").select("day", "content").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("pool_size"))
 
 
-@register("donor_same_day", with_("impr", extra=POOL_SQL) + "SELECT impression_id, donor_history FROM dn")
+@register("donor_same_day", with_("impr", extra=POOL_SQL) + f"""SELECT impression_id, CAST(donor_user AS BIGINT) AS donor_user,
+  CAST(len({arr_sql('donor_history')}) AS BIGINT) AS donor_len, array_to_string({lastn_sql(arr_sql('donor_history'), str(HISTORY_LEN))}, ' ') AS donor_tail FROM dn""")
 def q_donor_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = H.donor_same_day(hist_days(spark, sf_dir).select("impression_id", "day", "history"), 7)
-    return d.select("impression_id", "donor_history")
+    """Who lends a history, how long it is, and the ids of it that reach a model."""
+    index, points = hist_days(spark, sf_dir)
+    d = materialize(CI.day_donors(points, 7))
+    tail = CI.last_items(d, index.withColumnRenamed("user_id", "donor_user"), HISTORY_LEN, "impression_id", "donor_user", n_col="donor_n")
+    return d.join(tail, "impression_id").select("impression_id", F.col("donor_user").cast("long").alias("donor_user"), F.col("donor_n").alias("donor_len"), joined(F.col("items")).alias("donor_tail"))
+
+
+def swap_parts(spark: SparkSession, sf_dir: str, own: int, donor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the slates' points, and (impression_id, own, donor): the last ids of the own and of the donor's history."""
+    index, points = hist_days(spark, sf_dir)
+    d = CI.day_donors(points, 7)
+    mine = CI.last_items(points, index, own, "impression_id").withColumnRenamed("items", "own")
+    theirs = CI.last_items(d, index.withColumnRenamed("user_id", "donor_user"), donor, "impression_id", "donor_user", n_col="donor_n").withColumnRenamed("items", "donor")
+    return index, points, mine.join(theirs, "impression_id")
 
 
 @register("history_swap", with_("impr", extra=POOL_SQL) + f"""SELECT impression_id, array_to_string(list_concat(
   {lastn_sql(arr_sql('donor_history'), '2')}, {lastn_sql(arr_sql('history'), '3')}), ' ') AS swapped FROM dn""")
 def q_history_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily-donor swap with pivot 2 and max history 5."""
-    d = H.donor_same_day(hist_days(spark, sf_dir).select("impression_id", "day", "history"), 7)
-    sw = H.swap_history(parse_history("history"), parse_history("donor_history"), 2, 5)
-    return d.select("impression_id", F.array_join(sw, " ").alias("swapped"))
+    parts = swap_parts(spark, sf_dir, 3, 2)[2]
+    return parts.select("impression_id", joined(H.swap_history("own", "donor", 2, 5)).alias("swapped"))
 
 
 @register("history_swap_permuted", with_("impr", extra=HIST_CTE + f""",
-hp AS (SELECT impression_id, {arr_sql('history')} AS h,
+hp AS (SELECT impression_id, {lastn_sql(arr_sql('history'), str(HISTORY_LEN))} AS h,
         row_number() OVER (ORDER BY {draw_sql(1, 'impression_id')}, impression_id) AS p1,
         row_number() OVER (ORDER BY {draw_sql(2, 'impression_id')}, impression_id) AS p2 FROM hist)""")
     + f"""SELECT a.impression_id, array_to_string(list_concat({lastn_sql('b.h', '2')}, {lastn_sql('a.h', 'len(a.h) - 2')}), ' ') AS swapped
 FROM hp a JOIN hp b ON b.p2 = a.p1""")
 def q_swap_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor = the history at the same position of a second random permutation."""
-    h = hist(spark, sf_dir).select("impression_id", parse_history("history").alias("h"))
+    h = materialize(tails(spark, sf_dir).select("impression_id", F.col("items").cast("array<string>").alias("h")))
     p1 = row_positions(h.withColumn("_d", md5_draw(1, "impression_id")), ["_d", "impression_id"], [], "pos", uniform_range=2 ** 32).drop("_d")
     p2 = row_positions(h.withColumn("_d", md5_draw(2, "impression_id")), ["_d", "impression_id"], [], "pos", uniform_range=2 ** 32) \
         .select("pos", F.col("h").alias("donor"))
@@ -224,32 +245,42 @@ VARIANTS = ["full", "last3", "swap2", "remove"]
 
 
 def variant_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(impression_id, variant, history array) for every slate."""
-    d = H.donor_same_day(hist_days(spark, sf_dir).select("impression_id", "day", "history"), 7)
-    own, don = parse_history("history"), parse_history("donor_history")
+    """(impression_id, variant, history array) for every slate; a history is its last ``HISTORY_LEN`` ids."""
+    parts = swap_parts(spark, sf_dir, HISTORY_LEN, 2)[2]
     v = F.array(
-        F.struct(F.lit("full").alias("variant"), own.alias("h")),
-        F.struct(F.lit("last3").alias("variant"), last_n(own, 3).alias("h")),
-        F.struct(F.lit("swap2").alias("variant"), H.swap_history(own, don, 2, 5).alias("h")),
-        F.struct(F.lit("remove").alias("variant"), F.filter(own, lambda x: F.lit(False)).alias("h")))
-    return d.select("impression_id", F.explode(v).alias("x")).select("impression_id", "x.variant", "x.h")
+        F.struct(F.lit("full").alias("variant"), F.col("own").alias("h")),
+        F.struct(F.lit("last3").alias("variant"), last_n(F.col("own"), 3).alias("h")),
+        F.struct(F.lit("swap2").alias("variant"), H.swap_history("own", "donor", 2, 5).alias("h")),
+        F.struct(F.lit("remove").alias("variant"), F.slice("own", 1, 0).alias("h")))
+    return parts.select("impression_id", F.explode(v).alias("x")).select("impression_id", "x.variant", "x.h")
 
 
 def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slate rows scored under each history variant: bagged score + 0.1 when the
-    candidate's category occurs among the history items' categories."""
-    im = B.impr(spark, sf_dir)
-    part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hid"), F.col("p_type").alias("category"))
-    vh = materialize(variant_histories(spark, sf_dir))
-    cats = (vh.select("impression_id", "variant", F.explode("h").alias("hid"))
-              .withColumn("hid", F.col("hid").cast("long")).join(part, "hid")
-              .select("impression_id", "variant", "category").distinct().withColumn("_m", F.lit(1)))
-    rows = im.select("impression_id", "item_id", "category", "label",
-                     ((F.col("s0") + F.col("s1") + F.col("s2")) / F.lit(3.0)).alias("base"))
-    rv = rows.join(vh.select("impression_id", "variant"), "impression_id")
-    sc = rv.join(cats, ["impression_id", "variant", "category"], "left").fillna(0, ["_m"])
-    return sc.select("impression_id", "item_id", "variant", F.col("label").cast("double").alias("y_true"),
-                     (F.col("base") + F.lit(0.1) * F.col("_m")).alias("y_pred"))
+    candidate's category occurs among the history items' categories.
+
+    In the full history it does if the user's first click in that category is
+    among the slate's first ``n``; the short variants are at most five items.
+    """
+    im = materialize(B.impr(spark, sf_dir).select("impression_id", "user_id", "ts", "item_id", "category", "label",
+                                                  ((F.col("s0") + F.col("s1") + F.col("s2")) / F.lit(3.0)).alias("base")))
+    index, points = hist_days(spark, sf_dir, im)
+    part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_type")
+    donors = CI.day_donors(points, 7)
+    back = lambda n, k: F.sequence(F.greatest(F.col(n) - (k - 1), F.lit(1)), F.col(n))
+    own = points.where("n > 0").select("impression_id", "user_id", F.lit(True).alias("own"), F.explode(back("n", 3)).alias("pos"))
+    theirs = donors.where("donor_n > 0").select("impression_id", F.col("donor_user").alias("user_id"), F.lit(False).alias("own"), F.explode(back("donor_n", 2)).alias("pos"))
+    few = CI.fetch(own.unionByName(theirs), index, ["impression_id", "own"]).join(part, "item_id")
+    few = few.groupBy("impression_id").agg(F.collect_set(F.when(F.col("own"), F.col("p_type"))).alias("last3"), F.collect_set("p_type").alias("swap2"))   # at most 5
+    first = index.join(part, "item_id").groupBy("user_id", F.col("p_type").alias("category")).agg(F.min("pos").alias("first_pos"))
+    rows = im.select("impression_id", "user_id", "item_id", "category", "label", "base")
+    at = points.select("impression_id", "n").join(few, "impression_id", "left")
+    j = rows.join(at, "impression_id").join(first, ["user_id", "category"], "left")
+    has = {"full": F.col("first_pos") <= F.col("n"), "last3": F.array_contains("last3", F.col("category")),
+           "swap2": F.array_contains("swap2", F.col("category")), "remove": F.lit(False)}
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.coalesce(c, F.lit(False)).cast("int").alias("m")) for v, c in has.items()])
+    return j.select("impression_id", "item_id", F.col("label").cast("double").alias("y_true"), "base", F.explode(variants).alias("x")).select(
+        "impression_id", "item_id", "x.variant", "y_true", (F.col("base") + F.lit(0.1) * F.col("x.m")).alias("y_pred"))
 
 
 DRIFT_SQL = HIST_CTE + ",\n" + POOL_SQL.split(HIST_CTE + ",\n", 1)[1] + f""",

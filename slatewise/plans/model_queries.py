@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 from slatewise.functions.common import r6
 from slatewise.operators import classification as C
+from slatewise.operators import click_index as CI
 from slatewise.operators import ensemble as EN
 from slatewise.operators import interactions as I
 from slatewise.operators import models as M
 from slatewise.operators import sampling as SA
-from slatewise.operators.slates import explode_slate, parse_history
-from slatewise.functions.common import last_n
+from slatewise.operators.slates import explode_slate
 from slatewise.plans import bindings as B
 from slatewise.plans.candidate_queries import experiment_inputs, method_scores
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
 from slatewise.session import materialize
 from slatewise.plans.sampling_queries import draw_sql
-from slatewise.plans.slate_queries import HIST_CTE, UHIST_CTE, hist, inter_cut
+from slatewise.plans.slate_queries import HIST_CTE, UHIST_CTE, click_log, inter_cut, tails
 
 MODELS = list(B.MODEL_NAMES.values())
 
@@ -35,12 +35,14 @@ prof AS (SELECT hx.user_id, COALESCE(p.p_type, 'Unknown') AS category, COUNT(*)
 
 def category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user, category, n) over every behavior row's history; an empty history
-    counts one ``Unknown`` (explode_outer of [] gives one null)."""
-    h = hist(spark, sf_dir).select("user_id", F.explode_outer(parse_history("history")).alias("hid"))
+    counts one ``Unknown``. A click counts once for each later slate of its user, so no history is built."""
+    slates, clicks = click_log(spark, sf_dir)
+    after, points = CI.slates_after(slates, clicks)
     part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pk"), "p_type")
-    j = h.join(part, h.hid.cast("long") == part._pk, "left")
-    return (j.groupBy("user_id", F.coalesce("p_type", F.lit("Unknown")).alias("category"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    seen = after.where("after > 0").join(part, F.col("item_id") == F.col("_pk"), "left").select(
+        "user_id", F.coalesce("p_type", F.lit("Unknown")).alias("category"), F.col("after").alias("n"))
+    empty = points.where("n = 0").select("user_id", F.lit("Unknown").alias("category"), F.lit(1).cast("long").alias("n"))
+    return seen.unionByName(empty).groupBy("user_id", "category").agg(F.sum("n").alias("n"))
 
 
 @register("category_profile", with_("impr", extra=PROFILE_SQL) + "SELECT user_id, category, n FROM prof")
@@ -90,7 +92,7 @@ def q_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_type")
     cl = (B.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
           .select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_nationkey") / 9).cast("int").alias("cluster")))
-    h = hist(spark, sf_dir).select("impression_id", F.array_join(last_n(parse_history("history"), 50), " ").alias("history"))
+    h = tails(spark, sf_dir, 50).select("impression_id", F.array_join(F.col("items").cast("array<string>"), " ").alias("history"))
     rows = (ex.join(cl, "user_id").join(part, "item_id", "left")
               .withColumn("category", F.coalesce("p_type", F.lit("Unknown"))).join(h, "impression_id")
               .withColumn("row_id", F.col("impression_id") * F.lit(1000000) + F.col("item_id")))

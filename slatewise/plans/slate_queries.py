@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from slatewise.functions.common import draw_fraction, md5_draw, ts_string
 from slatewise.functions.text import STOP_WORDS, clean_text
 from slatewise.operators import candidates as CA
+from slatewise.operators import click_index as CI
 from slatewise.operators import interactions as I
 from slatewise.operators import slates as S
 from slatewise.plans import bindings as B
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
+from slatewise.session import materialize
 
 TS_FMT_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -34,6 +36,27 @@ def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.slate_histories(slates, clicks)
 
 
+def click_log(spark: SparkSession, sf_dir: str, im: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Slates and click rows of ``impr``."""
+    im = B.impr(spark, sf_dir) if im is None else im
+    return im.select("impression_id", "user_id", "ts").distinct(), im.filter(F.col("label") == 1).select("user_id", "ts", "item_id")
+
+
+def indexed(spark: SparkSession, sf_dir: str, im: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The click index, written once, and each slate's point in it."""
+    im = materialize(B.impr(spark, sf_dir).select("impression_id", "user_id", "ts", "item_id", "label")) if im is None else im
+    slates, clicks = click_log(spark, sf_dir, im)
+    bounds = CI.time_ranges(im)
+    index = materialize(CI.click_index(clicks, bounds=bounds))
+    return index, CI.history_points(slates, index, bounds=bounds)
+
+
+def tails(spark: SparkSession, sf_dir: str, k: int = HISTORY_LEN) -> DataFrame:
+    """(impression_id, items): the last ``k`` items of each slate's history."""
+    index, points = indexed(spark, sf_dir)
+    return CI.last_items(points, index, k, "impression_id")
+
+
 HIST_CTE = """hs AS (SELECT DISTINCT impression_id, user_id, ts FROM impr),
 hist AS (SELECT s.impression_id, s.user_id, s.ts,
    (SELECT string_agg(CAST(c.item_id AS VARCHAR), ' ' ORDER BY c.ts, c.item_id) FROM impr c
@@ -161,8 +184,8 @@ def q_union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT impression_id, array_to_string(list_concat(list_transform(range(GREATEST({HISTORY_LEN} - len(h), 0)), lambda i: '0'),
    list_slice(h, GREATEST(len(h) - {HISTORY_LEN - 1}, 1), len(h))), ' ') AS padded FROM a""")
 def q_pad_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hist(spark, sf_dir)
-    return h.select("impression_id", F.array_join(S.pad_history(S.parse_history("history"), HISTORY_LEN), " ").alias("padded"))
+    h = tails(spark, sf_dir).select("impression_id", F.col("items").cast("array<string>").alias("h"))
+    return h.select("impression_id", F.array_join(S.pad_history("h", HISTORY_LEN), " ").alias("padded"))
 
 
 @register("dedupe_keep_last", with_("inter") + """SELECT user_id, event_id, item_id FROM (

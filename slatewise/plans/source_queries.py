@@ -16,11 +16,11 @@ from slatewise.operators import interactions as I
 from slatewise.operators.slates import TIME_FORMAT, parse_time
 from slatewise.plans import bindings as B
 from slatewise.plans.ensemble_queries import THR_PRF_BODY
-from slatewise.plans.history_queries import DRIFT_SQL, variant_histories
+from slatewise.plans.history_queries import DRIFT_SQL, arr_sql, lastn_sql, variant_histories
 from slatewise.plans.metric_queries import AUC_BODY, BEST_BODY, CURVE_BODY, TRACKER_BODY
 from slatewise.plans.oracle import with_
 from slatewise.plans.registry import register
-from slatewise.plans.slate_queries import CLUSTER_SQL, HIST_CTE, hist, inter_clusters, inter_cut
+from slatewise.plans.slate_queries import CLUSTER_SQL, HIST_CTE, HISTORY_LEN, inter_clusters, tails, inter_cut
 from slatewise.sources import files as FS
 
 
@@ -42,14 +42,18 @@ def q_read_news(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length(ab).cast("bigint").alias("abstract_len"), F.md5(ab).alias("abstract_md5"), "URL")
 
 
-@register("read_behaviors", with_("impr", "behav", extra=HIST_CTE) + """SELECT b.impression_id AS ImpressionID, 'U' || CAST(b.user_id AS VARCHAR) AS UserID,
-  strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS Time, COALESCE(h.history, '') AS HistoryText, b.impressions AS Impressions
+# the last HISTORY_LEN ids of a history string
+TAIL_SQL = lastn_sql(arr_sql("h.history"), str(HISTORY_LEN))
+
+
+@register("read_behaviors", with_("impr", "behav", extra=HIST_CTE) + f"""SELECT b.impression_id AS ImpressionID, 'U' || CAST(b.user_id AS VARCHAR) AS UserID,
+  strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS Time, array_to_string({TAIL_SQL}, ' ') AS HistoryText, b.impressions AS Impressions
 FROM behav b JOIN hist h USING (impression_id)""")
 def q_read_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impression log written as the 5-column behaviors TSV (time as
     'M/d/yyyy h:mm:ss a', missing history empty) and read back."""
     b = B.behav(spark, sf_dir)
-    h = hist(spark, sf_dir).select("impression_id", "history")
+    h = tails(spark, sf_dir).select("impression_id", F.when(F.size("items") > 0, F.array_join(F.col("items").cast("array<string>"), " ")).alias("history"))
     tsv = b.join(h, "impression_id").select(
         F.col("impression_id").alias("ImpressionID"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("UserID"),
         F.date_format("ts", TIME_FORMAT).alias("Time"), F.col("history").alias("HistoryText"),
@@ -106,7 +110,7 @@ def q_read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("write_eval_variant", with_("impr", extra=DRIFT_SQL)
-    + "SELECT variant, COUNT(*) AS rows, CAST(SUM(len(h)) AS BIGINT) AS total_len FROM vh GROUP BY variant")
+    + "SELECT variant, COUNT(*) AS rows, CAST(SUM(LEAST(len(h), 50)) AS BIGINT) AS total_len FROM vh GROUP BY variant")
 def q_write_eval_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History variants written one folder per variant and read back."""
     v = variant_histories(spark, sf_dir)

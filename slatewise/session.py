@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,9 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage of a reused intermediate by a reliable checkpoint in the
-    session's shared ``spark.checkpoint.dir`` (never a local checkpoint): the
-    later plan reads the written table instead of re-planning the whole
-    lineage at every use, and survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage of a reused intermediate: written as Parquet into the session's shared ``spark.checkpoint.dir`` (never a
+    local checkpoint) and read back. Later plans read the written table, with its columns and statistics, and it
+    survives the loss of executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
