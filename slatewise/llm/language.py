@@ -63,6 +63,11 @@ def script_of(word: str) -> int:
     return _SCRIPT[bisect_right(_FIRST, ord(word[0])) - 1]
 
 
+def only_letters(word: str) -> list[str]:
+    """A run of ``LETTERS`` without what is a number but no decimal digit, such as fractions, superscripts and circled digits."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
+
+
 def words(text: str) -> Iterator[list[str]]:
     """The words of a text, piece by piece; pieces end between letters and other characters."""
     at = 0
@@ -70,7 +75,8 @@ def words(text: str) -> Iterator[list[str]]:
         stop = min(len(text), at + PIECE)
         while stop < len(text) and text[stop - 1].isalpha() and stop - at < 2 * PIECE:
             stop += 1
-        yield LETTERS.findall(text[at:stop].lower())
+        found = LETTERS.findall(text[at:stop].lower())
+        yield found if not found or "".join(found).isalpha() else [part for word in found for part in only_letters(word)]
         at = stop
 
 
