@@ -114,3 +114,39 @@ def day_donors(points: DataFrame, seed: int | str, key_col: str = "impression_id
     drawn = donor_same_day(points.select(key_col, day_col, "content"), seed, key_col, day_col, "content")
     first = points.where("n > 0").groupBy(day_col, F.col("content").alias("donor_history")).agg(F.min(user_col).alias("donor_user"), F.first("n").alias("donor_n"))
     return drawn.join(first, [day_col, "donor_history"], "left").select(key_col, "donor_user", F.coalesce("donor_n", F.lit(0)).alias("donor_n"))
+
+
+def new_ids(log: DataFrame, user_col: str = "user_id", ts_col: str = "ts", history_col: str = "history", row_col: str = "impression_id",
+            bounds: list[int] | None = None) -> DataFrame:
+    """(user, t, row, place, item) of the ids in an impression log's history strings, without those that merely repeat.
+
+    A row mostly repeats the one before, with newer ids behind and perhaps the oldest gone in front. Where the list begins
+    inside the previous one and agrees with all that follows there, only what comes after is new and only that is exploded;
+    any other list is exploded whole, so first occurrences are the same either way. Rows are compared within (user, time range).
+    """
+    from slatewise.operators.slates import parse_history
+
+    bounds = time_ranges(log, ts_col) if bounds is None else bounds
+    rows = log.where(F.col(user_col).isNotNull()).select(user_col, micros(ts_col).alias("t"), F.col(row_col).alias("_row"), parse_history(history_col).alias("_ids"))
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("t")))
+    near = Window.partitionBy(user_col, "_range").orderBy("t", "_row")
+    rows = rows.where(F.size("_ids") > 0).withColumn("_range", at).withColumn("_last", F.lag("_ids").over(near))
+    start = F.array_position("_last", F.get("_ids", F.lit(0)))   # where the list begins in the previous one, from 1; 0: nowhere
+    kept = F.size("_last") - start.cast("int") + 1
+    repeats = F.col("_last").isNotNull() & (start > 0) & (kept <= F.size("_ids")) & (
+        F.slice("_last", F.greatest(start, F.lit(1)).cast("int"), F.size("_last")) == F.slice("_ids", 1, F.greatest(kept, F.lit(0))))
+    rows = rows.select(user_col, "t", "_row", "_ids", F.when(repeats, kept).otherwise(0).alias("_skip"))
+    fresh = F.slice("_ids", F.col("_skip") + 1, F.greatest(F.size("_ids") - F.col("_skip"), F.lit(0)))
+    return rows.select(user_col, "t", "_row", "_skip", F.posexplode(fresh).alias("_p", "item_id")).select(
+        user_col, "t", "_row", (F.col("_p") + F.col("_skip")).alias("_place"), "item_id")
+
+
+def log_history(log: DataFrame, cutoff, user_col: str = "user_id", ts_col: str = "ts", history_col: str = "history", row_col: str = "impression_id",
+                bounds: list[int] | None = None) -> DataFrame:
+    """Long history (user, pos, item) from the history strings of an impression log: the ids of all the user's rows at or
+    before the cutoff, in time, row and list order, the first occurrence of each kept."""
+    bounds = time_ranges(log, ts_col) if bounds is None else bounds
+    each = new_ids(log.where(F.col(ts_col) <= F.lit(cutoff).cast("timestamp_ntz")), user_col, ts_col, history_col, row_col, bounds)
+    first = each.groupBy(user_col, "item_id").agg(F.min(F.struct("t", "_row", "_place")).alias("f")).select(user_col, "item_id", "f.*", F.lit(1).cast("long").alias("_one"))
+    numbered = running_sums(first, user_col, ["t", "_row", "_place"], ["_one"], bounds)
+    return numbered.select(user_col, (F.col("before__one") + 1).alias("pos"), "item_id")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.functions.common import draw_fraction, md5_draw, ts_string
+from slatewise.functions.common import draw_fraction, last_n, md5_draw, ts_string
 from slatewise.functions.text import STOP_WORDS, clean_text
 from slatewise.operators import candidates as CA
 from slatewise.operators import click_index as CI
@@ -232,10 +232,32 @@ UHIST_CTE = """fh AS (SELECT user_id, item_id, MIN((ts, event_id)) AS f FROM int
 uh AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY f, item_id) AS pos FROM fh)"""
 
 
-@register("user_history_ids", with_("inter", "cut", extra=UHIST_CTE) + "SELECT user_id, pos, item_id FROM uh")
+# Ids that users bring along from before the log (in no click), and the last HISTORY_LEN ids of each row
+BEFORE_SQL = "['P' || CAST(user_id % 97 AS VARCHAR), 'P' || CAST(user_id % 89 + 200 AS VARCHAR), 'P' || CAST(user_id % 97 AS VARCHAR)]"
+LOG_SQL = HIST_CTE + f""",
+lh AS (SELECT impression_id, user_id, ts, list_concat({BEFORE_SQL}, list_filter(string_split(coalesce(history, ''), ' '), lambda x: x <> '')) AS h FROM hist),
+lcut AS (SELECT make_timestamp(CAST((epoch_us(MIN(ts)) + (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) // 2) AS BIGINT)) AS cutoff FROM impr),
+lx AS (SELECT impression_id, user_id, ts, unnest(h) AS item_id, unnest(range(len(h))) AS p FROM (
+        SELECT impression_id, user_id, ts, list_slice(h, GREATEST(len(h) - {HISTORY_LEN - 1}, 1), len(h)) AS h FROM lh, lcut WHERE ts <= cutoff) x),
+lf AS (SELECT user_id, item_id, MIN((epoch_us(ts), impression_id, p)) AS f FROM lx GROUP BY user_id, item_id)"""
+
+
+def impression_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(impression_id, user_id, ts, history): a log whose history strings begin with ids from before the log."""
+    im = materialize(B.impr(spark, sf_dir).select("impression_id", "user_id", "ts", "item_id", "label"))
+    index, points = indexed(spark, sf_dir, im)
+    user = F.col("user_id")
+    before = F.array(*[F.concat(F.lit("P"), c.cast("string")) for c in (user % 97, user % 89 + 200, user % 97)])
+    ids = last_n(F.concat(before, F.col("items").cast("array<string>")), HISTORY_LEN)
+    return points.select("impression_id", "user_id", "ts").join(CI.last_items(points, index, HISTORY_LEN, "impression_id"), "impression_id").select(
+        "impression_id", "user_id", "ts", F.array_join(ids, " ").alias("history"))
+
+
+@register("user_history_ids", with_("impr", extra=LOG_SQL) + "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY f) AS pos, item_id FROM lf")
 def q_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    it, cut = inter_cut(spark, sf_dir)
-    return I.user_history(it, cut).select("user_id", F.col("pos").cast("bigint").alias("pos"), "item_id")
+    """Ids of the log's history strings up to the midpoint, first occurrence kept."""
+    log = materialize(impression_log(spark, sf_dir))
+    return CI.log_history(log, I.midpoint_value(log)).select("user_id", "pos", "item_id")
 
 
 @register("viable_donors", with_("inter", "cut", extra=UHIST_CTE) + "SELECT DISTINCT user_id FROM uh")
