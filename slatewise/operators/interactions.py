@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def interactions_from_log(log: DataFrame) -> DataFrame:
+    """(event_id, user_id, ts, item_id, label) of a behaviors log as read (ImpressionID, UserID, Time, HistoryText, Impressions):
+    one row per shown item. The slate is the order among events of one time; rows without a time or user stay, with null."""
+    from slatewise.operators.slates import explode_slate, parse_time
+
+    rows = log.select(F.col("ImpressionID").alias("event_id"), F.col("UserID").alias("user_id"), parse_time("Time").alias("ts"), F.col("Impressions").alias("impressions"))
+    return explode_slate(rows, strict=False).select("event_id", "user_id", "ts", F.col("candidate_id").alias("item_id"), "label")
+
+
 def midpoint_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     """One row: min + (max - min) / 2 (microsecond floor)."""
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))

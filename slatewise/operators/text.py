@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.operators.positions import row_positions
+from slatewise.operators.ids import id_dictionary, numeric
 from slatewise.session import materialize
 
 #: Vector entries of a block: what one side of a similarity task holds, about 16 bytes each.
@@ -118,6 +119,15 @@ def sparse_topk(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     terms. A frequent term is spread over all blocks, and a pair is a row only after the cut to k or the
     threshold; a window per left key merges at most (right blocks x k) rows.
     """
+    if not (numeric(left, left_key) and numeric(right, right_key)):
+        # keys of any type travel as numbers in their order
+        some = lambda key, *frames: id_dictionary(*[(f, key) for f in frames if f is not None])
+        ls, rs = some(left_key, left, left_ids, exclude), some(right_key, right, right_ids, exclude)
+        found = sparse_topk(ls.encode(left, left_key), rs.encode(right, right_key), left_key, right_key, k, min_similarity,
+                            None if exclude is None else rs.encode(ls.encode(exclude, left_key), right_key),
+                            None if left_ids is None else ls.encode(left_ids.select(left_key), left_key),
+                            None if right_ids is None else rs.encode(right_ids.select(right_key), right_key), block_terms)
+        return rs.decode(ls.decode(found, left_key), right_key)
     lv, rv = (materialize(packed_vectors(*x)) for x in ((left, left_key, left_ids), (right, right_key, right_ids)))
     # two numbers a side: entries, and keys (a key without terms takes room, too)
     n_l, n_r = (max(1, -(-int(v.agg(F.sum(F.coalesce(F.size("t"), F.lit(0)) + 1)).first()[0] or 0) // block_terms)) for v in (lv, rv))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatewise.operators.ids import id_dictionary, numeric
+
 BLOCK_ROWS = 20_000
 USER_CHUNK = 256
 
@@ -73,6 +75,10 @@ def cosine_topk(users: DataFrame, items: DataFrame, k: int, user_col: str = "use
     per user. A per-user window merges at most (item blocks x k) candidates.
     Nothing goes through the driver but the two row counts.
     """
+    if not (numeric(users, user_col) and numeric(items, item_col)):
+        us, its = id_dictionary((users, user_col)), id_dictionary((items, item_col))
+        top = cosine_topk(us.encode(users, user_col), its.encode(items, item_col), k, user_col, item_col, user_vec, item_vec)
+        return its.decode(us.decode(top, user_col), item_col)
     n_u, n_i = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (users, items))
 
     def blocks(df: DataFrame, key: str, vec: str, mine: str, own: int, other: str, others: int) -> DataFrame:
