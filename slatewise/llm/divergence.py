@@ -47,7 +47,7 @@ SOURCE_BLOCK = 64
 TERM_BLOCK = 4096
 
 PACKS = "pack long, groups array<struct<lang:string,source:string>>, doc_groups binary, doc_chunks binary, codes binary, counts binary, chunks array<struct<chunk:string,docs:long>>"
-PARTS = "lang string, term string, docs long, by array<struct<source:string,n:long>>"
+PARTS = "lang string, term string, docs long, sources array<string>, ns array<long>"
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -172,7 +172,7 @@ def chunk_terms(packs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def _judge(key: tuple, packs: pa.Table, back: pa.Table) -> pa.Table:
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("by", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
     if not packs.num_rows or not back.num_rows:
         return schema.empty_table()
     row = {n: packs.column(n)[0].as_py() for n in ("groups", "doc_groups", "doc_chunks", "codes", "counts")}
@@ -202,19 +202,20 @@ def _judge(key: tuple, packs: pa.Table, back: pa.Table) -> pa.Table:
     cells, n = summed((lang_of[group] * n_terms + term) * len(row["groups"]) + group, n)
     owners, n_docs = np.unique(lang_of[group] * n_terms + term, return_counts=True)
     starts = np.searchsorted(cells // len(row["groups"]), owners)
-    offsets = np.concatenate((starts, [len(cells)])).astype(np.int32)
+    offsets = pa.array(np.concatenate((starts, [len(cells)])).astype(np.int32))
     sources = pa.array([g["source"] for g in row["groups"]], pa.string())
-    by = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([sources.take(pa.array(cells % len(row["groups"]))), pa.array(n)], names=["source", "n"]))
+    by = [pa.ListArray.from_arrays(offsets, x) for x in (sources.take(pa.array(cells % len(row["groups"]))), pa.array(n))]
     return pa.Table.from_arrays([pa.array(langs, pa.string()).take(pa.array(owners // n_terms)), coded.dictionary.take(pa.array(owners % n_terms)),
-                                 pa.array(n_docs, pa.int64()), by], schema=schema)
+                                 pa.array(n_docs, pa.int64()), *by], schema=schema)
 
 
 def count_terms(packs: DataFrame, back: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, term, n): occurrences of the terms in at least ``min_docs`` documents of their lang."""
-    parts = packs.drop("chunks").groupBy("pack").cogroup(back.groupBy("to")).applyInArrow(_judge, PARTS).repartition("lang", "term")
-    kept = parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
-    cells = parts.select("lang", "term", F.inline("by")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    return save(cells.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"), "term-counts")
+    parts = packs.drop("chunks").groupBy("pack").cogroup(back.groupBy("to")).applyInArrow(_judge, PARTS)
+    # one shuffle of the parts: a term is at most one row a pack
+    kept = parts.withColumn("all_docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("all_docs") >= min_docs)
+    cells = kept.select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("ns").alias("n"))))
+    return save(cells.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).select("lang", "source", "term", "n"), "term-counts")
 
 
 def share(n: str, total: str) -> Column:
