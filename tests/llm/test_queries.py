@@ -28,7 +28,7 @@ def bag(rows):
 
 @pytest.mark.parametrize("key", ALL)
 def test_no_cross_or_nested_loop_join(spark, key):
-    assert len(ALL) == 11
+    assert len(ALL) == 14
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
