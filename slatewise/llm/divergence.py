@@ -155,7 +155,7 @@ def pack_chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         if pack.doc_groups:
             yield _batch(pack.row(number))
 
-    return save(rows.mapInArrow(run, PACKS), "chunk-packs")
+    return save(rows.mapInArrow(run, PACKS), "chunk-packs", "zstd")
 
 
 def terms_of(chunk: Column) -> Column:
@@ -166,7 +166,7 @@ def chunk_terms(packs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(to, no, term): for each chunk ``no`` of each pack ``to`` its terms, repeated as in the chunk, that may be in ``min_docs`` documents."""
     met = packs.select(F.col("pack").alias("to"), F.posexplode("chunks").alias("no", "c")).select("to", "no", "c.*")
     tokens = met.groupBy("chunk").agg(F.sum("docs").alias("docs")).select("chunk", "docs", F.explode(terms_of(F.col("chunk"))).alias("term"))
-    tokens = save(tokens, "chunk-tokens")
+    tokens = save(tokens, "chunk-tokens", "zstd")
     possible = tokens.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("term")
     return met.select("to", "no", "chunk").join(tokens.join(possible, "term").select("chunk", "term"), "chunk").select("to", "no", "term")
 

@@ -35,11 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``compression`` is the Parquet codec, the session's unless given.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
