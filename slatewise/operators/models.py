@@ -16,6 +16,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.session import materialize
+
 
 def assemble(df: DataFrame, feature_cols: list[str], out_col: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=feature_cols, outputCol=out_col, handleInvalid="keep").transform(df)
@@ -58,6 +60,19 @@ def score_logistic(model, df: DataFrame, feature_cols: list[str], out_col: str =
     return s.withColumn(out_col, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def out_of_fold_scores(df: DataFrame, feature_cols: list[str], label_col: str, key_cols: list[str], folds: int = 3,
+                       seed: int = 42, out_col: str = "y_pred") -> DataFrame:
+    """Every row scored by a class-balanced logistic model that was fitted on the other folds only. A row's fold is a hash of
+    its keys, so rows that share them share a fold."""
+    d = materialize(df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(folds))))
+    out = None
+    for fold in range(folds):
+        model = fit_logistic(class_balanced(d.where(F.col("_fold") != fold), label_col, "_w"), feature_cols, label_col, "_w")
+        scored = score_logistic(model, d.where(F.col("_fold") == fold), feature_cols, out_col).drop("_fold")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def coefficients(model, feature_cols: list[str]) -> list[tuple[str, float]]:
     return [(c, float(w)) for c, w in zip(feature_cols, model.coefficients.toArray())] + [("intercept", float(model.intercept))]
 

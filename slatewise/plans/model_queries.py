@@ -164,13 +164,13 @@ def q_stacking_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("calibrate_isotonic")
 def q_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration of the stacking scores (fit on train, applied to validation)."""
+    """Isotonic calibration of the stacking scores: fitted on training scores from models that did not see the row (three
+    hash folds), applied to the validation scores of the model of all training rows."""
     s, feats = wide_train_val(spark, sf_dir)
-    train = M.class_balanced(s.filter(F.col("side") == "train"), "y_true")
-    model = M.fit_logistic(train, feats, "y_true", "weight")
-    scored = M.score_logistic(model, s, feats, "meta")
-    cal = M.calibrate_isotonic(scored.filter(F.col("side") == "train"), "meta", "y_true",
-                               scored.filter(F.col("side") == "test"))
+    train = s.filter(F.col("side") == "train")
+    model = M.fit_logistic(M.class_balanced(train, "y_true"), feats, "y_true", "weight")
+    unseen = M.out_of_fold_scores(train, feats, "y_true", ["impression_id", "row_id"], out_col="meta")
+    cal = M.calibrate_isotonic(unseen, "meta", "y_true", M.score_logistic(model, s.filter(F.col("side") == "test"), feats, "meta"))
     return cal.select("row_id", r6(F.col("meta")).alias("meta"), r6(F.col("calibrated")).alias("calibrated"))
 
 

@@ -11,6 +11,20 @@ def test_isotonic_is_monotone_and_bounded(spark, registry):
     assert all(a <= b + 1e-12 for a, b in zip(cal, cal[1:]))
 
 
+def test_out_of_fold_scores_never_see_their_own_labels(spark):
+    from slatewise.operators import models as M
+    df = spark.range(600).selectExpr("id", "rand(1) as x", "rand(2) as z").selectExpr("id", "x", "z", "cast(x + z * 0.2 > 0.6 as double) as y")
+    fold = F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(3))
+    flipped = df.withColumn("y", F.when(fold == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    a, b = ({r["id"]: r["y_pred"] for r in M.out_of_fold_scores(d, ["x", "z"], "y", ["id"]).collect()} for d in (df, flipped))
+    own = {r["id"] for r in df.where(fold == 0).select("id").collect()}
+    assert len(a) == len(b) == 600 and 0 < len(own) < 600
+    assert max(abs(a[i] - b[i]) for i in own) < 1e-6
+    assert min(abs(a[i] - b[i]) for i in set(a) - own) > 0
+    label = {r["id"]: r["y"] for r in df.collect()}
+    assert sum(a[i] for i in a if label[i]) / sum(label.values()) > 0.8
+
+
 def test_kmeans_assigns_every_user(spark, registry):
     df = registry.QUERIES["user_kmeans"](spark, SF)
     assert {r["cluster"] for r in df.select("cluster").distinct().collect()} <= {0, 1, 2}
