@@ -41,6 +41,8 @@ ROWS = 5
 MISS = 1e-8
 SIGMAS = 5
 BLOCK = 1024
+#: Into how many parts a component's rows are dealt to get its smallest identifier.
+PARTS = 256
 SEED = 20_240_917
 
 
@@ -223,8 +225,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(labels.select(F.col("labelled").alias("u"), F.col("component").alias("v")).unionAll(more)).select(F.col("node").alias("labelled"), "component")
     found = classes.join(labels, classes["node"] == labels["labelled"], "left").select("key", F.coalesce("component", "node").alias("component"))
     placed = rows.select("row_no", "id", "mark", "n", "key").join(found, "key", "left").withColumn("component", F.coalesce("component", "row_no"))
-    tops = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("top"))
-    return placed.join(tops, "component").select(
+    # A component may hold a third of all rows: its parts are dealt by row number, and only one row a part meets by component.
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row_no"), F.lit(PARTS)))
+    parts = placed.groupBy("component", "part").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("first"))
+    tops = parts.groupBy("component").agg(F.min("first").alias("top"))
+    spread = parts.select("component", "part").join(tops, "component")
+    return placed.join(spread, ["component", "part"]).select(
         F.col("id").alias(id_col), "mark", F.col("n").alias("n_shingles"), F.col("top.id").alias("component_id"),
         F.col("id").eqNullSafe(F.col("top.id")).alias("kept"), (F.col("row_no") == F.col("top.row_no")).alias("stays"))
 
