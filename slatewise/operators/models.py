@@ -1,9 +1,8 @@
 """Model fits for the user-level models and meta models, on Spark ML.
 
 Spark ML fits are distributed (treeAggregate over partitions); only the
-fitted coefficients come back to the driver. Segment models loop over a
-bounded, closed list of segments (clusters, categories), each fit is a
-distributed job over that segment's rows.
+fitted coefficients come back to the driver. Segment and cluster models are
+fitted together, see :mod:`slatewise.operators.linear_models`.
 """
 
 from __future__ import annotations
@@ -13,9 +12,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.operators.ensemble import KEYS
+from slatewise.operators.linear_models import Spec, fit_linear, score_all
 from slatewise.session import materialize
 
 
@@ -93,17 +94,10 @@ def calibrate_isotonic(train: DataFrame, score_col: str, label_col: str, apply_t
     return m.transform(apply_to.withColumn("_f", F.col(score_col).cast("double"))).drop("_f")
 
 
-def segment_models(df: DataFrame, segment_col: str, segments: list[str], feature_cols: list[str],
-                   label_col: str = "label", key_cols: list[str] = ("row_id",), reg: float = 0.01) -> DataFrame:
-    """One logistic scorer per segment (a closed, bounded list) plus a global
-    one; each scores every row. Returns the long prediction set
-    (key..., model, y_pred)."""
-    keys = list(key_cols)
-    out = None
-    fits = [("global", df)] + [(s, df.filter(F.col(segment_col) == s)) for s in segments]
-    for name, part in fits:
-        m = fit_logistic(class_balanced(part, label_col), feature_cols, label_col, "weight", reg)
-        scored = score_logistic(m, df.select(*keys, *feature_cols), feature_cols).select(
-            *keys, F.lit(f"seg_{name}").alias("model"), "y_pred")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def segment_models(df: DataFrame, members: dict[str, Column], feature_cols: list[str], label_col: str = "label",
+                   key_cols: list[str] = KEYS, reg: float = 0.01) -> DataFrame:
+    """One logistic scorer per segment (category, cluster, ...: a name and a condition; they may overlap) plus a global one, all
+    fitted in the same passes; each scores every row. Returns the long prediction set (key..., model, y_pred). A segment
+    whose rows have a single label has no model."""
+    specs = [Spec("seg_global", penalty=reg)] + [Spec(f"seg_{name}", rows, reg) for name, rows in members.items()]
+    return score_all(df, feature_cols, list(fit_linear(df, feature_cols, label_col, specs).values()), list(key_cols))

@@ -13,6 +13,7 @@ from slatewise.operators import classification as C
 from slatewise.operators import click_index as CI
 from slatewise.operators import ensemble as EN
 from slatewise.operators import interactions as I
+from slatewise.operators import linear_models as LM
 from slatewise.operators import models as M
 from slatewise.operators import sampling as SA
 from slatewise.operators.slates import explode_slate
@@ -149,17 +150,23 @@ def q_user_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.user_kmeans(wide, cats, 3, 42)
 
 
+# The penalty grid of the meta models.
+PENALTIES = [0.001, 0.01, 0.1, 1.0, 10.0]
+
+
 @register("stacking_fit")
 def q_stacking_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic meta model on the stacked base predictions (class-balanced,
-    stratified 80/20); coefficients plus validation AUC/AP."""
+    """Logistic and hinge meta models on the stacked base predictions (class-balanced, stratified 80/20): the penalty with the
+    best out-of-fold AUC of three folds, that AUC, coefficients of the fit over all training rows, validation AUC and AP."""
     s, feats = wide_train_val(spark, sf_dir)
-    train = M.class_balanced(s.filter(F.col("side") == "train"), "y_true")
-    model = M.fit_logistic(train, feats, "y_true", "weight")
-    val = M.score_logistic(model, s.filter(F.col("side") == "test"), feats).withColumn("model", F.lit("stacking"))
-    metrics = C.roc_auc(val).join(C.average_precision(val), "model").first()
-    rows = M.coefficients(model, feats) + [("val_auc", metrics["auc"]), ("val_ap", metrics["ap"])]
-    return spark.createDataFrame(rows, "name string, value double")
+    fits, grid = LM.cross_validated(s.filter(F.col("side") == "train"), feats, "y_true", ["impression_id", "row_id"], PENALTIES)
+    val = LM.score_all(s.filter(F.col("side") == "test"), feats, list(fits.values()), ["y_true"])
+    metrics = {r["model"]: r for r in C.roc_auc(val).join(C.average_precision(val), "model").collect()}   # one row per meta model
+    rows = [(loss, f"cv_auc_{penalty:g}", auc) for loss, penalty, auc in grid]
+    for name, fit in fits.items():
+        rows += [(name, "penalty", fit.penalty), (name, "intercept", fit.intercept), *[(name, c, w) for c, w in zip(feats, fit.weights)]]
+        rows += [(name, f"val_{m}", metrics[name][m]) for m in ("auc", "ap") if name in metrics]
+    return spark.createDataFrame(rows, "model string, name string, value double")
 
 
 @register("calibrate_isotonic")
@@ -187,12 +194,17 @@ def q_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The six part types used as training segments.
 SEGMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+CLUSTERS = [0, 1, 2]
 
 
 @register("segment_models")
 def q_segment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One logistic scorer per category segment plus a global one; each
-    scores every slate row (long prediction set)."""
-    im = materialize(B.impr(spark, sf_dir).select("row_id", "category", "label", "s0", "s1", "s2"))
-    p = M.segment_models(im, "category", SEGMENTS, ["s0", "s1", "s2"], "label", ["row_id"])
-    return p.select("row_id", "model", r6(F.col("y_pred")).alias("y_pred"))
+    """One logistic scorer per category segment and per user cluster plus a global one; each scores every slate row, of users
+    without a cluster too (long prediction set)."""
+    clusters = (B.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+                .select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_nationkey") / 9).cast("int").alias("cluster")))
+    im = B.impr(spark, sf_dir).select("impression_id", "row_id", "user_id", "category", "label", "s0", "s1", "s2")
+    im = materialize(im.join(clusters, "user_id", "left").drop("user_id"))
+    members = {**{c: F.col("category") == c for c in SEGMENTS}, **{f"cluster_{c}": F.col("cluster") == c for c in CLUSTERS}}
+    p = M.segment_models(im, members, ["s0", "s1", "s2"], "label")
+    return p.select("impression_id", "row_id", "model", r6(F.col("y_pred")).alias("y_pred"))

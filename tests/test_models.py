@@ -31,13 +31,29 @@ def test_kmeans_assigns_every_user(spark, registry):
     assert df.count() == df.select("user_id").distinct().count()
 
 
-def test_stacking_fit_is_useful(spark, registry):
-    r = {x["name"]: x["value"] for x in registry.QUERIES["stacking_fit"](spark, SF).collect()}
-    assert r["val_auc"] is not None and 0.0 <= r["val_auc"] <= 1.0
+def test_stacking_fit_reports_both_meta_models(spark, registry):
+    from slatewise.plans.model_queries import PENALTIES
+    r = {(x["model"], x["name"]): x["value"] for x in registry.QUERIES["stacking_fit"](spark, SF).collect()}
+    for model in ("logistic", "hinge"):
+        grid = {p: r[(model, f"cv_auc_{p:g}")] for p in PENALTIES}
+        assert r[(model, "penalty")] == max(p for p in grid if grid[p] == max(grid.values()))
+        assert 0.0 <= r[(model, "val_auc")] <= 1.0 and 0.0 < r[(model, "val_ap")] <= 1.0
+
+
+def test_feature_weights_find_the_informative_feature(spark, registry):
+    from slatewise.operators import models as M
+    rows = spark.range(800).selectExpr("rand(5) as a", "rand(6) as b").selectExpr("a", "b", "cast(a + 0.1 * b > 0.5 as double) as y")
+    logistic = dict(M.coefficients(M.fit_logistic(M.class_balanced(rows, "y"), ["a", "b"], "y", "weight", 0.01), ["a", "b"]))
+    trees = dict(M.fit_gbt_importances(rows, ["a", "b"], "y", max_iter=3))
+    assert logistic["a"] > 2 * abs(logistic["b"]) and trees["a"] > 2 * trees["b"] and abs(sum(trees.values()) - 1) < 1e-6
+    got = registry.QUERIES["feature_weights"](spark, SF).collect()
+    assert len(got) == 6 and {r["meta_model"] for r in got} == {"logistic", "gbt"}
 
 
 def test_segment_models_score_every_row(spark, registry):
     df = registry.QUERIES["segment_models"](spark, SF)
     assert df.filter((F.col("y_pred") < 0) | (F.col("y_pred") > 1)).count() == 0
     per = {r["model"]: r["count"] for r in df.groupBy("model").count().collect()}
-    assert len(set(per.values())) == 1 and "seg_global" in per
+    assert len(set(per.values())) == 1
+    assert set(per) == {"seg_global", *[f"seg_{s}" for s in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")], *[f"seg_cluster_{c}" for c in range(3)]}
+    assert df.count() == df.select("impression_id", "row_id", "model").distinct().count()
