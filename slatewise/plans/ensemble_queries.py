@@ -47,11 +47,11 @@ def error_weights(preds: DataFrame) -> DataFrame:
     return EN.boosting_weights(err)
 
 
-@register("join_predictions", with_("impr", "preds", extra=WIDE_BODY) + "SELECT row_id, y_true, "
+@register("join_predictions", with_("impr", "preds", extra=WIDE_BODY) + "SELECT impression_id, row_id, y_true, "
     + ", ".join(f"round(pred_{m}, 6) AS pred_{m}" for m in MODELS) + " FROM wide")
 def q_join_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = wide(spark, sf_dir)
-    return w.select("row_id", "y_true", *[r6(F.col(f"pred_{m}")).alias(f"pred_{m}") for m in MODELS])
+    return w.select(*EN.KEYS, "y_true", *[r6(F.col(f"pred_{m}")).alias(f"pred_{m}") for m in MODELS])
 
 
 @register("prediction_alignment", with_("impr", "preds") + """SELECT model, COUNT(*) AS n_rows,
@@ -70,19 +70,19 @@ def q_select_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("model", "family").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("bagging", with_("impr", "preds") + f"""SELECT row_id, ensemble, round(AVG(y_pred), 6) AS y_pred FROM (
+@register("bagging", with_("impr", "preds") + f"""SELECT impression_id, row_id, ensemble, round(AVG(y_pred), 6) AS y_pred FROM (
   SELECT impression_id, row_id, 'all' AS ensemble, y_pred FROM preds
   UNION ALL SELECT impression_id, row_id, {GROUP_SQL}, y_pred FROM preds WHERE {GROUP_SQL} IS NOT NULL) x GROUP BY impression_id, row_id, ensemble""")
 def q_bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = EN.bagging(B.preds(spark, sf_dir))
-    return b.select("row_id", "ensemble", r6(F.col("y_pred")).alias("y_pred"))
+    return b.select(*EN.KEYS, "ensemble", r6(F.col("y_pred")).alias("y_pred"))
 
 
 @register("boosting", with_("impr", "preds", extra=CURVE_BODY + ",\n" + BOOST_BODY)
-    + "SELECT row_id, round(y_pred, 6) AS y_pred FROM boost")
+    + "SELECT impression_id, row_id, round(y_pred, 6) AS y_pred FROM boost")
 def q_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.preds(spark, sf_dir)
-    return EN.boosting(p, error_weights(p)).select("row_id", r6(F.col("y_pred")).alias("y_pred"))
+    return EN.boosting(p, error_weights(p)).select(*EN.KEYS, r6(F.col("y_pred")).alias("y_pred"))
 
 
 @register("stacking_score", with_("impr", "preds", extra=WIDE_BODY)
@@ -93,7 +93,7 @@ def q_stacking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("hybrid", with_("impr", "preds", extra=CURVE_BODY + ",\n" + BOOST_BODY + ",\n" + WIDE_BODY)
-    + f"""SELECT w.row_id, round(((w.pred_fastformer_0_x + w.pred_fastformer_global_x + w.pred_fastformer_news_x) / 3
+    + f"""SELECT w.impression_id, w.row_id, round(((w.pred_fastformer_0_x + w.pred_fastformer_global_x + w.pred_fastformer_news_x) / 3
    + b.y_pred + {STACK_EXPR}) / 3, 6) AS y_pred FROM wide w JOIN boost b USING (impression_id, row_id)""")
 def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bagging + boosting + stacking) / 3 per row."""
@@ -103,7 +103,7 @@ def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     bag = sum(F.col(f"pred_{m}") for m in MODELS) / F.lit(float(len(MODELS)))
     boost = EN.boosting(p, error_weights(p)).withColumnRenamed("y_pred", "boost")
     j = w.join(boost, list(EN.KEYS))
-    return j.select("row_id", r6((bag + F.col("boost") + F.col("stack")) / F.lit(3.0)).alias("y_pred"))
+    return j.select(*EN.KEYS, r6((bag + F.col("boost") + F.col("stack")) / F.lit(3.0)).alias("y_pred"))
 
 
 # Weights of the fixed linear scorer used by batch_score.

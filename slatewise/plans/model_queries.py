@@ -77,7 +77,7 @@ tr AS (SELECT ex.impression_id, ex.item_id, ex.label, COALESCE(p.p_type, 'Unknow
          CAST(c.c_nationkey // 9 AS INT) AS cluster,
          array_to_string(list_slice(list_filter(string_split(coalesce(h.history, ''), ' '), lambda x: x <> ''),
             GREATEST(len(list_filter(string_split(coalesce(h.history, ''), ' '), lambda x: x <> '')) - 49, 1), 100000), ' ') AS history,
-         CASE WHEN {draw_sql(42, 'ex.impression_id * 1000000 + ex.item_id')} / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS side
+         CASE WHEN {draw_sql(42, 'ex.impression_id', 'ex.item_id')} / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS side
        FROM ex JOIN customer c ON c.c_custkey = ex.user_id AND c.c_acctbal >= 0
        LEFT JOIN part p ON p.p_partkey = ex.item_id JOIN hist h ON h.impression_id = ex.impression_id)""")
 
@@ -95,9 +95,8 @@ def q_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
           .select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_nationkey") / 9).cast("int").alias("cluster")))
     h = tails(spark, sf_dir, 50).select("impression_id", F.array_join(F.col("items").cast("array<string>"), " ").alias("history"))
     rows = (ex.join(cl, "user_id").join(part, "item_id", "left")
-              .withColumn("category", F.coalesce("p_type", F.lit("Unknown"))).join(h, "impression_id")
-              .withColumn("row_id", F.col("impression_id") * F.lit(1000000) + F.col("item_id")))
-    s = SA.split_random(rows, 0.2, 42, "row_id")
+              .withColumn("category", F.coalesce("p_type", F.lit("Unknown"))).join(h, "impression_id"))
+    s = SA.split_random(rows, 0.2, 42, ["impression_id", "item_id"])
     return s.select("impression_id", "item_id", "label", "category", "cluster", "history", "side")
 
 
@@ -136,7 +135,7 @@ def wide_train_val(spark: SparkSession, sf_dir: str):
     """Wide stacked predictions with a class-balanced weight and a stratified 80/20 split."""
     w = EN.wide_predictions(B.preds(spark, sf_dir), MODELS, ["row_id", "impression_id", "y_true"])
     # iterative fits scan their input many times: read a written copy, not the pivot lineage
-    s = materialize(SA.split_stratified(w, "y_true", 0.2, 42, "row_id"))
+    s = materialize(SA.split_stratified(w, "y_true", 0.2, 42, EN.KEYS))
     feats = [f"pred_{m}" for m in MODELS]
     return s, feats
 
@@ -178,7 +177,7 @@ def q_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = M.fit_logistic(M.class_balanced(train, "y_true"), feats, "y_true", "weight")
     unseen = M.out_of_fold_scores(train, feats, "y_true", ["impression_id", "row_id"], out_col="meta")
     cal = M.calibrate_isotonic(unseen, "meta", "y_true", M.score_logistic(model, s.filter(F.col("side") == "test"), feats, "meta"))
-    return cal.select("row_id", r6(F.col("meta")).alias("meta"), r6(F.col("calibrated")).alias("calibrated"))
+    return cal.select(*EN.KEYS, r6(F.col("meta")).alias("meta"), r6(F.col("calibrated")).alias("calibrated"))
 
 
 @register("feature_weights")

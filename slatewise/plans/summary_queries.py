@@ -68,8 +68,8 @@ def q_component_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("standardize", with_("impr") + """, st AS (SELECT AVG(s0) AS m0, stddev_pop(s0) AS d0, AVG(s1) AS m1,
   stddev_pop(s1) AS d1, AVG(s2) AS m2, stddev_pop(s2) AS d2 FROM impr)
-SELECT row_id, round((s0 - m0) / d0, 6) AS s0_z, round((s1 - m1) / d1, 6) AS s1_z, round((s2 - m2) / d2, 6) AS s2_z
+SELECT impression_id, row_id, round((s0 - m0) / d0, 6) AS s0_z, round((s1 - m1) / d1, 6) AS s1_z, round((s2 - m2) / d2, 6) AS s2_z
 FROM impr, st""")
 def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = SU.standardize(B.impr(spark, sf_dir).select("row_id", "s0", "s1", "s2"), ["s0", "s1", "s2"])
-    return z.select("row_id", *[r6(F.col(f"{c}_z")).alias(f"{c}_z") for c in ("s0", "s1", "s2")])
+    z = SU.standardize(B.impr(spark, sf_dir).select("impression_id", "row_id", "s0", "s1", "s2"), ["s0", "s1", "s2"])
+    return z.select("impression_id", "row_id", *[r6(F.col(f"{c}_z")).alias(f"{c}_z") for c in ("s0", "s1", "s2")])

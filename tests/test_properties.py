@@ -91,3 +91,14 @@ def test_uniform_positions_match_row_number(spark):
     g = P.row_positions(im, ["d", "row_id"], [], "p", buckets=16, uniform_range=2 ** 32)
     ref2 = im.withColumn("q", F.row_number().over(Window.orderBy("d", "row_id")))
     assert g.join(ref2, "row_id").filter(F.col("p") != F.col("q")).count() == 0
+
+
+def test_rows_of_two_slates_draw_on_their_own(spark):
+    df = spark.range(400).select((F.col("id") % 20).alias("impression_id"), F.floor(F.col("id") / 20).alias("row_id"), (F.col("id") % 2).alias("label"))
+    alone, both = ({(r["impression_id"], r["row_id"]): r["side"] for r in SA.split_random(df, 0.5, 1, k).collect()} for k in ("row_id", ["impression_id", "row_id"]))
+    assert all(alone[(0, r)] == alone[(i, r)] for i, r in alone), "one draw for all slates"
+    assert any(both[(0, r)] != both[(i, r)] for i, r in both)
+    again = {(r["impression_id"], r["row_id"]): r["side"] for r in SA.split_random(df.repartition(7), 0.5, 1, ["impression_id", "row_id"]).collect()}
+    assert again == both
+    places = [r["position"] for r in SA.shuffle_rows(df, 1, ["impression_id", "row_id"]).collect()]
+    assert sorted(places) == list(range(1, 401))
