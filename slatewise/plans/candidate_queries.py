@@ -14,7 +14,7 @@ from slatewise.operators import history as H
 from slatewise.operators import interactions as I
 from slatewise.operators import recommend as RC
 from slatewise.operators import summaries as SU
-from slatewise.operators.features import keep_last
+from slatewise.operators.features import filter_results
 from slatewise.plans import bindings as B
 from slatewise.plans.feature_queries import TFIDF_SQL, news_tfidf
 from slatewise.plans.history_queries import UARR_SQL, user_donors
@@ -339,12 +339,13 @@ def q_per_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("method", F.split("file", "_").getItem(1))
 
 
-@register("filter_results", EXPERIMENT_SQL + """, seqd AS (SELECT *, CASE method WHEN 'popularity' THEN 1 ELSE 2 END AS seq FROM ex
-  WHERE num_future_clicks <> 0 AND donor_user_id IS NOT NULL),
-lst AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM seqd)
-SELECT user_id, method, donor_user_id, precision_full_10, ndcg_behavior_10 FROM lst WHERE rn = 1""")
+@register("filter_results", EXPERIMENT_SQL + """, seqd AS (SELECT *, donor_user_id IS NOT NULL AS keep_donor, CASE method WHEN 'popularity' THEN 1 ELSE 2 END AS seq
+  FROM ex WHERE num_future_clicks <> 0),
+lst AS (SELECT *, row_number() OVER (PARTITION BY keep_donor, user_id ORDER BY seq DESC) AS rn FROM seqd)
+SELECT keep_donor, user_id, method, CAST(donor_user_id AS VARCHAR) AS donor_user_id, precision_full_10, ndcg_behavior_10 FROM lst WHERE rn = 1""")
 def q_filter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drop users without future clicks, keep donor rows, last row per user in file order."""
-    rows = experiment_rows(spark, sf_dir).withColumn("seq", F.when(F.col("method") == "popularity", 1).otherwise(2))
-    kept = rows.filter((F.col("num_future_clicks") != 0) & F.col("donor_user_id").isNotNull())
-    return keep_last(kept, "user_id", "seq").select("user_id", "method", "donor_user_id", "precision_full_10", "ndcg_behavior_10")
+    """Users with future clicks, last row per user in file order: of the rows with a donor, and of those without."""
+    rows = materialize(experiment_rows(spark, sf_dir).withColumn("seq", F.when(F.col("method") == "popularity", 1).otherwise(2)))
+    kept = [filter_results(rows, keep_donor, "seq").withColumn("keep_donor", F.lit(keep_donor)) for keep_donor in (True, False)]
+    return kept[0].unionByName(kept[1]).select("keep_donor", "user_id", "method", F.col("donor_user_id").cast("string").alias("donor_user_id"),
+                                               "precision_full_10", "ndcg_behavior_10")

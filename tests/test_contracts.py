@@ -33,3 +33,15 @@ def test_metric_documents_indented_and_large_thresholds(spark, tmp_path):
     out = str(tmp_path / "out")
     files.write_metrics(spark.createDataFrame([("m", 1234.5, 1.0)], "model string, threshold double, auc double"), out)
     assert any(p.name.endswith("1234.5000_m_metrics.json") for p in (tmp_path / "out").iterdir())
+
+
+def test_filter_results_both_branches(spark):
+    from slatewise.operators.features import filter_results
+    rows = spark.createDataFrame([  # user, donor, own part, clicks, place in the file
+        ("u1", None, 5, 2, 1), ("u1", "d", 3, 2, 2), ("u1", None, 4, 2, 3), ("u2", "d", None, 1, 4), ("u3", None, 1, 0, 5),
+        ("u3", "d", 1, 0, 6), ("u4", "d", 2, None, 7), (None, None, 1, 1, 8)],
+        "user_id string, donor_user_id string, num_from_original int, num_future_clicks int, seq int")
+    assert {r["seq"] for r in filter_results(rows, True, "seq").collect()} == {2, 4, 7}
+    assert {r["seq"] for r in filter_results(rows, False, "seq").collect()} == {3, 4, 8}
+    assert {r["seq"] for r in filter_results(rows.drop("num_from_original"), False, "seq").collect()} == {3, 8}
+    assert filter_results(rows.limit(0), False, "seq").columns == rows.columns
