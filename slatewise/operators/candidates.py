@@ -54,10 +54,10 @@ def topk_excluding(users: DataFrame, excluded: DataFrame, pool: DataFrame, k: in
     g = list(group_cols)
     ex = excluded_in_pool(excluded, pool, user_col, item_col, g)
     h = ex.groupBy(*g, user_col).agg(F.count(F.lit(1)).alias("_h"))
-    u = users.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
+    u = users.select(*g, user_col).distinct().join(h.hint("merge"), [*g, user_col], "left").fillna(0, ["_h"])
     go = global_order(pool, item_col, score_col, g)
     pos = u.select(*g, user_col, F.explode(F.sequence(F.lit(1), F.col("_h") + F.lit(k))).alias("g_rank"))
-    cand = pos.join(go, [*g, "g_rank"]).join(ex, [*g, user_col, item_col], "left_anti")
+    cand = pos.join(go, [*g, "g_rank"]).join(ex.hint("merge"), [*g, user_col, item_col], "left_anti")
     w = Window.partitionBy(*g, user_col).orderBy("g_rank")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(*g, user_col, "rank", item_col, score_col))
@@ -69,7 +69,7 @@ def pool_sizes(users: DataFrame, excluded: DataFrame, pool: DataFrame, user_col:
     g = list(group_cols)
     ex = excluded_in_pool(excluded, pool, user_col, item_col, g)
     h = ex.groupBy(*g, user_col).agg(F.count(F.lit(1)).alias("_h"))
-    u = users.select(*g, user_col).distinct().join(h, [*g, user_col], "left").fillna(0, ["_h"])
+    u = users.select(*g, user_col).distinct().join(h.hint("merge"), [*g, user_col], "left").fillna(0, ["_h"])
     if g:
         n_pool = pool.groupBy(*g).agg(F.count(F.lit(1)).alias("_np"))   # one row per group
         u = u.join(n_pool, g)
@@ -92,7 +92,7 @@ def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_
     g = list(group_cols)
     key = [*g, user_col]
     t = truth.select(*key, item_col).withColumn("_hit", F.lit(1))
-    r = recs.join(t, [*key, item_col], "left").fillna(0, ["_hit"])
+    r = recs.join(t.hint("merge"), [*key, item_col], "left").fillna(0, ["_hit"])
     w = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("_c", F.sum("_hit").over(w))
     aggs = []
@@ -103,7 +103,7 @@ def pool_ranking_metrics(recs: DataFrame, truth: DataFrame, sizes: DataFrame, k_
                  F.sum(F.col("_hit") * top / F.log2(F.col("rank") + F.lit(1))).alias(f"d{k}")]
     per = r.groupBy(*key).agg(*aggs)
     nt = truth.groupBy(*key).agg(F.count(F.lit(1)).alias("_nt"))
-    base = sizes.join(nt, key, "left").join(per, key, "left").fillna(0)
+    base = sizes.join(nt.hint("merge"), key, "left").join(per.hint("merge"), key, "left").fillna(0)
     rows = []
     for k in k_values:
         keff = F.least(F.lit(k), F.col("num_candidates"))
@@ -156,4 +156,4 @@ def pool_auc(users: DataFrame, excluded: DataFrame, truth: DataFrame, pool: Data
         F.first("n_t").alias("P"), F.first(F.col("n_pool") - F.col("n_x") - F.col("n_t")).alias("N"))
     res = a.select(*key, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                 F.col("num") / (F.col("P") * F.col("N"))).alias("auc"))
-    return users_k.select(*key).distinct().join(res, key, "left")
+    return users_k.select(*key).distinct().join(res.hint("merge"), key, "left")

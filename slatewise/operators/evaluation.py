@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from slatewise.functions.common import r6
 from slatewise.operators import candidates as CA
 from slatewise.operators import ranking as R
+from slatewise.session import materialize
 
 METRICS = ("precision", "recall", "ap", "ndcg", "num_recommendations")
 
@@ -40,18 +41,20 @@ def dual_pool_metrics(users: DataFrame, history: DataFrame, pool_scores: DataFra
     hist = history.select(*g, "user_id", "item_id")
     fut = future.select("user_id", "item_id")
     # truth inside each group's full pool: clicks of the group's users on pool items, not in history
-    cand_truth = (users.select(*key).distinct().join(fut, "user_id")
+    cand_truth = materialize(users.select(*key).distinct().join(fut.hint("merge"), "user_id")
                   .join(pool.select(*g, "item_id"), [*g, "item_id"], "left_semi")
-                  .join(hist, [*key, "item_id"], "left_anti"))
+                  .join(hist.hint("merge"), [*key, "item_id"], "left_anti"))
     sizes = CA.pool_sizes(users, hist, pool, group_cols=g)
     recs = CA.topk_excluding(users, hist, pool, max(k_values), group_cols=g)
-    full = CA.pool_ranking_metrics(recs, cand_truth, sizes, k_values, group_cols=g)
+    # read by several branches each: written once, so that no plan holds all branches with a broadcast table for every join
+    sizes = materialize(sizes)
+    full = materialize(CA.pool_ranking_metrics(recs, cand_truth, sizes, k_values, group_cols=g))
     auc_full = CA.pool_auc(users, hist, cand_truth, pool, group_cols=g).withColumnRenamed("auc", "auc_full")
 
-    beh = (users.select(*key).distinct().join(shown.select("user_id", "item_id"), "user_id")
-           .join(pool, [*g, "item_id"]).join(hist, [*key, "item_id"], "left_anti"))
-    beh = beh.join(fut.withColumn("label", F.lit(1)), ["user_id", "item_id"], "left").fillna(0, ["label"])
-    bm = R.slate_metrics(beh, key, "item_id", "score", "label", k_values)
+    beh = (users.select(*key).distinct().join(shown.select("user_id", "item_id").hint("merge"), "user_id")
+           .join(pool, [*g, "item_id"]).join(hist.hint("merge"), [*key, "item_id"], "left_anti"))
+    beh = materialize(beh.join(fut.withColumn("label", F.lit(1)).hint("merge"), ["user_id", "item_id"], "left").fillna(0, ["label"]))
+    bm = materialize(R.slate_metrics(beh, key, "item_id", "score", "label", k_values))
     auc_beh = R.slate_auc(beh, key, "score", "label").withColumnRenamed("auc", "auc_behavior")
 
     cols = [*key, "k", "precision", "recall", "ap", "ndcg", "num_recommendations"]
@@ -59,10 +62,10 @@ def dual_pool_metrics(users: DataFrame, history: DataFrame, pool_scores: DataFra
             .unionByName(bm.select(*cols, F.lit("behavior").alias("pool"))))
     first_k = min(k_values)
     counts = (sizes
-              .join(full.filter(F.col("k") == first_k).select(*key, F.col("num_truth").alias("num_ground_truth_all")),
+              .join(full.filter(F.col("k") == first_k).select(*key, F.col("num_truth").alias("num_ground_truth_all")).hint("merge"),
                     key, "left")
               .join(bm.filter(F.col("k") == first_k).select(*key, F.col("n_items").alias("num_candidates_behavior"),
-                                                              F.col("n_relevant").alias("num_ground_truth_in_behavior")),
+                                                              F.col("n_relevant").alias("num_ground_truth_in_behavior")).hint("merge"),
                     key, "left")
               .fillna(0, ["num_ground_truth_all", "num_candidates_behavior", "num_ground_truth_in_behavior"])
               .withColumnRenamed("num_candidates", "num_candidates_full"))
@@ -86,10 +89,10 @@ def user_eval_rows(users: DataFrame, history: DataFrame, pool_scores: DataFrame,
     hl = history.groupBy(*key).agg(F.count(F.lit(1)).alias("original_history_len"))
     nf = future.groupBy("user_id").agg(F.countDistinct("item_id").alias("num_future_clicks"))
     ns = shown.groupBy("user_id").agg(F.countDistinct("item_id").alias("num_shown_articles"))
-    out = (users.select(*key).distinct()
-           .join(hl, key, "left").join(nf, "user_id", "left").join(ns, "user_id", "left")
-           .join(counts, key, "left").join(wide, key, "left")
-           .join(auc_full, key, "left").join(auc_beh, key, "left"))
+    # one row per user each: merged, since as broadcast tables they would all stand in the driver at once
+    out = users.select(*key).distinct()
+    for part, on in ((hl, key), (nf, "user_id"), (ns, "user_id"), (counts, key), (wide, key), (auc_full, key), (auc_beh, key)):
+        out = out.join(part.hint("merge"), on, "left")
     metric_cols = [f"{m}_{p}_{k}" for p in ("full", "behavior") for k in k_values for m in METRICS]
     out = out.fillna(0, ["original_history_len", "num_future_clicks", "num_shown_articles", "num_candidates_full",
                          "num_ground_truth_all", "num_candidates_behavior", "num_ground_truth_in_behavior"])
