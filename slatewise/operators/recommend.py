@@ -79,7 +79,6 @@ def generate_candidates(inter: DataFrame, cutoff, model: TextModel, max_candidat
     if clusters is not None:
         hist = hist.join(clusters, "user_id").select(key, "item_id")   # an item counts once per member
         keys = clusters.select(key).distinct()
-    seen = hist if exclude_history else None
     if min_similarity <= 0:
         if max_candidates is None:
             raise ValueError("without a similarity threshold max_candidates is needed")
@@ -90,7 +89,7 @@ def generate_candidates(inter: DataFrame, cutoff, model: TextModel, max_candidat
         w = Window.partitionBy(key).orderBy("item_id")
         return top.select(F.col("user_id").alias(key), "item_id", F.lit(None).cast("double").alias("similarity")).withColumn("rank", F.row_number().over(w))
     items = model.vectors.withColumnRenamed("news_id", "item_id") if whole_catalog else model.of_items(I.candidate_pool(inter, cutoff))
-    return TX.sparse_topk(TX.user_tfidf(hist, model.counts, model.idf, user_col=key), items, key, "item_id", max_candidates, min_similarity, exclude=seen)
+    return TX.history_topk(hist, model.counts, model.idf, items, key, max_candidates, min_similarity, exclude_history)
 
 
 def recommend(inter: DataFrame, model: TextModel | None = None, users: DataFrame | None = None,
@@ -123,8 +122,8 @@ def recommend(inter: DataFrame, model: TextModel | None = None, users: DataFrame
         if model is None:
             raise ValueError("recommend needs a text model or scores")
         hist = I.user_history(inter, ref).select("user_id", "item_id").join(who, "user_id", "left_semi")
-        top = TX.sparse_topk(TX.user_tfidf(hist, model.counts, model.idf), model.of_items(fresh), "user_id", "item_id", show,
-                             left_ids=who, right_ids=fresh).withColumnRenamed("similarity", "score")
+        top = TX.history_topk(hist, model.counts, model.idf, model.of_items(fresh), "user_id", show,
+                              left_ids=who, right_ids=fresh).withColumnRenamed("similarity", "score")
     else:
         s = scores.select("user_id", F.col("item_id").cast("long").alias("item_id"), "score").join(fresh, "item_id", "left_semi") \
                   .join(who, "user_id", "left_semi")
