@@ -116,15 +116,18 @@ hx AS (SELECT impression_id, unnest(p) AS hid, unnest(range(1, {HISTORY_LEN + 1}
 FROM hx LEFT JOIN ttab t ON t.news_id = CAST(hx.hid AS BIGINT)""")
 def q_join_history_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last history ids of each slate (left-padded with empty rows) -> title tokens;
-    padding and unknown ids give zero rows."""
-    h = tails(spark, sf_dir).select("impression_id", F.col("items").cast("array<string>").alias("h"))
-    tail = last_n(F.col("h"), HISTORY_LEN)
-    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.lit(HISTORY_LEN) - F.size(tail)), tail)
-    x = h.select("impression_id", F.posexplode(padded).alias("p0", "hid"))
-    tt = title_table(spark, sf_dir).select(F.col("news_id").alias("_nid"), "tokens")
-    j = x.join(tt, x.hid.cast("long") == tt._nid, "left")
-    return j.select("impression_id", (F.col("p0") + 1).cast("int").alias("pos"),
-                    F.coalesce(ints(F.col("tokens")), F.lit(ZEROS30)).alias("tokens"))
+    padding and unknown ids give zero rows.
+
+    Only real ids are joined; padding rows are made where the slate is (as null join keys they would all meet in one task).
+    """
+    h = materialize(tails(spark, sf_dir))
+    tt = title_table(spark, sf_dir).select(F.col("news_id").alias("_nid"), ints(F.col("tokens")).alias("tokens"))
+    pad = F.lit(HISTORY_LEN) - F.size("items")
+    x = h.select("impression_id", pad.alias("_pad"), F.posexplode("items").alias("p0", "hid"))
+    own = x.join(tt, x.hid.cast("long") == tt._nid, "left").select(
+        "impression_id", (F.col("_pad") + F.col("p0") + 1).cast("int").alias("pos"), F.coalesce("tokens", F.lit(ZEROS30)).alias("tokens"))
+    padding = h.where(pad > 0).select("impression_id", F.explode(F.sequence(F.lit(1), pad)).alias("pos"), F.lit(ZEROS30).alias("tokens"))
+    return own.unionByName(padding)
 
 
 @register("user_profile", with_("news", "inter", "cut", extra=VOCAB_SQL + ",\n" + UHIST_CTE + f""",
@@ -142,7 +145,9 @@ def q_user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     hl = I.user_history(it, cut)
     n = hl.groupBy("user_id").agg(F.max("pos").alias("n"))
     last = hl.join(n, "user_id").filter(F.col("pos") > F.col("n") - 50)
-    news = B.news(spark, sf_dir)
+    last = materialize(last)
+    # only the texts that histories name are encoded; the vocabulary is the whole catalog's
+    news = B.news(spark, sf_dir).join(last.select(F.col("item_id").cast("long").alias("news_id")).distinct(), "news_id", "left_semi")
     enc = TX.encode_text(news, "news_id", combined_tokens(), catalog_vocab(spark, sf_dir))
     j = last.join(enc.select(F.col("news_id").alias("item_id"), "ids"), "item_id", "left")
     ids = F.coalesce(F.col("ids"), F.filter(F.array(F.lit(0)), lambda x: F.lit(False)))
