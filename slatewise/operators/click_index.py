@@ -96,12 +96,13 @@ def fetch(wanted: DataFrame, index: DataFrame, key_cols: list[str], user_col: st
     return wanted.join(found, (wanted[user_col] == found["_user"]) & (wanted["pos"] == found["_pos"])).select(*key_cols, "pos", item_col)
 
 
-def last_items(points: DataFrame, index: DataFrame, k: int, key_col: str, user_col: str = "user_id", item_col: str = "item_id", n_col: str = "n") -> DataFrame:
-    """(key, items): the last ``k`` items of each history in order; an empty array where there is none."""
+def last_items(points: DataFrame, index: DataFrame, k: int | None, key_col: str, user_col: str = "user_id", item_col: str = "item_id", n_col: str = "n") -> DataFrame:
+    """(key, items): the last ``k`` items of each history in order, all of them without ``k``; an empty array where there is none."""
     p = points.select(F.col(key_col), F.col(user_col), F.coalesce(F.col(n_col), F.lit(0)).alias("_n"))
-    wanted = p.where("_n > 0").select(key_col, user_col, F.explode(F.sequence(F.greatest(F.col("_n") - (k - 1), F.lit(1)), F.col("_n"))).alias("pos"))
+    first = F.lit(1).cast("long") if k is None else F.greatest(F.col("_n") - (k - 1), F.lit(1))
+    wanted = p.where("_n > 0").select(key_col, user_col, F.explode(F.sequence(first, F.col("_n"))).alias("pos"))
     items = fetch(wanted, index, [key_col], user_col, item_col).groupBy(F.col(key_col).alias("_key")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", item_col))), lambda e: e[item_col]).alias("items"))   # at most k
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", item_col))), lambda e: e[item_col]).alias("items"))   # at most k, or the whole history
     empty = F.array().cast(items.schema["items"].dataType)
     return p.join(items, F.col(key_col) == F.col("_key"), "left").select(key_col, F.coalesce("items", empty).alias("items"))
 

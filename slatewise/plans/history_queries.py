@@ -67,17 +67,18 @@ def q_daily_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("donor_same_day", with_("impr", extra=POOL_SQL) + f"""SELECT impression_id, CAST(donor_user AS BIGINT) AS donor_user,
-  CAST(len({arr_sql('donor_history')}) AS BIGINT) AS donor_len, array_to_string({lastn_sql(arr_sql('donor_history'), str(HISTORY_LEN))}, ' ') AS donor_tail FROM dn""")
+  CAST(len({arr_sql('donor_history')}) AS BIGINT) AS donor_len, donor_history FROM dn""")
 def q_donor_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who lends a history, how long it is, and the ids of it that reach a model."""
+    """Who lends a history, how long it is, and the whole of it (null: none)."""
     index, points = hist_days(spark, sf_dir)
     d = materialize(CI.day_donors(points, 7))
-    tail = CI.last_items(d, index.withColumnRenamed("user_id", "donor_user"), HISTORY_LEN, "impression_id", "donor_user", n_col="donor_n")
-    return d.join(tail, "impression_id").select("impression_id", F.col("donor_user").cast("long").alias("donor_user"), F.col("donor_n").alias("donor_len"), joined(F.col("items")).alias("donor_tail"))
+    whole = CI.last_items(d, index.withColumnRenamed("user_id", "donor_user"), None, "impression_id", "donor_user", n_col="donor_n")
+    return d.join(whole, "impression_id").select("impression_id", F.col("donor_user").cast("long").alias("donor_user"), F.col("donor_n").alias("donor_len"),
+                                                 F.when(F.size("items") > 0, joined(F.col("items"))).alias("donor_history"))
 
 
-def swap_parts(spark: SparkSession, sf_dir: str, own: int, donor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index, the slates' points, and (impression_id, own, donor): the last ids of the own and of the donor's history."""
+def swap_parts(spark: SparkSession, sf_dir: str, own: int | None, donor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the slates' points, and (impression_id, own, donor): the last ids of the own (None: all) and of the donor's history."""
     index, points = hist_days(spark, sf_dir)
     d = CI.day_donors(points, 7)
     mine = CI.last_items(points, index, own, "impression_id").withColumnRenamed("items", "own")
@@ -245,8 +246,8 @@ VARIANTS = ["full", "last3", "swap2", "remove"]
 
 
 def variant_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(impression_id, variant, history array) for every slate; a history is its last ``HISTORY_LEN`` ids."""
-    parts = swap_parts(spark, sf_dir, HISTORY_LEN, 2)[2]
+    """(impression_id, variant, history array) for every slate; the full history is the whole one."""
+    parts = swap_parts(spark, sf_dir, None, 2)[2]
     v = F.array(
         F.struct(F.lit("full").alias("variant"), F.col("own").alias("h")),
         F.struct(F.lit("last3").alias("variant"), last_n(F.col("own"), 3).alias("h")),
