@@ -42,18 +42,18 @@ def bagging(preds: DataFrame, key_cols: list[str] = KEYS, model_col: str = "mode
             score_col: str = "y_pred", groups: list[str] = ("all", "cluster", "category")) -> DataFrame:
     """Mean of member predictions per row, for each model group.
 
-    Each prediction row is tagged with the groups it belongs to (at most
-    ``len(groups)`` copies) and then averaged per (row, ensemble).
+    One aggregate per row holds the mean of every group; a group without
+    members gives no row.
     """
     keys = list(key_cols)
-    tags = []
-    for g in groups:
-        if g == "all":
-            tags.append(F.lit("all"))
-        else:
-            tags.append(F.when(model_group(model_col) == F.lit(g), F.lit(g)))
-    t = preds.select(*keys, score_col, F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("ensemble"))
-    return t.groupBy(*keys, "ensemble").agg(F.avg(score_col).alias(score_col))
+    p = preds.select(*keys, F.col(score_col).alias("_score"), model_group(model_col).alias("_group"))
+    aggs = []
+    for i, g in enumerate(groups):
+        member = F.lit(True) if g == "all" else F.col("_group") == F.lit(g)
+        aggs += [F.avg(F.when(member, F.col("_score"))).alias(f"_m{i}"), F.count(F.when(member, 1)).alias(f"_n{i}")]
+    means = F.array(*[F.when(F.col(f"_n{i}") > 0, F.struct(F.lit(g).alias("ensemble"), F.col(f"_m{i}").alias("mean"))) for i, g in enumerate(groups)])
+    found = p.groupBy(*keys).agg(*aggs).select(*keys, F.explode(F.filter(means, lambda x: x.isNotNull())).alias("_x"))
+    return found.select(*keys, "_x.ensemble", F.col("_x.mean").alias(score_col))
 
 
 def boosting_weights(errors: DataFrame, model_col: str = "model", error_col: str = "error") -> DataFrame:
@@ -68,7 +68,7 @@ def boosting(preds: DataFrame, weights: DataFrame, key_cols: list[str] = KEYS,
              model_col: str = "model", score_col: str = "y_pred") -> DataFrame:
     """Weighted mean sum(w*p)/sum(w) per row over the models present."""
     keys = list(key_cols)
-    j = preds.join(weights, model_col)   # one row per model
+    j = preds.join(F.broadcast(weights), model_col)   # one row per model: a shuffle by model would be one task each
     return j.groupBy(*keys).agg((F.sum(F.col("weight") * F.col(score_col)) / F.sum("weight")).alias(score_col))
 
 
@@ -77,12 +77,11 @@ def wide_predictions(preds: DataFrame, models: list[str], key_cols: list[str] =
     """N-way join of model predictions as one pivot: columns ``pred_<model>``.
 
     With ``require_all`` a row is kept only if every model scored it (the
-    inner-join semantics of the reference's merge loop).
+    inner-join semantics of the reference's merge loop). One aggregate with a
+    column per model; ``pivot`` would first group by (key, model).
     """
     keys = list(key_cols)
-    p = (preds.groupBy(*keys).pivot(model_col, models).agg(F.max(score_col)))
-    for m in models:
-        p = p.withColumnRenamed(m, f"pred_{m}")
+    p = preds.groupBy(*keys).agg(*[F.max(F.when(F.col(model_col) == F.lit(m), F.col(score_col))).alias(f"pred_{m}") for m in models])
     if require_all:
         cond = None
         for m in models:
