@@ -29,7 +29,7 @@ def class_balanced(df: DataFrame, label_col: str, weight_col: str = "weight") ->
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_c"))
     tot = counts.agg(F.sum("_c").alias("t"), F.count(F.lit(1)).alias("k")).first()   # classes: tiny
     w = counts.select(label_col, (F.lit(float(tot["t"])) / (F.lit(float(tot["k"])) * F.col("_c"))).alias(weight_col))
-    return df.join(w, label_col)   # one row per class
+    return df.join(F.broadcast(w), label_col)   # one row per class: a shuffle by class would be one task each
 
 
 def user_kmeans(profiles: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 42,
@@ -37,7 +37,7 @@ def user_kmeans(profiles: DataFrame, feature_cols: list[str], k: int = 3, seed:
     """KMeans over user category profiles; standardized with mean/std first.
     (Spark scales by the sample std, sklearn by the population std: one
     common factor on every feature, which leaves Euclidean clusters unchanged.)"""
-    v = assemble(profiles, feature_cols, "_raw")
+    v = assemble(materialize(profiles), feature_cols, "_raw")   # the scaler, the fit and the result read it
     col = "_raw"
     if standardize:
         v = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(v).transform(v)
