@@ -179,10 +179,12 @@ def prefix_metrics(df: DataFrame, order_col: str = "row_id", fractions: int = 10
     ``fractions`` times) and no window holds a whole group.
     """
     from slatewise.operators.positions import row_positions
+    from slatewise.session import materialize
     g = list(group_cols)
     p = row_positions(df.select(*g, order_col, label_col, score_col), [order_col], g, "_pos", total_col="_n")
     first = (F.floor((F.col("_pos") - 1) * F.lit(fractions) / F.col("_n")) + 1).cast("int")
-    counts = score_counts(p.withColumn("_first", first), [*g, "_first"], label_col, score_col)
+    # written once: the curve and the counts at the threshold read it
+    counts = materialize(score_counts(p.withColumn("_first", first), [*g, "_first"], label_col, score_col))
     gg = [*g, "report"]
     d = (counts.withColumn("report", F.explode(F.sequence(F.col("_first"), F.lit(fractions))))
                .groupBy(*gg, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))

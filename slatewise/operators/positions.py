@@ -40,10 +40,25 @@ def _rank_value(df: DataFrame, col: str) -> Column | None:
     return None
 
 
+#: Bounds in a step of the two-level search.
+STEP = 16
+
+
 def _below(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda x: x < value))
 
 
+def _every_step(bounds: Column) -> Column:
+    """Each ``STEP``-th of the (ascending) bounds."""
+    return F.filter(bounds, lambda x, i: i % STEP == STEP - 1)
+
+
+def _below_by_steps(bounds: Column, coarse: Column, value: Column) -> Column:
+    """``_below`` of ascending bounds: whole steps first, then the bounds of one step."""
+    steps = _below(coarse, value)
+    return steps * STEP + _below(F.slice(bounds, steps * STEP + 1, STEP), value)
+
+
 def row_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] = (),
                   out_col: str = "position", buckets: int | None = None, uniform_range: int | None = None,
                   total_col: str | None = None) -> DataFrame:
@@ -79,9 +94,10 @@ def row_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] = (
 
 def _grouped_buckets(df: DataFrame, order_cols: list[str], parts: list[str], buckets: int) -> DataFrame:
     first = order_cols[0]
-    bounds = df.groupBy(*parts).agg(F.percentile_approx(first, _probs(buckets), 10000).alias("_bounds"))
-    b = df.join(bounds, parts)   # one row per group, ``buckets`` values each
-    b = b.withColumn("_bk", _below(F.col("_bounds"), F.col(first)))
+    bounds = df.groupBy(*parts).agg(F.percentile_approx(first, _probs(buckets), 10000).alias("_bounds")).withColumn("_coarse", _every_step(F.col("_bounds")))
+    # one row per group, ``buckets`` values each: few groups (models, methods, labels), which a shuffle would make one task each
+    b = df.join(F.broadcast(bounds), parts)
+    b = b.withColumn("_bk", _below_by_steps(F.col("_bounds"), F.col("_coarse"), F.col(first))).drop("_coarse")
     second = _rank_value(df, order_cols[1]) if len(order_cols) > 1 else None
     if second is None:
         return b.withColumn("_sub", F.lit(0)).drop("_bounds")
@@ -89,7 +105,7 @@ def _grouped_buckets(df: DataFrame, order_cols: list[str], parts: list[str], buc
     b = b.withColumn("_second", second).withColumn("_heavy", F.coalesce(heavy, F.lit(False))).drop("_bounds")
     subs = (b.where("_heavy").groupBy(*parts, "_bk").agg(F.percentile_approx("_second", _probs(buckets), 10000).alias("_subs"))
              .groupBy(*parts).agg(F.map_from_entries(F.collect_list(F.struct("_bk", "_subs"))).alias("_subs")))   # < buckets entries
-    b = b.join(subs, parts, "left")
+    b = b.join(F.broadcast(subs), parts, "left")
     sub = F.when(F.col("_heavy"), _below(F.try_element_at("_subs", F.col("_bk")), F.col("_second")))
     return b.withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_second", "_heavy", "_subs")
 
