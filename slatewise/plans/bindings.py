@@ -100,7 +100,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return d.select(F.col("doc_id").alias("news_id"), F.col("lang").alias("category"),
                     F.col("source").alias("subcategory"),
-                    F.array_join(F.slice(F.split(F.trim(F.col("text")), r"\s+"), 1, 12), " ").alias("title"),
+                    F.array_join(F.slice(F.split(F.trim(F.col("text")), r"\s+", 13), 1, 12), " ").alias("title"),
                     "text")
 
 

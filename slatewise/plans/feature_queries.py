@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions.common import last_n, r6
-from slatewise.functions.text import clean_text, clean_tokens
+from slatewise.functions.text import clean_text, keep_token, raw_tokens
 from slatewise.operators import history as H
 from slatewise.operators import interactions as I
 from slatewise.operators import slates as S
@@ -40,8 +40,8 @@ def ints(c) -> F.Column:
 
 
 def combined_tokens() -> F.Column:
-    """Tokens of CombinedText = clean(title) + ' ' + clean(text)."""
-    return F.concat(clean_tokens("title"), clean_tokens("text"))
+    """Tokens of CombinedText = clean(title) + ' ' + clean(text), before ``keep_token``."""
+    return F.concat(raw_tokens("title"), raw_tokens("text"))
 
 
 VOCAB_SQL = f"""nt AS (SELECT news_id, {clean_list_sql('title')} AS tt, {clean_list_sql('text')} AS xt FROM news),
@@ -58,13 +58,13 @@ ttab AS (SELECT nt.news_id, {pad30_sql('COALESCE(tenc0.ids, CAST([] AS INT[]))')
 
 def catalog_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary fitted on the catalog's CombinedText (clean title and clean text)."""
-    return TX.fit_vocabulary(B.news(spark, sf_dir), "news_id", combined_tokens())
+    return TX.fit_vocabulary(B.news(spark, sf_dir), "news_id", combined_tokens(), keep_token)
 
 
 def title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """news_id -> title ids padded/truncated to 30 (post)."""
     n = B.news(spark, sf_dir)
-    enc = TX.encode_text(n, "news_id", clean_tokens("title"), catalog_vocab(spark, sf_dir))
+    enc = TX.encode_text(n, "news_id", raw_tokens("title"), catalog_vocab(spark, sf_dir), keep_token)
     return enc.select("news_id", S.pad_tokens("ids", TITLE_LEN).alias("tokens"))
 
 
@@ -77,7 +77,7 @@ def q_fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"SELECT news_id, CAST(len(ids) AS INT) AS n_ids, {ints_sql('ids')} AS ids FROM enc")
 def q_encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = B.news(spark, sf_dir)
-    e = TX.encode_text(n, "news_id", clean_tokens("text"), catalog_vocab(spark, sf_dir))
+    e = TX.encode_text(n, "news_id", raw_tokens("text"), catalog_vocab(spark, sf_dir), keep_token)
     return e.select("news_id", F.size("ids").alias("n_ids"), ints(F.col("ids")).alias("ids"))
 
 
@@ -90,7 +90,7 @@ def q_title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pad_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 30 ids of each whole-text encoding, zero-padded on the right."""
     n = B.news(spark, sf_dir)
-    e = TX.encode_text(n, "news_id", clean_tokens("text"), catalog_vocab(spark, sf_dir))
+    e = TX.encode_text(n, "news_id", raw_tokens("text"), catalog_vocab(spark, sf_dir), keep_token)
     return e.select("news_id", ints(S.pad_tokens("ids", TITLE_LEN)).alias("tokens"))
 
 
@@ -148,7 +148,7 @@ def q_user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = materialize(last)
     # only the texts that histories name are encoded; the vocabulary is the whole catalog's
     news = B.news(spark, sf_dir).join(last.select(F.col("item_id").cast("long").alias("news_id")).distinct(), "news_id", "left_semi")
-    enc = TX.encode_text(news, "news_id", combined_tokens(), catalog_vocab(spark, sf_dir))
+    enc = TX.encode_text(news, "news_id", combined_tokens(), catalog_vocab(spark, sf_dir), keep_token)
     j = last.join(enc.select(F.col("news_id").alias("item_id"), "ids"), "item_id", "left")
     ids = F.coalesce(F.col("ids"), F.filter(F.array(F.lit(0)), lambda x: F.lit(False)))
     ids = F.when(F.size(ids) == 0, F.array(F.lit(1))).otherwise(ids)

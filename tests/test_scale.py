@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from slatewise.functions import text as FT
 from slatewise.operators import ensemble as EN
 from slatewise.operators import evaluation as EV
 from slatewise.operators import models as M
@@ -124,3 +125,23 @@ def test_history_topk_equals_vectors_by_term(spark, k, least, exclude):
         known = {r[0] for r in rows(want)}
         assert [r for r in rows(got) if r[0] in known] == rows(want)
     assert got.count() > 0
+
+
+def test_cleaning_equals_one_class(spark):
+    texts = ["a\x00b\x1fc\x7fd \u00e9\U0001f600\u00f1\u0130I x\x85y z\t\x0b\x0c1-2_\u00c9", "", None, "It's 3 Words, the END\n", "\U0001f600", " the  of "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-zA-Z \t\n\r\f\x0B]", ""))
+    rows = df.select("i", FT.cleaned_string("text").alias("got"), plain.alias("want"), FT.clean_tokens("text").alias("tokens")).collect()
+    assert all(r["got"] == r["want"] for r in rows)
+    kept = TX.token_rows(df, "i", FT.raw_tokens("text"), FT.keep_token).orderBy("i", "pos").collect()
+    assert [(r["i"], r["token"]) for r in kept] == [(r["i"], t) for r in sorted(rows) for t in r["tokens"]]
+
+
+def test_words_are_counted_once_and_texts_split_once(spark):
+    df = spark.createDataFrame([(1, "beta alpha the beta"), (2, None), (3, "alpha gamma"), (4, "the")], "news_id long, text string")
+    vocab = TX.fit_vocabulary(df, "news_id", FT.raw_tokens("text"), FT.keep_token)
+    assert "Generate" not in plan(vocab)   # bounds, sizes and positions read the written counts
+    assert {r["token"]: (r["id"], r["count"]) for r in vocab.collect()} == {"beta": (1, 2), "alpha": (2, 2), "gamma": (3, 1)}
+    assert plan(TX.token_rows(df, "news_id", FT.raw_tokens("text"))).count("split(") == 1
+    enc = {r["news_id"]: r["ids"] for r in TX.encode_text(df, "news_id", FT.raw_tokens("text"), vocab, FT.keep_token).collect()}
+    assert enc == {1: [1, 2, 1], 2: [], 3: [2, 3], 4: []}
