@@ -31,7 +31,8 @@ def score_prefix(d: DataFrame, group_cols: list[str], score_col: str,
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*group_cols).agg(
         F.percentile_approx(score_col, probs, 10000).alias("_bounds"))
-    d2 = d.join(bounds, group_cols)   # one row per group with ``buckets`` doubles
+    # one row per group with ``buckets`` doubles: few groups (models, folds, methods), which a shuffle would make one task each
+    d2 = d.join(F.broadcast(bounds), group_cols)
     d2 = d2.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(score_col)))) \
            .drop("_bounds")
     btot = d2.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions import text as FT
+from slatewise.operators import classification as C
 from slatewise.operators import ensemble as EN
 from slatewise.operators import evaluation as EV
 from slatewise.operators import models as M
@@ -145,3 +146,8 @@ def test_words_are_counted_once_and_texts_split_once(spark):
     assert plan(TX.token_rows(df, "news_id", FT.raw_tokens("text"))).count("split(") == 1
     enc = {r["news_id"]: r["ids"] for r in TX.encode_text(df, "news_id", FT.raw_tokens("text"), vocab, FT.keep_token).collect()}
     assert enc == {1: [1, 2, 1], 2: [], 3: [2, 3], 4: []}
+
+
+def test_curves_are_not_shuffled_by_model(spark, tables, no_auto_broadcast):
+    p = plan(C.curve_metrics(B.preds(spark, tables), ["model"]))
+    assert "BroadcastExchange" in p
