@@ -34,25 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def impr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled slates.
 
-    Lineitem is pre-aggregated on (orderkey, partkey) before the joins; the
-    order and part attributes are functionally dependent on those keys, so
-    this equals grouping after the join but shuffles fewer rows.
-
-    The rows are dealt by order, about ``TASK_ROWS`` to a task, for the last
-    join: what is grouped by slate needs no further shuffle.
+    Lineitem meets part first, in a plain join (no rows of a scan are held to
+    be dealt among many tasks, and AQE splits a part in very many orders).
+    The rows are then dealt by order, about ``TASK_ROWS`` to a task, for the
+    aggregate on (orderkey, partkey) and the join with orders: what is grouped
+    by slate needs no further shuffle. The aggregate is per row of part
+    (``_part``), as a join of the aggregated rows with part would give.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_discount", "l_tax", "l_quantity")
+        "l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.col("l_discount").alias("s0"), F.col("l_tax").alias("s1"), (F.col("l_quantity") / F.lit(50.0)).alias("s2"))
     n = max(spark.sparkContext.defaultParallelism, -(-li.count() // TASK_ROWS))   # the count is read from the file footers
-    agg = li.repartition(n, "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(
-        F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"),
-        F.max("l_discount").alias("s0"),
-        F.max("l_tax").alias("s1"),
-        F.max(F.col("l_quantity") / F.lit(50.0)).alias("s2"),
-    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    rows = agg.join(part, agg.l_partkey == part.p_partkey).repartition(n, "l_orderkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.monotonically_increasing_id().alias("_part"))
+    rows = (li.join(part, li.l_partkey == part.p_partkey).repartition(n, "l_orderkey")
+              .groupBy("l_orderkey", "l_partkey", "_part")
+              .agg(*[F.max(c).alias(c) for c in ("label", "s0", "s1", "s2")], F.first("p_type").alias("p_type")))
     j = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
     return j.select(
         F.col("l_orderkey").alias("impression_id"),

@@ -79,6 +79,27 @@ def test_ensembles_group_slates_where_they_are(spark, tables, no_auto_broadcast)
     assert wide.count() == SLATES
 
 
+def test_slates_are_dealt_once_and_not_from_the_scan(spark, tables, no_auto_broadcast, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 1)
+    p = plan(B.impr(spark, tables))
+    assert p.count("REPARTITION_BY_NUM") == 1   # lineitem is shuffled by part, then dealt by order
+    assert p.count("Exchange hashpartitioning") == 4
+    assert {(r["impression_id"], r["item_id"], r["category"]) for r in B.impr(spark, tables).collect()} == {(i, 100 + i, "PROMO") for i in range(SLATES)}
+
+
+def test_slates_per_row_of_part_and_order(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(1, 5, "N", 0.1, 0.4, 10.0), (1, 5, "R", 0.3, 0.2, 5.0), (1, 6, None, None, 0.2, 5.0), (1, 7, "R", 0.1, 0.1, 5.0), (None, 5, "R", 0.1, 0.1, 5.0),
+           (1, None, "R", 0.1, 0.1, 5.0), (2, 5, "N", 0.1, 0.1, 5.0), (3, 5, "R", 0.1, 0.1, 5.0)],
+          "l_orderkey long, l_partkey long, l_returnflag string, l_discount double, l_tax double, l_quantity double", "lineitem")
+    write([(1, 7, day), (2, 8, day), (2, 8, day), (None, 9, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp", "orders")
+    write([(5, "A"), (5, "A"), (6, None), (None, "B")], "p_partkey long, p_type string", "part")
+    got = [tuple(r) for r in B.impr(spark, str(tmp_path)).select("impression_id", "item_id", "user_id", "category", "label", "s0", "s1", "s2").collect()]
+    want = 2 * [(1, 5, 7, "A", 1, 0.3, 0.4, 0.2)] + [(1, 6, 7, None, None, None, 0.2, 0.1)] + 4 * [(2, 5, 8, "A", 0, 0.1, 0.1, 0.1)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_few_keys_are_not_shuffled_by(spark, tables, no_auto_broadcast):
     p = B.preds(spark, tables)
     w = spark.createDataFrame([(m, 1.0) for m in B.MODEL_NAMES.values()], "model string, weight double")
