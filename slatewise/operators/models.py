@@ -7,6 +7,8 @@ fitted together, see :mod:`slatewise.operators.linear_models`.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -78,10 +80,62 @@ def coefficients(model, feature_cols: list[str]) -> list[tuple[str, float]]:
     return [(c, float(w)) for c, w in zip(feature_cols, model.coefficients.toArray())] + [("intercept", float(model.intercept))]
 
 
+#: Bins of a feature in a boosted tree and rows that its bounds are drawn from, those of Spark's own fit.
+TREE_BINS = 32
+BOUND_ROWS = 10_000
+
+
+def split_bounds(values: list[float], total: float | None = None) -> list[float]:
+    """Candidate thresholds of a tree for a feature with these values: between all distinct ones, or where as many as fit the
+    bins part the rows most evenly. The rule of Spark's trees: what ``total`` (the expected size of a draw) has over the
+    values other than 0 are zeros."""
+    counts = Counter(v for v in values if v != 0.0)
+    total = len(values) if total is None else total
+    zeros = total - sum(counts.values())
+    if zeros > 1e-9:
+        counts[0.0] = zeros
+    ordered = sorted(counts.items())
+    between = lambda i: (ordered[i - 1][0] + ordered[i][0]) / 2.0
+    if len(ordered) <= TREE_BINS:
+        return [between(i) for i in range(1, len(ordered))]
+    stride = total / TREE_BINS
+    bounds, seen, target = [], ordered[0][1], stride
+    for i in range(1, len(ordered)):
+        before, seen = seen, seen + ordered[i][1]
+        if abs(before - target) < abs(seen - target):
+            bounds.append(between(i))
+            target += stride
+    return bounds
+
+
+def bound_rows(train: DataFrame, feature_cols: list[str], fraction: float, seed: int) -> DataFrame:
+    """The rows that Spark's own fit draws its thresholds from: its sampler, seed and order of rows."""
+    spark, some = train.sparkSession, train.select(*feature_cols)
+    if fraction >= 1.0:
+        return some
+    drawn = some._jdf.toJavaRDD().sample(False, fraction, spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt())
+    return type(some)(spark._jsparkSession.createDataFrame(drawn, some._jdf.schema()), spark)
+
+
+def binned_rows(train: DataFrame, feature_cols: list[str], label_col: str, seed: int = 42) -> DataFrame:
+    """(features as bin numbers, label, n): how many rows share all bins and the label. A tree sees no more of a row than that,
+    so a fit weighted by ``n`` is the fit of all rows; there are at most ``TREE_BINS`` ^ features x labels of them."""
+    rows = train.count()   # one number
+    fraction = BOUND_ROWS / max(rows, BOUND_ROWS)
+    some = bound_rows(train, feature_cols, fraction, seed).toPandas()   # about BOUND_ROWS rows, for the bounds alone; every row is binned
+    def binned(f: str) -> Column:
+        bounds = F.array(*[F.lit(x) for x in split_bounds(some[f].tolist(), rows * fraction)]).cast("array<double>")
+        return F.size(F.filter(bounds, lambda x: x < F.col(f))).cast("double").alias(f)
+
+    bins = [binned(f) for f in feature_cols]
+    return train.select(*bins, label_col).groupBy(*feature_cols, label_col).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def fit_gbt_importances(train: DataFrame, feature_cols: list[str], label_col: str = "label",
                         max_iter: int = 20, seed: int = 42) -> list[tuple[str, float]]:
-    gbt = GBTClassifier(featuresCol="features", labelCol=label_col, maxIter=max_iter, seed=seed)
-    m = gbt.fit(assemble(train, feature_cols))
+    cells = materialize(binned_rows(train, feature_cols, label_col, seed))   # every tree reads them
+    gbt = GBTClassifier(featuresCol="features", labelCol=label_col, weightCol="n", maxBins=TREE_BINS, maxIter=max_iter, seed=seed)
+    m = gbt.fit(assemble(cells, feature_cols))
     return [(c, float(w)) for c, w in zip(feature_cols, m.featureImportances.toArray())]
 
 

@@ -57,3 +57,26 @@ def test_segment_models_score_every_row(spark, registry):
     assert len(set(per.values())) == 1
     assert set(per) == {"seg_global", *[f"seg_{s}" for s in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")], *[f"seg_cluster_{c}" for c in range(3)]}
     assert df.count() == df.select("impression_id", "row_id", "model").distinct().count()
+
+
+def test_trees_fitted_on_binned_rows_are_those_of_all_rows(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from slatewise.operators import models as M
+    rows = spark.range(0, 4000, 1, 4).selectExpr("rand(5) as a", "round(rand(6), 1) as b", "round(rand(7) * 60) / 60 as c", "rand(8) as e").selectExpr(
+        "a", "b", "c", "cast(a + b * c + 0.3 * e > 0.7 as double) as y").cache()
+    cells = M.binned_rows(rows, ["a", "b", "c"], "y").toPandas()
+    assert cells["n"].sum() == 4000 and len(cells) < 4000 and (cells[["a", "b", "c"]].nunique() <= M.TREE_BINS).all()
+    want = GBTClassifier(featuresCol="features", labelCol="y", maxIter=5, seed=42).fit(M.assemble(rows, ["a", "b", "c"])).featureImportances.toArray()
+    got = M.fit_gbt_importances(rows, ["a", "b", "c"], "y", max_iter=5)
+    assert [f for f, _ in got] == ["a", "b", "c"] and max(abs(w - x) for (_, w), x in zip(got, want)) < 1e-9
+    assert M.split_bounds([1.0, 1.0, 3.0]) == [2.0] and M.split_bounds([5.0]) == []
+
+
+def test_trees_read_a_bounded_number_of_rows(spark, monkeypatch):
+    from slatewise.operators import models as M
+    monkeypatch.setattr(M, "TREE_BINS", 4)
+    sizes, fit = [], M.assemble
+    monkeypatch.setattr(M, "assemble", lambda df, *a: sizes.append(df.count()) or fit(df, *a))
+    rows = spark.range(3000).selectExpr("rand(5) as a", "rand(6) as b").selectExpr("a", "b", "cast(a + 0.1 * b > 0.5 as double) as y")
+    trees = dict(M.fit_gbt_importances(rows, ["a", "b"], "y", max_iter=2))
+    assert sizes[0] <= 4 * 4 * 2 and trees["a"] > trees["b"]
