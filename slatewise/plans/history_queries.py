@@ -262,6 +262,9 @@ def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     In the full history it does if the user's first click in that category is
     among the slate's first ``n``; the short variants are at most five items.
+    Rows are dealt by slate last, and the few columns that the variants need of
+    a slate meet them there: what ranks a slate under each variant needs no
+    further shuffle. A task gets about ``TASK_ROWS`` rows of all variants.
     """
     im = materialize(B.impr(spark, sf_dir).select("impression_id", "user_id", "ts", "item_id", "category", "label",
                                                   ((F.col("s0") + F.col("s1") + F.col("s2")) / F.lit(3.0)).alias("base")))
@@ -271,12 +274,14 @@ def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = lambda n, k: F.sequence(F.greatest(F.col(n) - (k - 1), F.lit(1)), F.col(n))
     own = points.where("n > 0").select("impression_id", "user_id", F.lit(True).alias("own"), F.explode(back("n", 3)).alias("pos"))
     theirs = donors.where("donor_n > 0").select("impression_id", F.col("donor_user").alias("user_id"), F.lit(False).alias("own"), F.explode(back("donor_n", 2)).alias("pos"))
-    few = CI.fetch(own.unionByName(theirs), index, ["impression_id", "own"]).join(part, "item_id")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(VARIANTS) * im.count() // B.TASK_ROWS))   # the count is read from the file footers
+    few = CI.fetch(own.unionByName(theirs), index, ["impression_id", "own"]).join(part, "item_id").repartition(tasks, "impression_id")
     few = few.groupBy("impression_id").agg(F.collect_set(F.when(F.col("own"), F.col("p_type"))).alias("last3"), F.collect_set("p_type").alias("swap2"))   # at most 5
     first = index.join(part, "item_id").groupBy("user_id", F.col("p_type").alias("category")).agg(F.min("pos").alias("first_pos"))
     rows = im.select("impression_id", "user_id", "item_id", "category", "label", "base")
-    at = points.select("impression_id", "n").join(few, "impression_id", "left")
-    j = rows.join(at, "impression_id").join(first, ["user_id", "category"], "left")
+    at = points.select("impression_id", "n").repartition(tasks, "impression_id").join(few, "impression_id", "left")
+    clicked = rows.join(first, ["user_id", "category"], "left").select("impression_id", "item_id", "category", "label", "base", "first_pos")
+    j = clicked.repartition(tasks, "impression_id").join(at, "impression_id")
     has = {"full": F.col("first_pos") <= F.col("n"), "last3": F.array_contains("last3", F.col("category")),
            "swap2": F.array_contains("swap2", F.col("category")), "remove": F.lit(False)}
     variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.coalesce(c, F.lit(False)).cast("int").alias("m")) for v, c in has.items()])
@@ -312,6 +317,7 @@ def q_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking metrics under each history variant minus the full-history baseline."""
     sc = drift_scores(spark, sf_dir)
     t = R.ranking_tracker(sc, [1, 3, 5], "impression_id", ["variant"], "item_id", "y_pred", "y_true", rounded=False)
+    t = materialize(t)   # a row per variant and k, read twice
     f = t.filter(F.col("variant") == "full").select("k", *[F.col(c).alias(f"f_{c}") for c in ("precision", "recall", "ap", "ndcg")])
     j = t.join(f, "k")
     return j.select("variant", "k", *[r6(F.col(c) - F.col(f"f_{c}")).alias(f"d_{c}") for c in ("precision", "recall", "ap", "ndcg")])

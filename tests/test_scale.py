@@ -3,6 +3,7 @@
 import datetime as dt
 import pickle
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from slatewise.operators import classification as C
 from slatewise.operators import ensemble as EN
 from slatewise.operators import evaluation as EV
 from slatewise.operators import models as M
+from slatewise.operators import ranking as R
 from slatewise.operators import text as TX
 from slatewise.operators.positions import row_positions
 from slatewise.plans import bindings as B
@@ -198,3 +200,14 @@ def test_null_keys_are_the_least_number(spark):
     one = spark.createDataFrame([(None, "a", 1.0), (0, "b", 1.0)], "u long, term string, weight double")
     got = TX.sparse_topk(one, one.withColumnRenamed("u", "i"), "u", "i", 1, 0.5)
     assert {(r["u"], r["i"]) for r in got.collect()} == {(-2 ** 63, -2 ** 63), (0, 0)}
+
+
+def test_drift_variants_are_ranked_where_their_slate_is(spark, tables, no_auto_broadcast):
+    sums = R.ranking_tracker(HQ.drift_scores(spark, tables), [1, 3], "impression_id", ["variant"], "item_id", "y_pred", "y_true", finalize=False)
+    p = plan(sums)
+    assert "hashpartitioning(variant" in p   # the last sums
+    assert not re.search(r"hashpartitioning\(variant#\d+, impression_id", p)   # no row goes out once per variant
+    rows = {(r["variant"], r["k"]): (r["slates"], r["hits"]) for r in sums.collect()}
+    assert rows == {}   # slates of one row are skipped
+    full = [r["variant"] for r in HQ.drift_scores(spark, tables).where("y_pred > 3.7 / 30 + 0.05").collect()]
+    assert full.count("remove") == full.count("full") - (SLATES - 1) and full.count("last3") == full.count("full")
